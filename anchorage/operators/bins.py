@@ -20,7 +20,8 @@ def quantile_edges(df: DataFrame, value: Column, q: int) -> Column:
 def bin_of(value: Column, edges: Column, q: int) -> Column:
     """0-based right-closed bin; the first bin is closed on both sides, null stays null.
 
-    With duplicate edges dropped there are fewer than q bins.
+    With duplicate edges dropped there are fewer than q bins. ``edges`` is a
+    column already in the row, so the subquery behind it is planned once.
     """
     passed = [F.when(value > F.get(edges, F.lit(i)), 1).otherwise(0) for i in range(1, q + 1)]
     return F.when(value.isNotNull() & (F.size(edges) > 1), F.least(reduce(add, passed), F.size(edges) - 2))
@@ -28,16 +29,18 @@ def bin_of(value: Column, edges: Column, q: int) -> Column:
 
 def qcut(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
     """Quantile bins by value, so equal values always share a bin (unlike ntile)."""
-    return df.withColumn(out, bin_of(F.col(col), quantile_edges(df, F.col(col), q), q))
+    placed = df.withColumn("_edges", quantile_edges(df, F.col(col), q))
+    return placed.withColumn(out, bin_of(F.col(col), F.col("_edges"), q)).drop("_edges")
 
 
 def qcut_bounds(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
     """qcut plus the edges of the bin each row fell into."""
-    edges = quantile_edges(df, F.col(col), q)
-    binned = df.withColumn(out, bin_of(F.col(col), edges, q))
+    edges = F.col("_edges")
+    placed = df.withColumn("_edges", quantile_edges(df, F.col(col), q))
+    binned = placed.withColumn(out, bin_of(F.col(col), edges, q))
     return binned.withColumns(
         {f"{out}_low": F.get(edges, F.col(out)), f"{out}_high": F.get(edges, F.col(out) + 1)}
-    )
+    ).drop("_edges")
 
 
 def risk_deciles(df: DataFrame, score: str, out: str = "decil") -> DataFrame:
@@ -51,12 +54,12 @@ def rank_deciles(df: DataFrame, score: str, key: str, out: str = "decil") -> Dat
     Ascending position p of N falls into quantile bin ceil(10 (p - 1) / (N - 1)),
     first bin closed; ``ranked`` counts from the top, so p = N + 1 - rank.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    steps = (total - F.col("_rank")) * 10
-    span = F.greatest(total - 1, F.lit(1))
+    steps = (F.col("_total") - F.col("_rank")) * 10
+    span = F.greatest(F.col("_total") - 1, F.lit(1))
     bin0 = F.greatest(F.ceil(steps / span).cast("int") - 1, F.lit(0))
     return (
         ranked(df, score, key, "_rank")
+        .withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
         .withColumn(out, (F.lit(10) - bin0).cast("int"))
-        .drop("_rank")
+        .drop("_rank", "_total")
     )

@@ -32,13 +32,13 @@ def linear_contributions(df: DataFrame, weights: Mapping[str, float], key: str =
         *[
             F.struct(
                 F.lit(f).alias("feature"),
-                (F.lit(float(w)) * (F.col(f) - means.getField(f))).alias("shap_value"),
+                (F.lit(float(w)) * (F.col(f) - F.col(f"_m.{f}"))).alias("shap_value"),
                 F.col(f).alias("feature_value"),
             )
             for f, w in weights.items()
         ]
     )
-    return df.select(key, F.inline(cells))
+    return df.withColumn("_m", means).select(key, F.inline(cells))
 
 
 def top_contrib(df: DataFrame, k: int = 20) -> DataFrame:

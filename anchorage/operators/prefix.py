@@ -28,23 +28,27 @@ def piece_bits(df: DataFrame) -> int:
 
 
 def split_points(df: DataFrame, value: Column, bits: int) -> Column:
-    """Approximate quantiles as a scalar subquery: a sorted array below 2**bits long."""
+    """Approximate quantiles as a scalar subquery: a sorted array below 2**bits long.
+
+    Put it in a column of its own before searching it; lambdas take no subquery.
+    """
     pieces = 2**bits
-    probs = [i / pieces for i in range(1, pieces)]
+    probs = F.expr(f"array({', '.join(f'{i / pieces}D' for i in range(1, pieces))})")
     points = F.array_distinct(F.percentile_approx(value, probs, 20 * pieces))
     return df.agg(points.alias("points")).scalar()
 
 
 def count_below(points: Column, value: Column, bits: int, inclusive: bool = False) -> Column:
     """How many sorted points lie below the value, by binary search."""
-    steps = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
+    steps = F.expr(f"array({', '.join(str(2**b) for b in reversed(range(bits)))})")
 
     def narrow(found: Column, step: Column) -> Column:
         point = F.get(points, found + step - 1)
         passed = (point <= value) if inclusive else (point < value)
         return F.when(passed, found + step).otherwise(found)
 
-    return F.aggregate(steps, F.lit(0), narrow)
+    # Never null, so no null check on it is pushed down to the detail rows.
+    return F.coalesce(F.aggregate(steps, F.lit(0), narrow), F.lit(0))
 
 
 def running_before(
@@ -53,18 +57,19 @@ def running_before(
     totals: Sequence[str],
     group: Sequence[str] = (),
     descending: bool = False,
-    weight: str | None = None,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Add ``<total>_before`` (sum over strictly earlier values) and ``<total>_all``.
 
     ``counts`` has one row per (group, value), already aggregated, and no null
-    group or value. ``weight`` names a total that is positive on every row; it
-    ties the split-point subquery to the same shuffle as the other branches.
+    group or value. ``weight`` is positive on every row (the first total unless
+    given); reading it lets the split-point subquery reuse the same shuffle.
     """
     group = list(group)
     bits = piece_bits(counts)
-    anchor = F.when(F.col(weight or totals[0]).isNotNull(), F.col(value))
-    pieces = counts.withColumn("_piece", count_below(split_points(counts, anchor, bits), F.col(value), bits))
+    anchor = F.when((F.col(totals[0]) if weight is None else weight) > 0, F.col(value))
+    pieces = counts.withColumn("_points", split_points(counts, anchor, bits))
+    pieces = pieces.withColumn("_piece", count_below(F.col("_points"), F.col(value), bits)).drop("_points")
 
     def direction(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
@@ -102,10 +107,13 @@ def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame
     """
     bits = piece_bits(df)
     s = F.col(score)
-    points = split_points(df, s, bits)
+    points = F.col("_points")
     piece = F.when(s.isNull(), -1).otherwise(count_below(points, s, bits))
-    placed = df.withColumns({"_piece": piece, "_tie": tie_slice(F.col(key))})
-    placed = placed.withColumn("_hot", F.coalesce(F.get(points, F.greatest("_piece", F.lit(0))) == s, F.lit(True)))
+    placed = df.withColumn("_points", split_points(df, s, bits)).withColumns(
+        {"_piece": piece, "_tie": tie_slice(F.col(key))}
+    )
+    at_point = s.isNull() | F.coalesce(F.get(points, F.col("_piece")) == s, F.lit(False))
+    placed = placed.withColumn("_hot", at_point).drop("_points")
     placed = placed.withColumn("_slice", F.when(F.col("_hot"), F.col("_tie")).otherwise(-1))
     cell = ["_piece", "_hot", "_slice"]
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
@@ -144,19 +152,16 @@ def exact_quantiles(
     )
     run = running_before(counts, "_v", ["_n"], group)
 
-    def at(position: Column) -> Column:
-        covers = (F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n"))
-        return F.max(F.when(covers, F.col("_v")))
-
     # The place p * (n - 1) is kept as a whole and a rest, so no float error
     # can move an edge off the value it falls on.
     picks, parts = [], []
     for i, p in enumerate(probs):
         ratio = Fraction(p).limit_denominator(10_000)
-        steps = F.lit(ratio.numerator) * (F.col("_n_all") - 1)
-        rest = steps % ratio.denominator
-        whole = ((steps - rest) / ratio.denominator).cast("bigint")
-        picks += [at(whole).alias(f"_lo{i}"), at(whole + F.signum(rest).cast("int")).alias(f"_hi{i}")]
-        parts.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (rest / ratio.denominator))
+        steps = f"{ratio.numerator}L * (_n_all - 1)"
+        whole, rest = f"({steps} div {ratio.denominator})", f"({steps} % {ratio.denominator})"
+        for side, place in (("lo", whole), ("hi", f"({whole} + sign({rest}))")):
+            covers = f"_n_before <= {place} and {place} < _n_before + _n"
+            picks.append(F.expr(f"max(case when {covers} then _v end) as _{side}{i}"))
+        parts.append(f"_lo{i} + (_hi{i} - _lo{i}) * ({rest} / {ratio.denominator}D)")
     found = run.groupBy(*group).agg(F.max("_n_all").alias("_n_all"), *picks)
-    return found.select(*group, F.array(*parts).alias(name))
+    return found.select(*group, F.expr(f"array({', '.join(parts)})").alias(name))

@@ -1,2 +1,2 @@
-from anchorage.plans import cleaning, explain  # noqa: F401
+from anchorage.plans import cleaning, explain, portfolio, risk  # noqa: F401
 from anchorage.plans.catalog import ORACLES, QUERIES  # noqa: F401
