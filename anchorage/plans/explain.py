@@ -17,3 +17,119 @@ def raw_contributions(t: Tables):
 
 def contributions_table(t: Tables):
     return explain.tidy(raw_contributions(t))
+
+
+def rounded(df, *names, digits: int = 6):
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+@query("linear_contrib", "SELECT ID, feature, shap_value, feature_value FROM contrib")
+def linear_contrib(t: Tables):
+    return raw_contributions(t).select("ID", "feature", "shap_value", "feature_value")
+
+
+_TOP = """top AS (SELECT feature, avg(abs(shap_value)) AS mean_abs FROM contrib_ok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k})"""
+
+
+@query("top_features", f"WITH {_TOP.format(k=5)} SELECT feature, round(mean_abs, 6) AS mean_abs FROM top")
+def top_features(t: Tables):
+    return rounded(explain.top_contrib(contributions_table(t), 5), "mean_abs")
+
+
+@query(
+    "semi_top_features",
+    f"""WITH {_TOP.format(k=4)} SELECT feature, count(*) AS n, round(sum(shap_value), 4) AS total FROM contrib_ok
+    WHERE feature IN (SELECT feature FROM top) GROUP BY 1""",
+)
+def semi_top_features(t: Tables):
+    long = contributions_table(t)
+    kept = explain.keep_top(long, explain.top_contrib(long, 4))
+    return kept.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("shap_value"), 4).alias("total"))
+
+
+_SAMPLE = """(SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(ID || '|123'), ID) AS rn FROM contrib_ok {where})"""
+
+
+@query(
+    "sample_per_group",
+    f"SELECT feature, ID, shap_value FROM {_SAMPLE.format(where='')} s WHERE rn <= 400",
+)
+def sample_per_group(t: Tables):
+    return explain.sample_by_group(contributions_table(t), "feature", "ID", 400).select("feature", "ID", "shap_value")
+
+
+def scale_sql(missing: str, group: str) -> str:
+    low, high = (f"{f}(feature_value) OVER (PARTITION BY {group})" for f in ("min", "max"))
+    return f"""(CASE WHEN {low} IS NULL THEN {missing} WHEN {low} = {high} THEN 0.5 WHEN feature_value IS NULL THEN {missing}
+      ELSE (feature_value - {low}) / ({high} - {low}) END)::double"""
+
+
+@query(
+    "scale01_by_feature",
+    f"""SELECT ID, feature, round({scale_sql("0.5", "feature")}, 6) AS chart01, round({scale_sql("NULL", "feature")}, 6) AS fv01
+    FROM contrib""",
+)
+def scale01_by_feature(t: Tables):
+    long = raw_contributions(t)
+    chart = explain.scale01(long, 0.5).withColumnRenamed("fv01", "chart01")
+    # The chart fills what is missing; the insight scale is the same with the gaps kept.
+    gap = F.col("feature_value").isNull() & (F.col("feature") != "CONST_BIN")
+    scaled = chart.select("ID", "feature", "chart01", F.when(~gap, F.col("chart01")).alias("fv01"))
+    return rounded(scaled, "chart01", "fv01")
+
+
+
+def _pretty() -> str:
+    from anchorage.plans.cleaning import pretty_sql
+
+    return pretty_sql("feature")
+
+
+@query(
+    "contrib_chart_data",
+    f"""WITH {_TOP.format(k=20)}, s AS (SELECT * FROM {_SAMPLE.format(where="WHERE feature IN (SELECT feature FROM top)")} x WHERE rn <= 1500),
+    l AS (SELECT *, {_pretty()} AS feature_pretty FROM s)
+    SELECT ID, feature, feature_pretty, shap_value, feature_value, round({scale_sql("0.5", "feature_pretty")}, 6) AS fv01 FROM l""",
+)
+def contrib_chart_data(t: Tables):
+    found = explain.contrib_points(contributions_table(t))
+    return rounded(found.select("ID", "feature", "feature_pretty", "shap_value", "feature_value", "fv01"), "fv01")
+
+
+_METRICS = f"""scaled AS (SELECT *, {scale_sql("NULL", "feature")} AS v FROM contrib_ok),
+    metrics AS (SELECT *, CASE WHEN shap_high_mean > 0 THEN shap_high_mean * sqrt(p_high) END AS score_fuga_high,
+      CASE WHEN shap_high_mean < 0 THEN abs(shap_high_mean) * sqrt(p_high) END AS score_perm_high,
+      {_pretty()} AS feature_pretty
+    FROM (SELECT feature, avg(abs(shap_value)) AS mean_abs, count(*) FILTER (v >= 0.8) AS n_high,
+      (count(*) FILTER (v >= 0.8)) / count(*) AS p_high, avg(shap_value) FILTER (v >= 0.8) AS shap_high_mean,
+      quantile_cont(shap_value, 0.5) FILTER (v >= 0.8) AS shap_high_median,
+      quantile_cont(shap_value, 0.9) FILTER (v >= 0.8) AS shap_high_p90,
+      avg((shap_value > 0)::int) FILTER (v >= 0.8) AS pct_high_pos FROM scaled GROUP BY 1) m)"""
+
+_NUMBERS = ("mean_abs", "p_high", "shap_high_mean", "shap_high_median", "shap_high_p90", "pct_high_pos")
+_NUMBERS += ("score_fuga_high", "score_perm_high")
+_SHOWN = "feature, feature_pretty, n_high, " + ", ".join(f"round({n}, 5) AS {n}" for n in _NUMBERS)
+
+
+def shown(df):
+    return rounded(df, *_NUMBERS, digits=5)
+
+
+@query("contrib_metrics", f"WITH {_METRICS} SELECT {_SHOWN} FROM metrics")
+def contrib_metrics(t: Tables):
+    return shown(explain.contrib_metrics(contributions_table(t)))
+
+
+def strongest_sql(score: str) -> str:
+    return f"""WITH {_METRICS} SELECT {_SHOWN} FROM (SELECT * FROM metrics WHERE {score} IS NOT NULL AND n_high >= 80
+      ORDER BY {score} DESC, feature LIMIT 7) m"""
+
+
+@query("churn_drivers", strongest_sql("score_fuga_high"))
+def churn_drivers(t: Tables):
+    return shown(explain.drivers(explain.contrib_metrics(contributions_table(t))))
+
+
+@query("stay_drivers", strongest_sql("score_perm_high"))
+def stay_drivers(t: Tables):
+    return shown(explain.anchors(explain.contrib_metrics(contributions_table(t))))
