@@ -70,12 +70,9 @@ def scale_sql(missing: str, group: str) -> str:
     FROM contrib""",
 )
 def scale01_by_feature(t: Tables):
-    long = raw_contributions(t)
-    chart = explain.scale01(long, 0.5).withColumnRenamed("fv01", "chart01")
-    # The chart fills what is missing; the insight scale is the same with the gaps kept.
-    gap = F.col("feature_value").isNull() & (F.col("feature") != "CONST_BIN")
-    scaled = chart.select("ID", "feature", "chart01", F.when(~gap, F.col("chart01")).alias("fv01"))
-    return rounded(scaled, "chart01", "fv01")
+    # The chart fills what is missing, the insights keep the gaps.
+    chart = explain.scale01(raw_contributions(t), 0.5).withColumnRenamed("fv01", "chart01")
+    return rounded(explain.scale01(chart, None).select("ID", "feature", "chart01", "fv01"), "chart01", "fv01")
 
 
 

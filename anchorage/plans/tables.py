@@ -25,7 +25,7 @@ AGE_STAGES = ("01_DEPENDIENTE", "02_ADULTOJOVEN", "03_PRODUCTIVO", "04_ADULTOMAY
 
 # Weights of the linear score behind the contribution table.
 CONTRIB_WEIGHTS = {
-    "ACCT_BAL": 0.0002,
+    "ACCT_BAL": -0.0002,
     "NUM_ORDERS": -0.05,
     "NUM_ITEMS": 0.01,
     "Prestaciones_PAC": -0.03,
