@@ -166,7 +166,7 @@ def cut(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
 
 def tie_slice(key: Column) -> Column:
     """First md5 byte of a key: the tie order that both SQL engines share."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 2), 16, 10).cast("int")
+    return F.coalesce(F.conv(F.substring(F.md5(key.cast("string")), 1, 2), 16, 10).cast("int"), F.lit(0))
 
 
 def hash_percent(key: Column) -> Column:

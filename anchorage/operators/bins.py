@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,34 +9,34 @@ from anchorage.operators.prefix import exact_quantiles, ranked
 
 
 def quantile_edges(df: DataFrame, value: Column, q: int) -> Column:
-    """Distinct quantile edges as a scalar subquery: an array of at most q + 1 numbers."""
+    """Distinct quantile edges as a scalar subquery: at most q + 1 numbers, null when all are one."""
     found = exact_quantiles(df, value, [i / q for i in range(q + 1)], name="edges")
-    return found.select(F.array_distinct("edges").alias("edges")).scalar()
+    distinct = F.array_distinct("edges")
+    return found.select(F.when(F.size(distinct) > 1, distinct).alias("edges")).scalar()
 
 
-def bin_of(value: Column, edges: Column, q: int) -> Column:
-    """0-based right-closed bin; the first bin is closed on both sides, null stays null.
+def binned(df: DataFrame, col: str, edges: Column, out: str = "bin") -> DataFrame:
+    """0-based right-closed bins; the first bin is closed on both sides, null stays null.
 
-    With duplicate edges dropped there are fewer than q bins. ``edges`` is a
-    column already in the row, so the subquery behind it is planned once.
+    With duplicate edges dropped there are fewer bins. The edges are read once,
+    so the subquery behind them is planned once.
     """
-    passed = [F.when(value > F.get(edges, F.lit(i)), 1).otherwise(0) for i in range(1, q + 1)]
-    return F.when(value.isNotNull() & (F.size(edges) > 1), F.least(reduce(add, passed), F.size(edges) - 2))
+    value = F.col(col)
+    below = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(e < value, 1).otherwise(0))
+    place = F.when(value.isNotNull(), F.greatest(below - 1, F.lit(0)))
+    return df.withColumn("_edges", edges).withColumn(out, place).drop("_edges")
 
 
 def qcut(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
     """Quantile bins by value, so equal values always share a bin (unlike ntile)."""
-    placed = df.withColumn("_edges", quantile_edges(df, F.col(col), q))
-    return placed.withColumn(out, bin_of(F.col(col), F.col("_edges"), q)).drop("_edges")
+    return binned(df, col, quantile_edges(df, F.col(col), q), out)
 
 
-def qcut_bounds(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
-    """qcut plus the edges of the bin each row fell into."""
-    edges = F.col("_edges")
-    placed = df.withColumn("_edges", quantile_edges(df, F.col(col), q))
-    binned = placed.withColumn(out, bin_of(F.col(col), edges, q))
-    return binned.withColumns(
-        {f"{out}_low": F.get(edges, F.col(out)), f"{out}_high": F.get(edges, F.col(out) + 1)}
+def with_bounds(df: DataFrame, edges: Column, col: str = "bin") -> DataFrame:
+    """Edges of each row's bin; apply it after aggregating when only bins are shown."""
+    placed = df.withColumn("_edges", edges)
+    return placed.withColumns(
+        {f"{col}_low": F.get("_edges", F.col(col)), f"{col}_high": F.get("_edges", F.col(col) + 1)}
     ).drop("_edges")
 
 

@@ -130,13 +130,13 @@ def modelling_base(df: DataFrame, churn: str = "FALLA_BIN", tenure: str = "meses
 def with_tenure(df: DataFrame) -> DataFrame:
     """Churn label and whole-month tenure; an open spell ends at the cut-off date."""
     cutoff = df.agg(F.greatest(F.max("FECHA_FIN"), F.max("FECHA_INICIO"))).scalar()
-    end = F.coalesce(F.col("FECHA_FIN"), cutoff)
-    return df.withColumns(
+    ended = df.withColumn("_end", F.coalesce(F.col("FECHA_FIN"), cutoff)).withColumns(
         {
             "FALLA_BIN": (F.col("FALLA") == "CANCELADOS").cast("int"),
-            "meses_transcurridos": c.months_elapsed(F.col("FECHA_INICIO"), end),
+            "meses_transcurridos": c.months_elapsed(F.col("FECHA_INICIO"), F.col("_end")),
         }
     )
+    return ended.drop("_end")
 
 
 def first_per_id(df: DataFrame, key: str, *order) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.functions.columns import is_finite
-from anchorage.operators.bins import qcut, qcut_bounds
+from anchorage.operators.bins import binned, qcut, quantile_edges, with_bounds
 from anchorage.operators.prefix import exact_quantiles
 
 RISK = "Riesgo_Calculado"
@@ -64,9 +64,10 @@ def risk_by_level(df: DataFrame, var: str) -> DataFrame:
 
 def inspect_numeric(df: DataFrame, var: str, q: int = 10) -> DataFrame:
     """Mean risk per quantile bin of a numeric variable, beside the global mean."""
-    binned = qcut_bounds(df, var, q, "rango")
-    found = _with_global_mean(_sums(binned, "rango", "rango_low", "rango_high")).where(F.col("rango").isNotNull())
-    return found.select("rango", "rango_low", "rango_high", "n", "riesgo", "riesgo_global").orderBy("rango")
+    edges = quantile_edges(df, F.col(var), q)
+    found = _with_global_mean(_sums(binned(df, var, edges, "rango"), "rango")).where(F.col("rango").isNotNull())
+    bounded = with_bounds(found, edges, "rango")
+    return bounded.select("rango", "rango_low", "rango_high", "n", "riesgo", "riesgo_global").orderBy("rango")
 
 
 def risk_curve(df: DataFrame, var: str) -> DataFrame:
@@ -102,17 +103,18 @@ def contrast(df: DataFrame, groups: Mapping[str, Column]) -> DataFrame:
 
 def risk_matrix(df: DataFrame, rows: Sequence[str], col: str, levels: Sequence[str]) -> DataFrame:
     """Mean risk by row keys and known column levels."""
-    known = df.where(F.col(rows[0]).isNotNull() & F.col(col).isNotNull())
     cells = [F.avg(F.when(F.col(col) == level, F.col(RISK))).alias(level) for level in levels]
-    return known.groupBy(*rows).agg(*cells)
+    wide = df.groupBy(*rows).agg(F.count(col).alias("_known"), *cells)
+    return wide.where(F.col(rows[0]).isNotNull() & (F.col("_known") > 0)).drop("_known")
 
 
 def vulnerability_matrix(df: DataFrame, income: str, stage: str, levels: Sequence[str]) -> DataFrame:
     """Income (in deciles when it has many values) by life stage."""
     if not has_many_values(df, income):
         return risk_matrix(df, [income], stage, levels)
-    binned = qcut_bounds(df, income, 10, "rango")
-    return risk_matrix(binned, ["rango", "rango_low", "rango_high"], stage, levels)
+    edges = quantile_edges(df, F.col(income), 10)
+    ranged = binned(df, income, edges, "rango")
+    return with_bounds(risk_matrix(ranged, ["rango"], stage, levels), edges, "rango")
 
 
 def age_income_matrix(df: DataFrame, age: str, income: str) -> DataFrame:

@@ -171,7 +171,9 @@ def distinct_guard(t: Tables):
       SELECT *, {bin_sql("c_acctbal")} AS b FROM customer, {edges_sql("c_acctbal", 10, "customer")} q) x""",
 )
 def quantile_bins(t: Tables):
-    found = bins.qcut_bounds(t.raw("customer").select("c_custkey", "c_acctbal"), "c_acctbal", 10)
+    rows = t.raw("customer").select("c_custkey", "c_acctbal")
+    edges = bins.quantile_edges(rows, F.col("c_acctbal"), 10)
+    found = bins.with_bounds(bins.binned(rows, "c_acctbal", edges), edges)
     return rounded(found.drop("c_acctbal"), "bin_low", "bin_high")
 
 
