@@ -164,11 +164,11 @@ def cut(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     return out
 
 
-def tie_slice(key: Column) -> Column:
-    """First md5 byte of a key: the tie order that both SQL engines share."""
-    return F.coalesce(F.conv(F.substring(F.md5(key.cast("string")), 1, 2), 16, 10).cast("int"), F.lit(0))
+def tie_order(key: Column) -> Column:
+    """First 32 md5 bits of a key: an even tie order that other SQL engines can repeat."""
+    return F.coalesce(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(0))
 
 
 def hash_percent(key: Column) -> Column:
     """Repeatable 0..99 draw per key."""
-    return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % 100).cast("int")
+    return (tie_order(key) % 100).cast("int")

@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorage.functions.columns import number_or_null, pretty_feature_name, tie_slice
-from anchorage.operators.prefix import exact_quantiles
+from anchorage.functions.columns import number_or_null, pretty_feature_name
+from anchorage.operators.prefix import exact_quantiles, piece_bits
 from anchorage.session import lookup_join
 
 HIGH = 0.80
@@ -54,14 +54,16 @@ def keep_top(df: DataFrame, top: DataFrame) -> DataFrame:
     return df.join(top, "feature", "left_semi")
 
 
-def sample_by_group(df: DataFrame, group: str, key: str, n: int = 1500, seed: int = 123, slices: int = 64) -> DataFrame:
+def sample_by_group(df: DataFrame, group: str, key: str, n: int = 1500, seed: int = 123) -> DataFrame:
     """At most n rows per group in md5 order of key and seed, so every run picks the same.
 
     A group may hold most of the table, so each group is first cut to n rows in
-    each of ``slices`` independent slices; only slices * n rows per group go on.
+    every one of its slices, whose number follows the cluster's partitions; only
+    slices * n rows per group go on.
     """
     order = F.md5(F.concat_ws("|", F.col(key), F.lit(str(seed))))
-    drawn = df.withColumns({"_draw": order, "_slice": tie_slice(order) % slices})
+    last_digits = F.conv(F.substring(order, 29, 4), 16, 10).cast("int")
+    drawn = df.withColumns({"_draw": order, "_slice": last_digits % 2 ** piece_bits(df)})
     first = Window.partitionBy(group, "_slice").orderBy("_draw", key)
     last = Window.partitionBy(group).orderBy("_draw", key)
     cut = drawn.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n)

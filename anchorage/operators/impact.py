@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from anchorage.functions.columns import hash_percent, is_finite
 from anchorage.operators.checks import KEY, LABEL, SCORE
 from anchorage.operators.portfolio import active_only, apply_filters
-from anchorage.operators.prefix import count_below, ranked, running_before, top_n
+from anchorage.operators.prefix import as_columns, count_below, ranked, running_before, top_n
 from anchorage.session import written
 
 ID = "AFILIADO_ID_EPS"
@@ -214,7 +214,7 @@ def impact(base: DataFrame, campaigns: DataFrame) -> DataFrame:
     base = written(base.select(ID, RISK))
     sized = campaigns.withColumn("_total", base.agg(F.count(F.lit(1))).scalar())
     wanted = F.coalesce(F.col("budget").cast("bigint"), F.least(F.lit(DEFAULT_CONTACTS), total))
-    sized = sized.withColumn("n", F.least(wanted, total)).drop("_total")
+    sized = as_columns(sized.withColumn("_wanted", F.least(wanted, total)), campaigns.columns, n="_wanted")
     order = ranked(base, RISK, ID).select(F.col("rank").alias("n"), RISK)
     placed = order.join(sized.select("n").distinct(), "n")
     counts = base.groupBy(RISK).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.col("_n") * F.col(RISK))

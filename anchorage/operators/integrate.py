@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorage.functions import columns as c
+from anchorage.operators.prefix import as_columns
 
 ID = "AFILIADO_ID_EPS"
 RISK_COLUMNS = ("risk_12m", "grupo_operativo", "tiempo_gatillo_m")
@@ -58,7 +59,8 @@ def counts_in_window(
     """
     names = [f"{kind}_{plan}" for kind in kinds for plan in plans]
     tag = F.concat_ws("_", "tipo", "plan")
-    bounded = spells.withColumns({"_hi": end, "_lo": F.date_sub("FECHA_INICIO", 1)})
+    bounded = spells.withColumns({"_end": end, "_start": F.date_sub("FECHA_INICIO", 1)})
+    bounded = as_columns(bounded, spells.columns, _hi="_end", _lo="_start")
     daily = events.select(ID, F.col("fecha").alias("_day"), *[(tag == n).cast("bigint").alias(n) for n in names])
     edges = bounded.select(ID, F.explode(F.array("_lo", "_hi")).alias("_day"), *[F.lit(0).cast("bigint").alias(n) for n in names])
     per_day = daily.unionByName(edges).where(F.col("_day").isNotNull()).groupBy(ID, "_day").agg(

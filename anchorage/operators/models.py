@@ -47,15 +47,22 @@ def assembled(features: Sequence[str], out: str = "features") -> VectorAssembler
 # -- churn -----------------------------------------------------------------
 
 
+def training_rows(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
+    """Just what a fit reads, written once: every stage of the fit passes over it."""
+    return written(filled(df, features).select(*keep, *features))
+
+
 def fit_logit(df: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
     logit = LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="peso", maxIter=50)
-    return Pipeline(stages=[assembled(features), scaler, logit]).fit(with_class_weight(filled(df, features), label))
+    rows = training_rows(df, features, label)
+    return Pipeline(stages=[assembled(features), scaler, logit]).fit(with_class_weight(rows, label))
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, rounds: int = 20) -> PipelineModel:
     """Boosted trees; a hashed fifth of the rows stops the boosting early."""
-    rows = with_class_weight(filled(df, features), label).withColumn("valida", hash_percent(F.col(key)) < 20)
+    held_out = df.withColumn("valida", hash_percent(F.col(key)) < 20)
+    rows = with_class_weight(training_rows(held_out, features, label, "valida"), label)
     trees = GBTClassifier(
         labelCol=label,
         weightCol="peso",
@@ -116,7 +123,7 @@ def scaled_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def fit_segments(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """Seeded K-Means on scaled features; adds ``segmento``."""
-    rows = scaled_features(df, features)
+    rows = written(scaled_features(df, features))
     model = KMeans(k=k, seed=SEED, predictionCol="segmento").fit(rows)
     return model.transform(rows).drop("raw", "features")
 
@@ -162,7 +169,7 @@ def person_months(df: DataFrame, features: Sequence[str], time: str = "t_m", eve
 def fit_hazard(df: DataFrame, features: Sequence[str], trees: int = 10, depth: int = 5) -> PipelineModel:
     """Random forest on the monthly hazard."""
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="peso", labelCol="label", seed=SEED)
-    return Pipeline(stages=[assembled([*features, "mes"]), forest]).fit(person_months(df, features))
+    return Pipeline(stages=[assembled([*features, "mes"]), forest]).fit(written(person_months(df, features)))
 
 
 def hazard_curve(model: PipelineModel, profiles: DataFrame, key: str, last_month: int = 24) -> DataFrame:

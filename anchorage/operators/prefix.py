@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorage.functions.columns import tie_slice
+from anchorage.functions.columns import tie_order
 
 TAKE_AT_MOST = 100_000
 
@@ -51,6 +51,16 @@ def count_below(points: Column, value: Column, bits: int, inclusive: bool = Fals
     return F.coalesce(F.aggregate(steps, F.lit(0), narrow), F.lit(0))
 
 
+def as_columns(df: DataFrame, keep: Sequence[str], **cells: str) -> DataFrame:
+    """Rename computed columns through a one-row generator.
+
+    The optimizer then treats them as given and neither copies the search
+    behind them into filters nor infers it across the join that follows.
+    """
+    row = F.struct(*[F.col(source).alias(name) for name, source in cells.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def running_before(
     counts: DataFrame,
     value: str,
@@ -69,7 +79,8 @@ def running_before(
     bits = piece_bits(counts)
     anchor = F.when((F.col(totals[0]) if weight is None else weight) > 0, F.col(value))
     pieces = counts.withColumn("_points", split_points(counts, anchor, bits))
-    pieces = pieces.withColumn("_piece", count_below(F.col("_points"), F.col(value), bits)).drop("_points")
+    pieces = pieces.withColumn("_found", count_below(F.col("_points"), F.col(value), bits)).drop("_points")
+    pieces = as_columns(pieces, counts.columns, _piece="_found")
 
     def direction(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
@@ -100,24 +111,27 @@ def running_before(
 
 
 def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame:
-    """Exact 1..N rank by score descending, nulls last, ties by (tie_slice, key).
+    """Exact 1..N rank by score descending, nulls last, ties by (tie_order, key).
 
-    A score held by many rows is itself a split point, so its rows are spread
-    over the 256 tie slices instead of landing in one task.
+    A score held by many rows is itself a split point. Its rows are cut by the
+    leading bits of the tie order, as finely as the score range is, instead of
+    landing in one task.
     """
     bits = piece_bits(df)
     s = F.col(score)
     points = F.col("_points")
     piece = F.when(s.isNull(), -1).otherwise(count_below(points, s, bits))
     placed = df.withColumn("_points", split_points(df, s, bits)).withColumns(
-        {"_piece": piece, "_tie": tie_slice(F.col(key))}
+        {"_found": piece, "_tie": tie_order(F.col(key))}
     )
-    at_point = s.isNull() | F.coalesce(F.get(points, F.col("_piece")) == s, F.lit(False))
-    placed = placed.withColumn("_hot", at_point).drop("_points")
-    placed = placed.withColumn("_slice", F.when(F.col("_hot"), F.col("_tie")).otherwise(-1))
+    at_point = s.isNull() | F.coalesce(F.get(points, F.col("_found")) == s, F.lit(False))
+    placed = placed.withColumn("_at", at_point).drop("_points")
+    lead = F.shiftright("_tie", 32 - bits).cast("int")
+    placed = placed.withColumn("_lead", F.when(F.col("_at"), lead).otherwise(-1))
+    placed = as_columns(placed, [*df.columns, "_tie"], _piece="_found", _hot="_at", _slice="_lead")
     cell = ["_piece", "_hot", "_slice"]
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    # At most 257 * 2**bits rows, whatever the input size.
+    # At most (1 + 2**bits) * 2**bits rows, whatever the input size.
     order = Window.orderBy(F.desc("_piece"), F.desc("_hot"), F.asc("_slice"))
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
@@ -132,7 +146,7 @@ def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame
 def top_n(df: DataFrame, n: int, score: str, key: str) -> DataFrame:
     """The n highest scores: take-ordered while n is small, a global rank beyond it."""
     if n <= TAKE_AT_MOST:
-        return df.orderBy(F.desc_nulls_last(score), tie_slice(F.col(key)), key).limit(n)
+        return df.orderBy(F.desc_nulls_last(score), tie_order(F.col(key)), key).limit(n)
     return ranked(df, score, key, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.functions.columns import tie_slice
+from anchorage.functions.columns import tie_order
 
 ID = "AFILIADO_ID_EPS"
 
@@ -22,4 +22,4 @@ def ranking(df: DataFrame, columns: Sequence[str], limit: int = 5, offset: int =
         "FECHA_INICIO",
         *[n for n in columns if n in df.columns],
     )
-    return shown.orderBy(F.desc_nulls_last("riesgo"), tie_slice(F.col(ID)), ID).offset(offset).limit(limit)
+    return shown.orderBy(F.desc_nulls_last("riesgo"), tie_order(F.col(ID)), ID).offset(offset).limit(limit)

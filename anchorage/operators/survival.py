@@ -131,8 +131,9 @@ def assign_group(df: DataFrame, threshold: float = 0.30, digits: int = 9) -> Dat
         group = F.when(risk(month) >= threshold, label).otherwise(group)
     curve = F.array(*names)
     passed = F.transform(curve, lambda v: F.round(v if kind == "risk" else 1 - v, digits) >= threshold)
-    first = F.nullif(F.array_position(passed, F.lit(True)).cast("int"), F.lit(0))
-    return df.select(ID, group.alias("grupo"), first.alias("mes_gatillo"))
+    first = F.array_position(passed, F.lit(True)).cast("int")
+    found = df.select(ID, group.alias("grupo"), first.alias("mes_gatillo"))
+    return found.withColumn("mes_gatillo", F.nullif("mes_gatillo", F.lit(0)))
 
 
 def c_index(df: DataFrame, time: str, event: str, risk: str, bits: int = 20) -> DataFrame:

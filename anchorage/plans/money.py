@@ -31,7 +31,7 @@ def base(t: Tables):
     "risk_ranking",
     """SELECT AFILIADO_ID_EPS, riesgo, printf('%.2f%%', riesgo * 100) AS probabilidad, FECHA_INICIO, TIPO_AFILIADO, PLAN
     FROM (SELECT *, risk_12m AS riesgo, row_number() OVER (ORDER BY risk_12m DESC NULLS LAST,
-      ('0x' || substr(md5(AFILIADO_ID_EPS), 1, 2))::int, AFILIADO_ID_EPS) AS page_rank FROM active_risk) r
+      ('0x' || substr(md5(AFILIADO_ID_EPS), 1, 8))::bigint, AFILIADO_ID_EPS) AS page_rank FROM active_risk) r
     WHERE page_rank > 20 AND page_rank <= 45""",
 )
 def risk_ranking(t: Tables):

@@ -108,7 +108,7 @@ CTE["perm_one"] = "\n  SELECT * FROM permanencia WHERE dup = 0"
 CTE["scored"] = """
   SELECT c_custkey AS id, risk_12m AS Probabilidad,
     ((('0x' || substr(md5(c_custkey::varchar), 1, 8))::bigint % 1000) / 1000.0::double < risk_12m)::int AS Es_Fuga_Real,
-    ('0x' || substr(md5(c_custkey::varchar), 1, 2))::int AS tie
+    ('0x' || substr(md5(c_custkey::varchar), 1, 8))::bigint AS tie
   FROM base_risk"""
 
 CTE["scored_ranked"] = """
@@ -153,7 +153,7 @@ CTE["active_risk"] = """
 
 CTE["active_ranked"] = """
   SELECT *, row_number() OVER (ORDER BY risk_12m DESC NULLS LAST,
-      ('0x' || substr(md5(AFILIADO_ID_EPS), 1, 2))::int, AFILIADO_ID_EPS) AS rk,
+      ('0x' || substr(md5(AFILIADO_ID_EPS), 1, 8))::bigint, AFILIADO_ID_EPS) AS rk,
     count(*) OVER () AS n_all
   FROM active_risk WHERE risk_12m IS NOT NULL"""
 

@@ -179,11 +179,11 @@ class Tables:
             F.transform(months, lambda m: F.round(1 - F.pow(1 - risk, m / 12.0), 9) >= RISK_CUT), F.lit(True)
         )
         copies = F.when(F.col("c_acctbal") < 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        return self.base_risk.select(
+        return self.base_risk.withColumn("_first", first.cast("int")).select(
             F.col("c_custkey").cast("string").alias("AFILIADO_ID_EPS"),
             "risk_12m",
             group.alias("grupo_operativo"),
-            F.nullif(first, F.lit(0)).cast("int").alias("tiempo_gatillo_m"),
+            F.nullif("_first", F.lit(0)).alias("tiempo_gatillo_m"),
             F.explode(copies).alias("dup"),
             *[survival(m).alias(f"S_{m}m") for m in range(1, MONTHS + 1)],
         )

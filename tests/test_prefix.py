@@ -23,14 +23,14 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "id long, Probabilidad double, Es_Fuga_Real int, g string")
 
 
-def md5_byte(key):
+def md5_bits(key):
     import hashlib
 
-    return int(hashlib.md5(str(key).encode()).hexdigest()[:2], 16)
+    return int(hashlib.md5(str(key).encode()).hexdigest()[:8], 16)
 
 
 def ordered(rows):
-    return sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), md5_byte(r[0]), r[0]))
+    return sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), md5_bits(r[0]), r[0]))
 
 
 def test_ranked(skewed):
