@@ -122,7 +122,7 @@ def ab_export(t: Tables):
         f"""SELECT {p}::double AS parte, count(*) AS gestionados, sum(Es_Fuga_Real)::bigint AS fugas_reales,
       round(sum(Probabilidad), 4) AS fugas_esp,
       trunc(sum(Es_Fuga_Real) * 0.3::double) * {PLAN.ltv} - count(*) * {_P} AS ganancia_real,
-      round(sum(Probabilidad) * 0.3 * {PLAN.ltv} - (count(*) * {PLAN.call_cost} + sum(Probabilidad) * 0.3 * {PLAN.incentive}), 2)
+      round(sum(Probabilidad) * 0.3 * {PLAN.ltv} - (count(*) * {PLAN.call_cost} + sum(Probabilidad) * 0.3 * {PLAN.incentive}), 4)
         AS ganancia_esp
     FROM scored_ranked WHERE rk <= ceil({p} * n_all)"""
         for p in (0.05, 0.1, 0.2)
@@ -130,7 +130,7 @@ def ab_export(t: Tables):
 )
 def intervention_scenarios(t: Tables):
     found = impact.scenarios(t.scored, PLAN, (0.05, 0.1, 0.2))
-    return found.withColumns({"fugas_esp": F.round("fugas_esp", 4), "ganancia_esp": F.round("ganancia_esp", 2)})
+    return found.withColumns({"fugas_esp": F.round("fugas_esp", 4), "ganancia_esp": F.round("ganancia_esp", 4)})
 
 
 # -- expected value --------------------------------------------------------
@@ -148,11 +148,11 @@ def impact_base(t: Tables):
 
 def kpi_sql(source: str, ltv: str, call: str, incentive: str, success: str, keep: str) -> str:
     """Expected-value columns over rows of (n, fugas_esp)."""
-    return f"""SELECT {keep}, n, round(fugas_esp, 4) AS fugas_esp, round(fugas_esp * {success}, 4) AS salvados_esp,
-      round(fugas_esp * {success} * {ltv}, 2) AS retorno_esp, (n * {call})::double AS costo_llamadas,
-      round(fugas_esp * {success} * {incentive}, 2) AS costo_incentivos,
-      round(n * {call} + fugas_esp * {success} * {incentive}, 2) AS costo_esp,
-      round(fugas_esp * {success} * {ltv} - (n * {call} + fugas_esp * {success} * {incentive}), 2) AS ganancia_neta,
+    return f"""SELECT {keep}, n, round(fugas_esp, 4) AS fugas_esp, round(fugas_esp * {success}, 5) AS salvados_esp,
+      round(fugas_esp * {success} * {ltv}, 4) AS retorno_esp, (n * {call})::double AS costo_llamadas,
+      round(fugas_esp * {success} * {incentive}, 4) AS costo_incentivos,
+      round(n * {call} + fugas_esp * {success} * {incentive}, 4) AS costo_esp,
+      round(fugas_esp * {success} * {ltv} - (n * {call} + fugas_esp * {success} * {incentive}), 4) AS ganancia_neta,
       CASE WHEN n * {call} + fugas_esp * {success} * {incentive} > 0
         THEN round((fugas_esp * {success} * {ltv} - (n * {call} + fugas_esp * {success} * {incentive}))
           / (n * {call} + fugas_esp * {success} * {incentive}), 6) END AS roi
@@ -160,8 +160,9 @@ def kpi_sql(source: str, ltv: str, call: str, incentive: str, success: str, keep
 
 
 def money_rounded(df):
-    digits = {"fugas_esp": 4, "salvados_esp": 4, "roi": 6}
-    digits |= {n: 2 for n in ("retorno_esp", "costo_incentivos", "costo_esp", "ganancia_neta")}
+    # The products carry four decimals, so four digits never meet an exact half.
+    digits = {"fugas_esp": 4, "salvados_esp": 5, "roi": 6}
+    digits |= {n: 4 for n in ("retorno_esp", "costo_incentivos", "costo_esp", "ganancia_neta")}
     return df.withColumns({n: F.round(n, d) for n, d in digits.items() if n in df.columns})
 
 
@@ -192,9 +193,8 @@ _TOP = f"""tops AS (SELECT count(*) AS n, sum(risk_12m) AS fugas_esp, avg(risk_1
 def impact_table(t: Tables):
     found = impact.impact_table(base(t), DASHBOARD)
     exact = F.col("metrica").isin("prob_media", "roi")
-    people = F.col("metrica").isin("fugas_esp", "salvados_esp")
     v = F.col("valor")
-    return found.withColumn("valor", F.when(exact, F.round(v, 6)).when(people, F.round(v, 4)).otherwise(F.round(v, 2)))
+    return found.withColumn("valor", F.when(exact, F.round(v, 6)).otherwise(F.round(v, 4)))
 
 
 _POINTS = """z AS (SELECT count(*) AS filas FROM active_ranked),
@@ -215,7 +215,7 @@ def profit_points(t: Tables):
     f"""WITH {_POINTS.format(n=DASHBOARD.budget)},
     s AS (SELECT k, sum(risk_12m) AS f FROM points JOIN active_ranked ON rk <= k GROUP BY k)
     SELECT k, round(f, 4) AS fugas_esp, round(least(f, k * 0.3) * {DASHBOARD.ltv}
-      - (k * {DASHBOARD.call_cost} + least(f, k * 0.3) * {DASHBOARD.incentive}), 2) AS ganancia_neta FROM s""",
+      - (k * {DASHBOARD.call_cost} + least(f, k * 0.3) * {DASHBOARD.incentive}), 4) AS ganancia_neta FROM s""",
 )
 def profit_curve_n(t: Tables):
     return money_rounded(impact.profit_by_n(base(t), DASHBOARD))
@@ -230,13 +230,14 @@ def axis_sql(name: str) -> str:
 
 @query(
     "sensitivity_expected",
-    f"""WITH {_TOP} SELECT incentivo, exito, round(fugas_esp * exito, 4) AS salvados_esp,
-      round(n * {DASHBOARD.call_cost} + fugas_esp * exito * incentivo, 2) AS costo_esp,
-      round(fugas_esp * exito * {DASHBOARD.ltv} - (n * {DASHBOARD.call_cost} + fugas_esp * exito * incentivo), 2) AS ganancia_neta
+    f"""WITH {_TOP} SELECT incentivo, exito, round(fugas_esp * exito, 5) AS salvados_esp,
+      round(n * {DASHBOARD.call_cost} + fugas_esp * exito * incentivo, 5) AS costo_esp,
+      round(fugas_esp * exito * {DASHBOARD.ltv} - (n * {DASHBOARD.call_cost} + fugas_esp * exito * incentivo), 5) AS ganancia_neta
     FROM tops, {axis_sql("incentivo")}, {axis_sql("exito")}""",
 )
 def sensitivity_expected(t: Tables):
-    return money_rounded(impact.grid_expected(base(t), DASHBOARD))
+    # Success rates with two decimals give products with five.
+    return rounded(impact.grid_expected(base(t), DASHBOARD), "salvados_esp", "costo_esp", "ganancia_neta", digits=5)
 
 
 @query(

@@ -142,7 +142,7 @@ CTE["campaigns"] = """
     CASE WHEN s_suppkey % 5 = 0 THEN 'sin dato' WHEN s_suppkey % 5 = 1 THEN ' ' || money ELSE money END AS ltv,
     CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE (s_suppkey % 90 + 1)::varchar || ' 000' END AS call_cost,
     '$ ' || money AS incentive,
-    CASE WHEN s_suppkey % 6 = 0 THEN 'NaN' ELSE '0.' || lpad((s_suppkey % 80)::varchar, 2, '0') END AS success,
+    CASE WHEN s_suppkey % 6 = 0 THEN 'NaN' ELSE '0.' || (s_suppkey % 10)::varchar END AS success,
     CASE WHEN s_suppkey % 7 = 0 THEN '-3' WHEN s_suppkey % 7 = 1 THEN 'x' ELSE ((s_suppkey + 1) * 37)::varchar END AS budget
   FROM (SELECT s_suppkey, format('{:,}', round_even(abs(s_acctbal) * 1000, 0)::bigint) AS money FROM supplier) s"""
 

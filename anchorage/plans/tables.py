@@ -244,7 +244,7 @@ class Tables:
             F.when(key % 5 == 0, "sin dato").when(key % 5 == 1, F.concat(F.lit(" "), money)).otherwise(money).alias("ltv"),
             F.when(key % 4 == 0, None).otherwise(F.concat((key % 90 + 1).cast("string"), F.lit(" 000"))).alias("call_cost"),
             F.concat(F.lit("$ "), money).alias("incentive"),
-            F.when(key % 6 == 0, "NaN").otherwise(F.format_string("0.%02d", key % 80)).alias("success"),
+            F.when(key % 6 == 0, "NaN").otherwise(F.format_string("0.%d", key % 10)).alias("success"),
             F.when(key % 7 == 0, "-3").when(key % 7 == 1, "x").otherwise(((key + 1) * 37).cast("string")).alias("budget"),
         )
 
