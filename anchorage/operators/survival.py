@@ -4,6 +4,7 @@ calendar bounds, never over affiliates."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,3 +176,9 @@ def c_index(df: DataFrame, time: str, event: str, risk: str, bits: int = 20) ->
     )
     won = F.col("concordantes") + F.col("empates") / 2
     return found.withColumn("c_index", F.try_divide(won, F.col("comparables")))
+
+
+def stack_curves(df: DataFrame, columns: Sequence[str], k: int = 12) -> DataFrame:
+    """Kaplan-Meier curves of several variables in one long table; each curve is a small summary."""
+    curves = [km(df, c, k).withColumn("variable", F.lit(c)) for c in columns]
+    return reduce(DataFrame.unionByName, curves)

@@ -128,3 +128,20 @@ def operational_group_rule(t: Tables):
 )
 def c_index(t: Tables):
     return rounded(survival.c_index(clean.valid_spells(book(t)), "t_m", "event", "Riesgo_Calculado"), "c_index")
+
+
+_STACKED = ("PLAN", "CONDICION_SALUD")
+_STRATA = "\nUNION ALL ".join(
+    f"""SELECT '{v}' AS variable, {v} AS grupo, t_m AS t, sum(event) AS d, count(*) AS m FROM valid GROUP BY 1, 2, 3""" for v in _STACKED
+)
+
+
+@query(
+    "stack_strata",
+    f"""SELECT variable, grupo, round(t, 6) AS t, round(s, 6) AS "S_t", round(1 - s, 6) AS risk_t, n::bigint AS n FROM (
+      SELECT *, product(1 - d / n_risk) OVER (PARTITION BY variable, grupo ORDER BY t) AS s FROM (
+        SELECT *, sum(m) OVER (PARTITION BY variable, grupo ORDER BY t DESC) AS n_risk,
+          sum(m) OVER (PARTITION BY variable, grupo) AS n FROM ({_STRATA}) a) b) c""",
+)
+def stack_strata(t: Tables):
+    return rounded(survival.stack_curves(book(t), _STACKED), "t", "S_t", "risk_t")
