@@ -22,9 +22,13 @@ def binned(df: DataFrame, col: str, edges: Column, out: str = "bin") -> DataFram
     so the subquery behind them is planned once.
     """
     value = F.col(col)
-    below = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(e < value, 1).otherwise(0))
-    place = F.when(value.isNotNull(), F.greatest(below - 1, F.lit(0)))
-    return df.withColumn("_edges", edges).withColumn(out, place).drop("_edges")
+    place = F.aggregate(
+        "_edges",
+        F.lit(0),
+        lambda n, e: n + F.when(e < value, 1).otherwise(0),
+        lambda n: F.greatest(n - 1, F.lit(0)),
+    )
+    return df.withColumn("_edges", edges).withColumn(out, F.when(value.isNotNull(), place)).drop("_edges")
 
 
 def qcut(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:

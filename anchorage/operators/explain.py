@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorage.functions.columns import number_or_null, pretty_feature_name
@@ -17,11 +17,17 @@ MIN_HIGH = 80
 
 def tidy(df: DataFrame) -> DataFrame:
     """Text columns to their types; rows without a feature or a contribution go."""
+    types = dict(df.dtypes)
+
+    def number(name: str) -> Column:
+        value = number_or_null(F.col(name)) if types[name] == "string" else F.col(name).cast("double")
+        return value.alias(name)
+
     return df.select(
         F.col("ID").cast("string").alias("ID"),
         F.col("feature").cast("string").alias("feature"),
-        number_or_null(F.col("shap_value").cast("string")).alias("shap_value"),
-        number_or_null(F.col("feature_value").cast("string")).alias("feature_value"),
+        number("shap_value"),
+        number("feature_value"),
     ).where((F.col("feature") != "") & F.col("shap_value").isNotNull())
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from anchorage.operators import bins, checks, impact, integrate, survival
 from anchorage.operators.explain import sample_by_group, scale01
 from anchorage.operators.prefix import exact_quantiles, ranked, top_n
+from anchorage.session import lookup_join, scratch_path, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -203,3 +204,36 @@ def test_lift_ends_at_full_coverage(skewed):
     table = checks.lift(df.where(F.col("Probabilidad").isNotNull())).collect()
     assert table[-1].cobertura == pytest.approx(100.0)
     assert sum(r.clientes for r in table) == df.where(F.col("Probabilidad").isNotNull()).count()
+
+
+def test_lookup_join_either_way(spark):
+    big = spark.range(100).select((F.col("id") % 5).alias("k"))
+    small = spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    for limit in (1, 100):
+        joined = lookup_join(big, small, "k", max_rows=limit)
+        assert joined.count() == 100
+        assert joined.where(F.col("v").isNull()).count() == 20
+    assert "BroadcastExchange" in lookup_join(big, small, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_folder_is_the_sessions(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_folder(spark)
+    assert named is None or shared_folder(spark) == named
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_no_cross_joins_or_python_in_plans(spark, folder):
+    from anchorage.plans import ORACLES, QUERIES
+
+    for name in ("impact_kpis", "vulnerability_matrix", "c_index", "sensitivity_expected", "window_aligned_counts"):
+        assert name in ORACLES
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+        for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
+            assert word not in plan, (name, word)
+
+
+def test_last_spell_drops_rows_before_the_shuffle(spark, folder):
+    from anchorage.plans import QUERIES
+
+    assert "WindowGroupLimit" in QUERIES["last_spell"](spark, folder)._jdf.queryExecution().executedPlan().toString()
