@@ -66,7 +66,7 @@ def num_or(text: Column, default: float) -> Column:
 
 def int_or(text: Column, default: Column | int) -> Column:
     """Truncated integer; missing, unreadable or non-positive values take the default."""
-    value = _ungrouped(text).try_cast("int")
+    value = number_or_null(F.replace(text.cast("string"), F.lit(","), F.lit(""))).try_cast("int")
     fallback = default if isinstance(default, Column) else F.lit(default)
     return F.when(value > 0, value).otherwise(fallback.cast("int"))
 

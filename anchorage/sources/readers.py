@@ -16,7 +16,7 @@ from anchorage.operators.explain import tidy
 MISSING = ("", "NA", "NaN", "NULL", "null")
 
 DATES = ("FECHA_INICIO", "FECHA_FIN")
-NUMBERS = ("EDAD_FECHA_FIN", *(f"{n}{end}" for n in (*USAGE, *PQRS) for end in ("", "_FIN")))
+NUMBERS = ("EDAD_FECHA_FIN", "Felicitaciones_PAC", "Felicitaciones_PBS", *(f"{n}{end}" for n in (*USAGE, *PQRS) for end in ("", "_FIN")))
 CONTRIB_COLUMNS = ("ID", "feature", "shap_value", "feature_value")
 INDEX_COLUMN = "Unnamed: 0"
 
@@ -42,10 +42,13 @@ def detect_sep(line: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """All columns as text with trimmed headers; the schema comes from the header line alone."""
+    """All columns as text with trimmed headers; the schema comes from the header line alone.
+
+    A column without a header, as a saved index has, is named by its position.
+    """
     header = first_line(spark, path).lstrip("﻿")
     sep = sep or detect_sep(header)
-    names = [n.strip().strip('"').strip() for n in header.split(sep)]
+    names = [n.strip().strip('"').strip() or f"Unnamed: {i}" for i, n in enumerate(header.split(sep))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return spark.read.csv(path, sep=sep, header=True, schema=schema, enforceSchema=True)
 

@@ -35,7 +35,7 @@ def test_numbers(spark):
     assert values(spark, c.numify_simple, ["1 234,5", "1 000", "-3", "a"]) == [1234.5, 1000.0, -3.0, None]
     assert values(spark, c.parse_money, ["$ 1,200.50", "-300", "", "1.2.3", None]) == [1200.5, 300.0, None, None, None]
     assert values(spark, lambda v: c.num_or(v, 7), ["1,000", "inf", "NaN", "", None]) == [1000.0, 7.0, 7.0, 7.0, 7.0]
-    assert values(spark, lambda v: c.int_or(v, 100), ["25", "0", "-1", "2.9", "x", None]) == [25, 100, 100, 2, 100, 100]
+    assert values(spark, lambda v: c.int_or(v, 100), ["25", "0", "-1", "2.9", "x", "1 000", "1,000", None]) == [25, 100, 100, 2, 100, 100, 1000, 100]
 
 
 def test_codes(spark):
@@ -159,3 +159,18 @@ def test_read_spells_text(spark, tmp_path):
     (tmp_path / "s.csv").write_text(text)
     got = [tuple(r) for r in readers.read_spells(spark, str(tmp_path / "s.csv")).collect()]
     assert got == [("1", dt.date(2023, 12, 31), dt.date(2024, 5, 1), 33.5, "ORO"), ("2", None, None, None, None)]
+
+
+def test_read_features_without_the_saved_index(spark, tmp_path):
+    (tmp_path / "x.csv").write_text(",b,a\n7,1,2.5\n8,,x\n")
+    got = readers.read_features(spark, str(tmp_path / "x.csv"), ["a", "b"])
+    assert [tuple(r) for r in got.collect()] == [(2.5, 1.0), (None, None)]
+    with pytest.raises(ValueError, match="c"):
+        readers.read_features(spark, str(tmp_path / "x.csv"), ["a", "c"])
+
+
+def test_write_lists_makes_one_set_per_list(spark, tmp_path):
+    df = spark.createDataFrame([(1, "t"), (2, "c"), (3, "t")], "id int, Grupo string")
+    readers.write_lists(df, str(tmp_path / "lists"))
+    assert sorted(p.name for p in (tmp_path / "lists").iterdir() if p.is_dir()) == ["Grupo=c", "Grupo=t"]
+    assert spark.read.csv(str(tmp_path / "lists"), header=True).count() == 3
