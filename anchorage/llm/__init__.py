@@ -1,6 +1,8 @@
 """Operators of a training-data pipeline and their registered queries."""
 
+from anchorage.llm import quality
 from anchorage.llm.packing import op2_best_fit_packing
+from anchorage.llm.quality import op7_quality_rules
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op7_quality_rules)}
+ORACLES = {"op7_quality_rules": quality.SQL}
