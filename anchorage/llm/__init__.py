@@ -1,10 +1,11 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from anchorage.llm import quality
+from anchorage.llm import near_dedup, quality
 from anchorage.llm.language import op10_language_id
+from anchorage.llm.near_dedup import op1_near_dedup
 from anchorage.llm.packing import op2_best_fit_packing
 from anchorage.llm.quality import op7_quality_rules
 from anchorage.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op7_quality_rules, op10_language_id)}
-ORACLES = {"op7_quality_rules": quality.SQL}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op4_toxicity, op7_quality_rules, op10_language_id)}
+ORACLES = {"op1_near_dedup": near_dedup.SQL, "op7_quality_rules": quality.SQL}
