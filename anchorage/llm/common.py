@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+import anchorage
+
 from anchorage.session import scratch_path
 
 
@@ -17,3 +24,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once per application,
+    so that tasks find it wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(anchorage.__file__).parent
+        name = f"{tempfile.mkdtemp()}/{package.name}"
+        context.addPyFile(shutil.make_archive(name, "zip", package.parent, package.name))
+        _SHIPPED.add(context.applicationId)
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose function may use this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

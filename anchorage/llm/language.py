@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import table
+from anchorage.llm.common import mapped, table
 
 #: Most labelled rows that the model is counted on.
 SAMPLE = 24_000
@@ -117,9 +117,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             )
 
     counted = (
-        rows.filter(drawn)
-        .select("lang", "text")
-        .mapInArrow(count, "lang string, bucket long, n double")
+        mapped(rows.filter(drawn).select("lang", "text"), count, "lang string, bucket long, n double")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -264,7 +262,7 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "spans"])
 
     held = F.coalesce(fold(FOLDS) == HELD, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(run, SPANS)
+    return mapped(docs.select("doc_id", held, "text"), run, SPANS)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import staged, table
+from anchorage.llm.common import mapped, ship, staged, table
 from anchorage.llm.components import components
 
 WORDS = 5
@@ -89,9 +89,8 @@ def signatures(docs: DataFrame, full: bool = False) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n_shingles", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, k1 long, k2 long, n_shingles long, hashes array<long>"
-    )
+    schema = "doc_id long, k1 long, k2 long, n_shingles long, hashes array<long>"
+    return mapped(docs.select("doc_id", "text"), run, schema)
 
 
 def in_common(n: Column) -> Column:
@@ -211,6 +210,7 @@ def left_over(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
         ends = {"a": a["part"].to_numpy()[found[:, 0]], "b": b["part"].to_numpy()[found[:, 1]]}
         return pd.DataFrame(ends).drop_duplicates()
 
+    ship(lists.sparkSession)
     return left.union(right).join(sets, "rep").groupBy("hub", "f", "m").applyInPandas(compare, "a long, b long")
 
 

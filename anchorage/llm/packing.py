@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import staged, table
+from anchorage.llm.common import mapped, ship, staged, table
 from anchorage.llm.tokens import encoder, public_path
 
 CAPACITY = 1024
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 [pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return mapped(docs.select("doc_id", "text"), run, PIECES)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -159,6 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 offset[at] = base + (rank - first) % n * length
             yield frame.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
+    ship(docs.sparkSession)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
     return ranked(cuts, sum(counts.values())).select(columns).mapInPandas(place, PLACED)
 

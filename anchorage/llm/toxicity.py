@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import table
+from anchorage.llm.common import mapped, table
 
 #: Most labelled rows of either class that the fit uses.
 SAMPLE_PER_CLASS = 3_000
@@ -132,14 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS) ->
                 [batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "toxic", "buckets"]
             )
 
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(keys), "doc_id")
-        .select("doc_id", "toxic", "text")
-        .mapInArrow(presence, "doc_id long, toxic long, buckets binary")
-        .toPandas()
-        .sort_values(["doc_id", "buckets"])
-    )
+    texts = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("doc_id", "toxic", "text")
+    rows = mapped(texts, presence, "doc_id long, toxic long, buckets binary").toPandas().sort_values(["doc_id", "buckets"])
     return fit([np.frombuffer(b, np.int32) for b in rows["buckets"]], rows["toxic"].tolist())
 
 
@@ -158,7 +152,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(fold(FOLDS) == HELD, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(docs.select("doc_id", held, "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
