@@ -31,7 +31,7 @@ MOST_WINDOWS, UNIT = 4096, 400
 #: Most units of one key that are sorted together; block size in bytes.
 MOST_UNITS, BLOCK = 10_000, 2_000_000
 BITS, PACKED = 9, 7
-#: Bytes of a text that are hashed at a time.
+#: Twice the windows of a text that are hashed at a time; a power of two.
 STRIDE = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
@@ -68,23 +68,33 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows) of the runs of windows with one smallest q-gram hash."""
+def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(key, first window, windows, places) of the runs of windows with one smallest
+    q-gram hash. ``places`` counts where the run's windows have that q-gram first:
+    two windows of one run can only be equal if there are several such places.
+    """
     total = len(data) - length + 1
     if total <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    keys = np.empty(total, np.uint64)
-    for start in range(0, total, STRIDE):
-        part = data[start : start + STRIDE + length - 1]
-        keys[start : start + STRIDE] = sliding_least(rolling(part, gram), length - gram + 1)
+        return (np.empty(0, np.int64),) * 4
+    keys, places = np.empty(total, np.uint64), np.empty(total, np.int64)
+    low = np.uint64(STRIDE - 1)
+    for start in range(0, total, STRIDE // 2):
+        hashes = rolling(data[start : start + STRIDE // 2 + length - 1], gram)
+        tagged = hashes & ~low | np.arange(len(hashes), dtype=np.uint64)
+        at = (sliding_least(tagged, length - gram + 1) & low).astype(np.int64)
+        keys[start : start + STRIDE // 2] = hashes[at]
+        places[start : start + STRIDE // 2] = start + at
     first = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
     count = np.diff(first, append=total)
+    moved = np.concatenate([[0], np.cumsum(np.diff(places) != 0)])
+    several = 1 + moved[first + count - 1] - moved[first]
     if count.max() > MOST_WINDOWS:
         pieces = -(-count // MOST_WINDOWS)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         count = np.minimum(np.repeat(count, pieces) - nth * MOST_WINDOWS, MOST_WINDOWS)
         first = np.repeat(first, pieces) + nth * MOST_WINDOWS
-    return keys[first].view(np.int64), first, count
+        several = np.repeat(several, pieces)
+    return keys[first].view(np.int64), first, count, several
 
 
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -183,14 +193,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def segment_keys(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, c1, c2, keys) per row; a long segment names its key once per unit of text,
-    and one that holds its q-gram twice at least twice."""
+    and one that may repeat itself at least twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column(3):
-                key, _, count = segments(np.frombuffer(text.as_py().encode("utf-8", "replace"), np.uint8), length)
-                units = np.maximum(-(-(count + length - 1) // UNIT), 1 + (count > length - GRAM + 1))
+                key, _, count, several = segments(np.frombuffer(text.as_py().encode("utf-8", "replace"), np.uint8), length)
+                units = np.maximum(-(-(count + length - 1) // UNIT), np.minimum(several, 2))
                 found.append(np.repeat(key, units))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
             flat = pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64())
@@ -225,7 +235,7 @@ def repeated_segments(texts: DataFrame, length: int) -> DataFrame:
             for c1, c2, text, keys, hot in zip(*(batch.column(k) for k in range(5))):
                 body = text.as_py().encode("utf-8", "replace")
                 data = np.frombuffer(body, np.uint8)
-                key, first, count = segments(data, length)
+                key, first, count, _ = segments(data, length)
                 wanted = keys.values.to_numpy(zero_copy_only=False)
                 at = np.searchsorted(wanted, key)
                 hit = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == key)
