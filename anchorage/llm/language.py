@@ -9,11 +9,9 @@ foreign words do not break a span. The document's language covers most letters.
 from __future__ import annotations
 
 import re
-import zlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +23,8 @@ from anchorage.llm.common import mapped, table
 #: Most labelled rows that the model is counted on.
 SAMPLE = 24_000
 ORDERS = (1, 2, 3, 4)
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
 SMOOTHING = 0.5
 SWITCH = 6.0
 WORD_BOUND = 4.0
@@ -47,46 +46,60 @@ SCRIPT_STARTS = (
     (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"),
     (0xFE00, "Other"), (0xFE70, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0x10000, "Other"), (0x20000, "Han"),
 )
-_STARTS = [s for s, _ in SCRIPT_STARTS]
 SCRIPTS = sorted({s for _, s in SCRIPT_STARTS})
+_STARTS = np.array([s for s, _ in SCRIPT_STARTS])
+_SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in SCRIPT_STARTS])
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def script_of(letter: str) -> str:
-    return SCRIPT_STARTS[bisect_right(_STARTS, ord(letter)) - 1][1]
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    """Index into SCRIPTS of each code point."""
+    return _SCRIPT_OF[np.searchsorted(_STARTS, codes, side="right") - 1]
 
 
 def letters_of(unit: str) -> str:
     """The letters of a white-space-delimited unit, in lower case."""
-    return "".join(_LETTERS.findall(unit)).lower()
-
-
-def grams(word: str) -> np.ndarray:
-    marked = f"^{word}$".encode("utf-32-le")
-    found = [
-        zlib.crc32(marked[4 * i : 4 * (i + n)], n) % BUCKETS for n in ORDERS for i in range(len(marked) // 4 - n + 1)
-    ]
-    return np.array(found, dtype=np.int64)
+    return unit.lower() if unit.isalpha() else "".join(_LETTERS.findall(unit)).lower()
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every n-gram of the marked words, for all words at once."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    buckets, owners = [], []
+    for n in ORDERS:
+        at = np.flatnonzero(left >= n)
+        mixed = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[at + k]
+        buckets.append(((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64))
+        owners.append(owner[at])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
 class Model:
-    """langs: learned values. logp: languages x buckets. uses: script -> languages that use it."""
+    """langs: learned values. logp: languages x buckets. uses: scripts x languages that use them."""
 
     langs: list[str]
     logp: np.ndarray
-    uses: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, letters: str) -> np.ndarray:
-        """Score of every language: mean-free, bounded, barred outside the script's candidates."""
-        if not letters:
-            return np.zeros(len(self.langs), np.float32)
-        allowed = self.uses.get(script_of(letters[0]))
-        if allowed is None:
-            return np.zeros(len(self.langs), np.float32)
-        found = self.logp[:, grams(letters)].sum(axis=1)
-        found = np.clip(found - found[allowed].max() + WORD_BOUND, -WORD_BOUND, WORD_BOUND)
-        return np.where(allowed, found, BARRED).astype(np.float32)
+    uses: np.ndarray
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Score of every word and language: relative to the best candidate of the word's
+        script, bounded, and barred outside the candidates. Words of a script that no
+        language uses favour none."""
+        if not words:
+            return np.zeros((0, len(self.langs)), np.float32)
+        bucket, owner = grams(words)
+        found = np.stack([np.bincount(owner, weights=p[bucket], minlength=len(words)) for p in self.logp], axis=1)
+        allowed = self.uses[scripts_of(np.array([ord(w[0]) for w in words]))]
+        best = np.where(allowed, found, -np.inf).max(axis=1, keepdims=True)
+        found = np.clip(found - best + WORD_BOUND, -WORD_BOUND, WORD_BOUND)
+        found = np.where(allowed, found, BARRED)
+        return np.where(allowed.any(axis=1, keepdims=True), found, 0).astype(np.float32)
 
 
 def fold(folds: int):
@@ -105,10 +118,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 own = totals.setdefault(lang.as_py(), np.zeros(BUCKETS + len(SCRIPTS)))
-                for unit, n in Counter(text.as_py().split()).items():
-                    if letters := letters_of(unit):
-                        np.add.at(own, grams(letters), n)
-                        own[BUCKETS + SCRIPTS.index(script_of(letters[0]))] += n * len(letters)
+                times = Counter(w for w in map(letters_of, text.as_py().split()) if w)
+                if not times:
+                    continue
+                words, n = list(times), np.array(list(times.values()))
+                bucket, owner = grams(words)
+                own[:BUCKETS] += np.bincount(bucket, weights=n[owner], minlength=BUCKETS)
+                scripts = scripts_of(np.array([ord(w[0]) for w in words]))
+                letters = n * np.array([len(w) for w in words])
+                own[BUCKETS:] += np.bincount(scripts, weights=letters, minlength=len(SCRIPTS))
         for lang, own in totals.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -129,8 +147,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     logp = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
     letters = table_[:, BUCKETS:]
     share = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)
-    uses = {s: share[:, k] >= SCRIPT_SHARE for k, s in enumerate(SCRIPTS) if (share[:, k] >= SCRIPT_SHARE).any()}
-    return Model(langs, logp, uses)
+    return Model(langs, logp, share.T >= SCRIPT_SHARE)
 
 
 def paths(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -177,51 +194,50 @@ class Labeller:
 
     def _clear(self) -> None:
         self._memo: dict[str, int] = {}
-        self._scores = np.zeros((1024, len(self.model.langs)), np.float32)
-        self._sizes = np.zeros(1024, np.int64)
-
-    def _row(self, unit: str) -> int:
-        letters = letters_of(unit)
-        k = self._memo[unit] = len(self._memo)
-        if k >= len(self._scores):
-            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-            self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
-        self._scores[k], self._sizes[k] = self.model.word(letters), len(letters)
-        return k
-
-    def words(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, letters) of the units of a text that hold letters."""
-        if len(self._memo) > MEMO_WORDS:
-            self._clear()
-        memo = self._memo
-        units = (text or "").split()
-        try:
-            rows = [memo[u] for u in units]
-        except KeyError:
-            rows = [memo[u] if u in memo else self._row(u) for u in units]
-        rows = np.array(rows, dtype=np.int64)
-        sizes = self._sizes[rows]
-        return self._scores[rows[sizes > 0]], sizes[sizes > 0]
+        self._scores = np.zeros((0, len(self.model.langs)), np.float32)
+        self._sizes = np.zeros(0, np.int64)
+
+    def _learn(self, units: list[str]) -> None:
+        letters = [letters_of(u) for u in units]
+        sizes = np.array([len(w) for w in letters])
+        scores = np.zeros((len(units), len(self.model.langs)), np.float32)
+        scores[sizes > 0] = self.model.words([w for w in letters if w])
+        self._memo.update(zip(units, range(len(self._memo), len(self._memo) + len(units))))
+        self._scores = np.concatenate([self._scores, scores])
+        self._sizes = np.concatenate([self._sizes, sizes])
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """(language, share of letters, spans of (language, first word, words)) per text."""
         if not self.model.langs:
             return [(UNKNOWN, 0.0, [])] * len(texts)
         out: list = [None] * len(texts)
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, list[str]]] = []
         n = 0
-        for i in order:
-            held.append((i, *self.words(texts[i])))
-            n += len(held[-1][2])
-            if n >= CHUNK_WORDS or i == order[-1]:
-                lengths = np.array([len(s) for _, _, s in held])
-                found = paths(np.concatenate([s for _, s, _ in held]), lengths, self.switch)
-                for (k, _, sizes), end in zip(held, np.cumsum(lengths)):
-                    out[k] = self._told(found[end - len(sizes) : end], sizes)
+        for i in sorted(range(len(texts)), key=lambda i: len(texts[i] or "")):
+            held.append((i, (texts[i] or "").split()))
+            n += len(held[-1][1])
+            if n >= CHUNK_WORDS:
+                self._chunk(held, out)
                 held, n = [], 0
+        self._chunk(held, out)
         return out
 
+    def _chunk(self, held: list[tuple[int, list[str]]], out: list) -> None:
+        new = set().union(*(units for _, units in held)).difference(self._memo)
+        if len(self._memo) + len(new) > MEMO_WORDS:
+            self._clear()
+            new = set().union(*(units for _, units in held))
+        self._learn(sorted(new))
+        memo = self._memo
+        rows = [np.array([memo[u] for u in units], dtype=np.int64) for _, units in held]
+        rows = [r[self._sizes[r] > 0] for r in rows]
+        lengths = np.array([len(r) for r in rows], dtype=np.int64)
+        flat = np.concatenate([*rows, np.empty(0, np.int64)])
+        found = paths(self._scores[flat], lengths, self.switch)
+        sizes = self._sizes[flat]
+        for (i, _), a, b in zip(held, np.cumsum(lengths) - lengths, np.cumsum(lengths)):
+            out[i] = self._told(found[a:b], sizes[a:b])
+
     def _told(self, path: np.ndarray, sizes: np.ndarray) -> tuple[str, float, list[tuple[str, int, int]]]:
         if not len(path):
             return UNKNOWN, 0.0, []
