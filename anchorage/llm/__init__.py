@@ -3,9 +3,22 @@
 from anchorage.llm import near_dedup, quality
 from anchorage.llm.language import op10_language_id
 from anchorage.llm.near_dedup import op1_near_dedup
+from anchorage.llm.nearest import op5_nearest_neighbours
 from anchorage.llm.packing import op2_best_fit_packing
 from anchorage.llm.quality import op7_quality_rules
+from anchorage.llm.repeats import op8_suffix_dedup
 from anchorage.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_best_fit_packing, op4_toxicity, op7_quality_rules, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_best_fit_packing,
+        op4_toxicity,
+        op5_nearest_neighbours,
+        op7_quality_rules,
+        op8_suffix_dedup,
+        op10_language_id,
+    )
+}
 ORACLES = {"op1_near_dedup": near_dedup.SQL, "op7_quality_rules": quality.SQL}
