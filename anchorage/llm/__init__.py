@@ -2,10 +2,13 @@
 
 from anchorage.llm import near_dedup, quality
 from anchorage.llm.language import op10_language_id
+from anchorage.llm.licences import op3_licence_scan
+from anchorage.llm.mixing import op9_mixing
 from anchorage.llm.near_dedup import op1_near_dedup
 from anchorage.llm.nearest import op5_nearest_neighbours
 from anchorage.llm.packing import op2_best_fit_packing
 from anchorage.llm.quality import op7_quality_rules
+from anchorage.llm.recount import op6_token_counts
 from anchorage.llm.repeats import op8_suffix_dedup
 from anchorage.llm.toxicity import op4_toxicity
 
@@ -14,10 +17,13 @@ QUERIES = {
     for f in (
         op1_near_dedup,
         op2_best_fit_packing,
+        op3_licence_scan,
         op4_toxicity,
         op5_nearest_neighbours,
+        op6_token_counts,
         op7_quality_rules,
         op8_suffix_dedup,
+        op9_mixing,
         op10_language_id,
     )
 }
