@@ -66,12 +66,12 @@ def key_of(words: list[bytes]) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, full: bool = False) -> DataFrame:
-    """(doc_id, k1, k2, n_shingles, hashes) per row; ``full`` keeps whole sets, else bottom-k sketches."""
+    """(doc_id, text_hash, k1, k2, n_shingles, hashes) per row; ``full`` keeps whole sets, else bottom-k sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes, kept = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = words_of(text.as_py())
                 found = shingles(words)
                 keys.append(key_of(words))
@@ -82,15 +82,17 @@ def signatures(docs: DataFrame, full: bool = False) -> DataFrame:
             flat = pa.array(np.concatenate([*kept, np.empty(0, np.int64)]), pa.int64())
             columns = [
                 batch.column(0),
+                batch.column(1),
                 pa.array([k[0] for k in keys], pa.int64()),
                 pa.array([k[1] for k in keys], pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(offsets), flat),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n_shingles", "hashes"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "k1", "k2", "n_shingles", "hashes"])
 
-    schema = "doc_id long, k1 long, k2 long, n_shingles long, hashes array<long>"
-    return mapped(docs.select("doc_id", "text"), run, schema)
+    schema = "doc_id long, text_hash long, k1 long, k2 long, n_shingles long, hashes array<long>"
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return mapped(docs.select("doc_id", F.xxhash64(text), "text"), run, schema)
 
 
 def in_common(n: Column) -> Column:
@@ -215,7 +217,7 @@ def left_over(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash.
 
     Texts without words, null ones included, are linked with nothing. A null doc_id
     belongs to the group of its copies and is kept only where it has none with an
@@ -224,7 +226,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     rows = staged(signatures(docs), "signatures")
-    ids = rows.select("doc_id", "k1", "k2", "n_shingles")
+    ids = rows.select("doc_id", "text_hash", "k1", "k2", "n_shingles")
     classes = ids.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
     chosen = classes.groupBy("rep").agg(F.min(F.struct("k1", "k2")).alias("key")).select("rep", "key.k1", "key.k2")
     found = rows.filter("n_shingles > 0").select(F.col("doc_id").alias("rep"), "k1", "k2", "n_shingles", "hashes")
@@ -252,13 +254,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     groups = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
     told = ids.join(groups, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return told.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    kept = F.col("doc_id").eqNullSafe(component)
+    return told.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 SQL = f"""

@@ -337,16 +337,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), ends[np.append(cut, len(ends) - 1)].tolist()))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256, spans and, if asked for, text.
-
-    Every byte covered by a string of ``length`` bytes that also starts elsewhere in
-    the table is removed. A null text is empty; repeated rows and equal texts are
-    copies of each other, so all their bytes go if they are long enough. A null
-    doc_id stays null. ``text`` is what is left, less characters that a cut broke.
-    Other columns are ignored; an empty table gives no rows.
-    """
+def repeat_free(docs: DataFrame, length: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c1, c2, keys) per row, and per distinct text its c1, c2, counts, spans and what is left."""
     rows = staged(segment_keys(docs, length), "segment-keys")
     wanted = staged(candidates(rows), "candidates")
     texts = keyed(docs).groupBy("c1", "c2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -382,9 +374,35 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Tru
 
     schema = "c1 long, c2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, text string"
     found = mapped(texts.join(ranges, ["c1", "c2"], "left").select("c1", "c2", "text", "copies", "a", "b"), run, schema)
-    told = rows.select("doc_id", "c1", "c2").join(found, ["c1", "c2"]).drop("c1", "c2")
-    return told if with_text else told.drop("text")
+    return rows, found
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans,
+    kept_sha256 and spans.
+
+    Every byte covered by a string of ``length`` bytes that also starts elsewhere in
+    the table is removed. A null text is empty; repeated rows and equal texts are
+    copies of each other, so all their bytes go if they are long enough. A null
+    doc_id stays null. Other columns are ignored; an empty table gives no rows.
+    """
+    rows, found = repeat_free(docs, length, with_text=False)
+    return rows.select("doc_id", "c1", "c2").join(found.drop("text"), ["c1", "c2"]).drop("c1", "c2")
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with every text cut as by ``without_repeats``, less characters that a cut
+    broke; ``n_chars`` follows the text if there is such a column. Null texts become empty."""
+    _, found = repeat_free(docs, length, with_text=True)
+    left = found.select("c1", "c2", F.col("text").alias("left"))
+    row = F.col("row").withField("text", F.col("left"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
+    whole = keyed(docs.select(F.struct("*").alias("row"), "text")).withColumn("row", F.col("row").withField("text", F.lit(None).cast("string")))
+    return whole.select("row", "c1", "c2").join(left, ["c1", "c2"]).select(row.alias("row")).select("row.*")
+
+
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+    return without_repeats(table(spark, sf_dir, "documents")).drop("spans")
