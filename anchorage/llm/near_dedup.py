@@ -219,9 +219,9 @@ def left_over(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash.
 
-    Texts without words, null ones included, are linked with nothing. A null doc_id
-    belongs to the group of its copies and is kept only where it has none with an
-    id. Rows that repeat a doc_id count as one document; where their texts differ,
+    Texts without words, null ones included, are linked with nothing. A row without
+    an id is linked only with rows of the same words and is kept only where none of
+    these has an id. Rows that repeat a doc_id count as one document; where their texts differ,
     links are followed for one of them. Other columns are ignored; an empty table
     gives no rows.
     """

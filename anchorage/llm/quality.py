@@ -7,7 +7,8 @@ the base rules.
 
 Copies of one document count once: a document is told apart by the smallest hash
 among its other lines, so that a document that was copied many times does not
-turn its own prose into boilerplate.
+turn its own prose into boilerplate. A line is boilerplate where documents share
+it that otherwise differ.
 """
 
 from __future__ import annotations
