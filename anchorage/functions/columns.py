@@ -24,17 +24,30 @@ def number_or_null(text: Column) -> Column:
     return F.when(clean.rlike(NUMBER), clean.try_cast("double"))
 
 
+def century(year: Column) -> Column:
+    return F.when(year.cast("int") >= 69, "19").otherwise("20")
+
+
 def parse_date_any(text: Column) -> Column:
-    """Day-month-year first, then year-month-day, with / - . or space between the parts."""
+    """Day-month-year first, then year-month-day, with / - . or space between the parts.
+
+    Years of two digits are 1969 to 2068.
+    """
     joined = F.regexp_replace(F.trim(text), "[/. ]", "-")
     day_first = F.when(joined.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), joined)
     year_first = F.when(joined.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), joined)
     digits = F.when(joined.rlike(r"^\d{8}$"), joined)
+    short = F.when(joined.rlike(r"^\d{1,2}-\d{1,2}-\d{2}$"), joined)
+    last, first = F.substring(short, -2, 2), F.substring_index(short, "-", 1)
+    day_first_short = F.concat(F.substring_index(short, "-", 2), F.lit("-"), century(last), last)
+    year_first_short = F.when(F.length(first) == 2, F.concat(century(first), short))
     return F.coalesce(
         F.try_to_date(day_first, "d-M-y"),
         F.try_to_date(digits, "ddMMyyyy"),
         F.try_to_date(year_first, "y-M-d"),
         F.try_to_date(digits, "yyyyMMdd"),
+        F.try_to_date(day_first_short, "d-M-y"),
+        F.try_to_date(year_first_short, "y-M-d"),
     )
 
 

@@ -53,14 +53,15 @@ def rank_deciles(df: DataFrame, score: str, key: str, out: str = "decil") -> Dat
     """Ten equal bins over the rank, for scores with too many ties to bin by value.
 
     Ascending position p of N falls into quantile bin ceil(10 (p - 1) / (N - 1)),
-    first bin closed; ``ranked`` counts from the top, so p = N + 1 - rank.
+    first bin closed; ``ranked`` counts from the top, so p = N + 1 - rank. Rows
+    without a score rank last, are not among the N and get no decile.
     """
     steps = (F.col("_total") - F.col("_rank")) * 10
     span = F.greatest(F.col("_total") - 1, F.lit(1))
     bin0 = F.greatest(F.ceil(steps / span).cast("int") - 1, F.lit(0))
     return (
         ranked(df, score, key, "_rank")
-        .withColumn("_total", df.agg(F.count(F.lit(1))).scalar())
-        .withColumn(out, (F.lit(10) - bin0).cast("int"))
+        .withColumn("_total", df.agg(F.count(score)).scalar())
+        .withColumn(out, F.when(F.col(score).isNotNull(), (F.lit(10) - bin0).cast("int")))
         .drop("_rank", "_total")
     )

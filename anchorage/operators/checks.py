@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorage.operators.bins import risk_deciles
@@ -13,6 +13,10 @@ LABEL = "Es_Fuga_Real"
 KEY = "id"
 
 
+def scored() -> Column:
+    return F.col(SCORE).isNotNull() & ~F.isnan(F.col(SCORE).cast("double"))
+
+
 def cumulate(table: DataFrame) -> DataFrame:
     """Running churners and coverage over at most ten decile rows."""
     upto = Window.orderBy("decil").rowsBetween(Window.unboundedPreceding, 0)
@@ -26,15 +30,15 @@ def cumulate(table: DataFrame) -> DataFrame:
 
 
 def cum_capture(df: DataFrame) -> DataFrame:
-    """Share of all churners caught down to each risk decile."""
-    table = risk_deciles(df, SCORE).groupBy("decil").agg(F.sum(F.col(LABEL).cast("bigint")).alias("fugas"))
+    """Share of all churners caught down to each risk decile; rows without a score are left out."""
+    table = risk_deciles(df.where(scored()), SCORE).groupBy("decil").agg(F.sum(F.col(LABEL).cast("bigint")).alias("fugas"))
     return cumulate(table)
 
 
 def lift(df: DataFrame) -> DataFrame:
-    """Score range, size, churn rate, lift and cumulative coverage per decile."""
+    """Score range, size, churn rate, lift and cumulative coverage per decile of the scored rows."""
     table = (
-        risk_deciles(df, SCORE)
+        risk_deciles(df.where(scored()), SCORE)
         .groupBy("decil")
         .agg(
             F.min(SCORE).alias("score_min"),
@@ -99,8 +103,11 @@ def brier(df: DataFrame) -> DataFrame:
 
 
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
-    """Mean score and observed rate per equal-width bin of [0, 1]; 1.0 is in the last bin."""
+    """Mean score and observed rate per equal-width bin of [0, 1]; 1.0 is in the last bin.
+
+    Rows without a score belong to no bin.
+    """
     place = F.least(F.floor(F.round(F.col(SCORE) * bins, 9)), F.lit(bins - 1)).cast("int")
-    return df.groupBy(place.alias("bin")).agg(
+    return df.where(scored()).groupBy(place.alias("bin")).agg(
         F.avg(SCORE).alias("media"), F.avg(LABEL).alias("tasa"), F.count(F.lit(1)).alias("n")
     )

@@ -226,10 +226,14 @@ def impact(base: DataFrame, campaigns: DataFrame) -> DataFrame:
     return kpis.drop("ltv", "call_cost", "incentive", "success", "budget")
 
 
+def wanted(budget: int | None) -> int:
+    """Contacts of a budget; the default where it is missing or not positive."""
+    return budget if budget and budget > 0 else DEFAULT_CONTACTS
+
+
 def contacts(base: DataFrame, budget: int | None) -> tuple[DataFrame, Column]:
     """The managed rows and, as a scalar, how many rows the base has."""
-    n = budget if budget and budget > 0 else DEFAULT_CONTACTS
-    return top_n(base, n, RISK, ID), base.agg(F.count(F.lit(1))).scalar()
+    return top_n(base, wanted(budget), RISK, ID), base.agg(F.count(F.lit(1))).scalar()
 
 
 def impact_summary(base: DataFrame, plan: Campaign) -> DataFrame:
@@ -266,9 +270,9 @@ def impact_table(base: DataFrame, plan: Campaign) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def curve_points(base: DataFrame, budget: int) -> DataFrame:
+def curve_points(base: DataFrame, budget: int | None) -> DataFrame:
     """Numbers of contacts to evaluate: up to 25 rounded steps from 50, and the budget itself."""
-    sized = base.agg(F.count(F.lit(1)).alias("filas")).withColumn("n", F.least(F.lit(budget).cast("bigint"), "filas"))
+    sized = base.agg(F.count(F.lit(1)).alias("filas")).withColumn("n", F.least(F.lit(wanted(budget)).cast("bigint"), "filas"))
     top = F.when(F.col("n") < 10, F.least(F.lit(100), F.col("filas"))).otherwise(F.col("n"))
     steps = F.sequence(F.lit(0), F.lit(CURVE_STEPS - 1))
     points = sized.withColumn("_top", top).select(

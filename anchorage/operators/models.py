@@ -94,11 +94,11 @@ def importance(df: DataFrame, model: PipelineModel, features: Sequence[str], k:
     return df.sparkSession.createDataFrame(rows, "variable string, peso double")
 
 
-def calibrate(df: DataFrame, score_col: str, label: str, method: str = "platt", digits: int = 4) -> DataFrame:
+def calibrate(df: DataFrame, score_col: str, label: str, method: str = "platt") -> DataFrame:
     """Add ``calibrada``: the score mapped to a probability.
 
-    Isotonic pooling runs in one task at the end, so it is fed one weighted row
-    per score rounded to ``digits``: at most 10**digits + 1 rows.
+    Isotonic pooling is fed one weighted row per distinct score. Spark pools these
+    within ranges first, so its last step sees pooled blocks only.
     """
     rows = df.withColumn("_y", F.col(label).cast("double"))
     if method == "platt":
@@ -106,7 +106,7 @@ def calibrate(df: DataFrame, score_col: str, label: str, method: str = "platt",
         logit = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r")
         out = Pipeline(stages=[vector, logit]).fit(rows.select(score_col, "_y")).transform(rows)
         return out.select(*df.columns, F.get(vector_to_array("_p"), F.lit(1)).alias("calibrada"))
-    step = F.round(F.col(score_col), digits)
+    step = F.col(score_col).cast("double")
     pooled = rows.groupBy(step.alias("_x")).agg(F.avg("_y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
     model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="calibrada").fit(pooled)
     return model.transform(df.withColumn("_x", step)).select(*df.columns, "calibrada")
@@ -224,11 +224,11 @@ def cox_sums(df: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.nda
 
 
 def fit_cox(
-    df: DataFrame, features: Sequence[str], time: str = "t_m", event: str = "event", steps: int = 12, tol: float = 1e-8
+    df: DataFrame, features: Sequence[str], time: str = "t_m", event: str = "event", steps: int = 50, tol: float = 1e-8
 ) -> DataFrame:
     """Proportional hazards by Newton steps on standardised inputs (Breslow ties).
 
-    Only p by p numbers reach the driver. The prepared rows are written to the
+    ``converge`` tells whether the last step was below ``tol``, ``pasos`` how many were taken. Only p by p numbers reach the driver. The prepared rows are written to the
     shared folder, since every step reads them.
     """
     rows = filled(df, features)
@@ -239,15 +239,14 @@ def fit_cox(
         ((F.col(c) - float(m)) / float(s)).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(features, means, sds, strict=True))
     ]
     ready = written(rows.select(F.col(time).alias("t"), F.col(event).cast("double").alias("event"), *scaled))
-    beta = np.zeros(len(features))
-    for _ in range(steps):
+    beta, done, taken = np.zeros(len(features)), False, 0
+    while not done and taken < steps:
         _, gradient, info = cox_sums(ready, beta)
         step = np.linalg.lstsq(info, gradient, rcond=None)[0]
-        beta = beta + step
-        if np.max(np.abs(step)) < tol:
-            break
+        beta, taken = beta + step, taken + 1
+        done = bool(np.max(np.abs(step), initial=0.0) < tol)
     _, _, info = cox_sums(ready, beta)
     errors = np.sqrt(np.diag(np.linalg.pinv(info))) / sds
     coef = beta / sds
-    found = [(f, float(b), float(np.exp(b)), float(e)) for f, b, e in zip(features, coef, errors, strict=True)]
-    return df.sparkSession.createDataFrame(found, "variable string, coef double, razon double, error double")
+    found = [(f, float(b), float(np.exp(b)), float(e), done, taken) for f, b, e in zip(features, coef, errors, strict=True)]
+    return df.sparkSession.createDataFrame(found, "variable string, coef double, razon double, error double, converge boolean, pasos int")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from anchorage.functions.columns import tie_order
 
-TAKE_AT_MOST = 100_000
+#: Rows that are ordered as one page.
+PAGE = 1_000
 
 
 def piece_bits(df: DataFrame) -> int:
@@ -131,10 +132,14 @@ def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame
     placed = as_columns(placed, [*df.columns, "_tie"], _piece="_found", _hot="_at", _slice="_lead")
     cell = ["_piece", "_hot", "_slice"]
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    # At most (1 + 2**bits) * 2**bits rows, whatever the input size.
-    order = Window.orderBy(F.desc("_piece"), F.desc("_hot"), F.asc("_slice"))
+    # One task cumulates the pieces, at most 1 + 2**bits; the slices of a piece are cumulated in its own.
+    above = Window.orderBy(F.desc("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = sizes.groupBy("_piece").agg(F.sum("_n").alias("_n"))
+    pieces = pieces.select("_piece", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    order = Window.partitionBy("_piece").orderBy(F.desc("_hot"), F.asc("_slice"))
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(pieces, "_piece")
+    offsets = offsets.select(*cell, (F.col("_above") + F.col("_before")).alias("_offset"))
     local = Window.partitionBy(*cell).orderBy(F.desc_nulls_last(score), "_tie", key)
     return (
         placed.withColumn("_local", F.row_number().over(local))
@@ -144,10 +149,19 @@ def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame
 
 
 def top_n(df: DataFrame, n: int, score: str, key: str) -> DataFrame:
-    """The n highest scores: take-ordered while n is small, a global rank beyond it."""
-    if n <= TAKE_AT_MOST:
+    """The n highest scores: one ordered page while n is small, else a cut at the n-th score.
+
+    The cut comes from counts per distinct score, so only rows at or above it are
+    ranked; rows without a score are ranked where the others do not make up n.
+    """
+    if n <= PAGE:
         return df.orderBy(F.desc_nulls_last(score), tie_order(F.col(key)), key).limit(n)
-    return ranked(df, score, key, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    reached = running_before(counts, score, ["_n"], descending=True).where(F.col("_n_before") < n)
+    cut = reached.agg(F.struct(F.min(score).alias("low"), F.max("_n_all").alias("all")).alias("cut")).scalar()
+    enough = F.coalesce(F.col("_cut.all"), F.lit(0)) >= n
+    above = df.withColumn("_cut", cut).where(F.coalesce(F.col(score) >= F.col("_cut.low"), ~enough)).drop("_cut")
+    return ranked(above, score, key, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
 
 def exact_quantiles(
@@ -167,15 +181,21 @@ def exact_quantiles(
     run = running_before(counts, "_v", ["_n"], group)
 
     # The place p * (n - 1) is kept as a whole and a rest, so no float error
-    # can move an edge off the value it falls on.
+    # can move an edge off the value it falls on. A probability that is no short
+    # ratio is taken as its decimal digits, and multiplied as a decimal.
     picks, parts = [], []
     for i, p in enumerate(probs):
         ratio = Fraction(p).limit_denominator(10_000)
-        steps = f"{ratio.numerator}L * (_n_all - 1)"
-        whole, rest = f"({steps} div {ratio.denominator})", f"({steps} % {ratio.denominator})"
+        rows = "(_n_all - 1)"
+        if float(ratio) != p:
+            ratio, rows = Fraction(repr(float(p))), "cast(_n_all - 1 as decimal(18, 0))"
+        exact = ratio.denominator > 10_000
+        over, under = (f"cast({x} as decimal(19, 0))" if exact else f"{x}L" for x in (ratio.numerator, ratio.denominator))
+        steps = f"{over} * {rows}"
+        whole, rest = f"({steps} div {under})", f"({steps} % {under})"
         for side, place in (("lo", whole), ("hi", f"({whole} + sign({rest}))")):
             covers = f"_n_before <= {place} and {place} < _n_before + _n"
             picks.append(F.expr(f"max(case when {covers} then _v end) as _{side}{i}"))
-        parts.append(f"_lo{i} + (_hi{i} - _lo{i}) * ({rest} / {ratio.denominator}D)")
+        parts.append(f"_lo{i} + (_hi{i} - _lo{i}) * (cast({rest} as double) / {ratio.denominator}D)")
     found = run.groupBy(*group).agg(F.max("_n_all").alias("_n_all"), *picks)
     return found.select(*group, F.expr(f"array({', '.join(parts)})").alias(name))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from anchorage.functions.columns import clamp01, date_plus_months
 from anchorage.operators.clean import valid_spells
 from anchorage.operators.portfolio import lump
+from anchorage.operators.prefix import running_before
 
 ID = "AFILIADO_ID_EPS"
 HORIZONS = (1, 3, 6, 12, 18, 24)
@@ -137,25 +138,27 @@ def assign_group(df: DataFrame, threshold: float = 0.30, digits: int = 9) -> Dat
     return found.withColumn("mes_gatillo", F.nullif("mes_gatillo", F.lit(0)))
 
 
-def c_index(df: DataFrame, time: str, event: str, risk: str, bits: int = 20) -> DataFrame:
-    """Harrell's concordance of a risk in [0, 1], read to 1e-6, with time.
+def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
+    """Harrell's concordance of any real risk with time; rows that lack one of the three take no part.
 
-    Pairs are counted, never formed. Risk becomes a whole number of ``bits``
-    bits. Of two different numbers the larger has a 1 where the smaller has a 0
-    at the highest bit in which they differ, so each comparable pair meets in
-    exactly one cell (bit, shared prefix). Inside a cell only the counts per
-    distinct time matter. Two more levels count ties and all comparable pairs.
+    Pairs are counted, never formed. Each risk becomes its dense rank. Of two
+    different ranks the larger has a 1 where the smaller has a 0 at the highest bit
+    in which they differ, so each comparable pair meets in exactly one cell (bit,
+    shared prefix). Inside a cell only the counts per distinct time matter. Two more
+    levels count ties and all comparable pairs.
     """
-    scale = min(10**6, 2**bits - 1)
-    r = F.round(F.col(risk) * scale).cast("int")
-    cells = (
-        df.select(F.col(time).alias("t"), F.col(event).cast("bigint").alias("e"), r.alias("r"))
-        .groupBy("t", "e", "r")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    r = F.col(risk).cast("double")
+    rows = df.select(F.col(time).alias("t"), F.col(event).cast("bigint").alias("e"), r.alias("v"))
+    rows = rows.where(F.col("t").isNotNull() & F.col("e").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    cells = rows.groupBy("t", "e", "v").agg(F.count(F.lit(1)).alias("n"))
+    values = cells.groupBy("v").agg(F.lit(1).cast("bigint").alias("one"))
+    order = running_before(values, "v", ["one"]).select("v", F.col("one_before").alias("r"), F.col("one_all").alias("of"))
+    cells = cells.join(order, "v")
+    tie, every = F.lit(-1), F.lit(63)
+    bits = F.length(F.regexp_replace(F.bin("of"), "^0+", ""))
+    levels = F.array_append(F.sequence(tie, bits - 1), every)
+    placed = cells.select("t", "e", "r", "n", F.explode(levels).alias("b"))
     level, bit = F.col("b"), F.expr("shiftright(r, b) & 1")
-    tie, every = F.lit(-1), F.lit(bits)
-    placed = cells.select("t", "e", "r", "n", F.explode(F.sequence(tie, every)).alias("b"))
     prefix = F.when(level == tie, F.col("r")).when(level == every, 0).otherwise(F.expr("shiftright(r, b + 1)"))
     whole = (level == tie) | (level == every)
     sums = placed.groupBy("b", prefix.alias("p"), "t").agg(
@@ -167,7 +170,7 @@ def c_index(df: DataFrame, time: str, event: str, risk: str, bits: int = 20) ->
     pairs = sums.select("b", met.alias("pares"))
 
     def total(test: Column) -> Column:
-        return F.sum(F.when(test, F.col("pares")).otherwise(0.0))
+        return F.coalesce(F.sum(F.when(test, F.col("pares")).otherwise(0.0)), F.lit(0.0))
 
     found = pairs.agg(
         total((level != tie) & (level != every)).alias("concordantes"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from anchorage.operators import impact
@@ -61,6 +63,11 @@ def roi_top_n(t: Tables):
     return rounded(impact.roi(t.scored, PLAN, top=PLAN.budget), "roi_pct")
 
 
+@query("roi_top_300", roi_sql("rk <= 300"))
+def roi_top_300(t: Tables):
+    return rounded(impact.roi(t.scored, PLAN, top=300), "roi_pct")
+
+
 @query("roi_threshold", roi_sql("Probabilidad >= 0.35"))
 def roi_threshold(t: Tables):
     return rounded(impact.roi(t.scored, PLAN, threshold=0.35), "roi_pct")
@@ -87,31 +94,43 @@ INCENTIVES = (50_000, 100_000, 150_000, 180_000, 250_000, 300_000)
 RATES = (0.10, 0.20, 0.30, 0.40, 0.50)
 
 
-@query(
-    "sensitivity_backtest",
-    f"""SELECT incentivo, exito, round((trunc(y * exito) * {PLAN.ltv} - n * ({PLAN.call_cost} + incentivo)::double) / 1e6, 6)
+def grid_sql(budget: int) -> str:
+    return f"""SELECT incentivo, exito, round((trunc(y * exito) * {PLAN.ltv} - n * ({PLAN.call_cost} + incentivo)::double) / 1e6, 6)
       AS ganancia_millones
-    FROM (SELECT count(*) AS n, sum(Es_Fuga_Real) AS y FROM scored_ranked WHERE rk <= 10000) s,
+    FROM (SELECT count(*) AS n, sum(Es_Fuga_Real) AS y FROM scored_ranked WHERE rk <= {budget}) s,
       (SELECT unnest({list(INCENTIVES)}) AS incentivo) a,
-      (SELECT unnest([{", ".join(f"{r}::double" for r in RATES)}]) AS exito) b""",
-)
+      (SELECT unnest([{", ".join(f"{r}::double" for r in RATES)}]) AS exito) b"""
+
+
+@query("sensitivity_backtest", grid_sql(PLAN.budget))
 def sensitivity_backtest(t: Tables):
     return rounded(impact.grid_backtest(t.scored, PLAN, INCENTIVES, RATES), "ganancia_millones")
 
 
+@query("sensitivity_backtest_300", grid_sql(300))
+def sensitivity_backtest_300(t: Tables):
+    return rounded(impact.grid_backtest(t.scored, replace(PLAN, budget=300), INCENTIVES, RATES), "ganancia_millones")
+
+
+@query("ab_split_300", """SELECT id, Probabilidad, Es_Fuga_Real, CASE WHEN ('0x' || substr(md5(id::varchar), 1, 8))::bigint % 100 < 80
+      THEN 'TRATAMIENTO (Llamar)' ELSE 'CONTROL (No Llamar)' END AS "Grupo" FROM scored_ranked WHERE rk <= 300""")
+def ab_split_300(t: Tables):
+    return impact.ab_split(t.scored, 300)
+
+
 _SPLIT = """SELECT id, Probabilidad, Es_Fuga_Real, CASE WHEN ('0x' || substr(md5(id::varchar), 1, 8))::bigint % 100 < 80
-      THEN 'TRATAMIENTO (Llamar)' ELSE 'CONTROL (No Llamar)' END AS "Grupo" FROM scored_ranked WHERE rk <= 1000"""
+      THEN 'TRATAMIENTO (Llamar)' ELSE 'CONTROL (No Llamar)' END AS "Grupo" FROM scored_ranked WHERE rk <= 10000"""
 
 
 @query("ab_split", _SPLIT)
 def ab_split(t: Tables):
-    return impact.ab_split(t.scored, 1000)
+    return impact.ab_split(t.scored, PLAN.budget)
 
 
 @query("ab_export", _SPLIT)
 def ab_export(t: Tables):
     path = scratch_path(t.spark, "ab-lists")
-    write_lists(impact.ab_split(t.scored, 1000), path)
+    write_lists(impact.ab_split(t.scored, PLAN.budget), path)
     schema = "id BIGINT, Probabilidad DOUBLE, Es_Fuga_Real INT, Grupo STRING"
     return t.spark.read.csv(path, header=True, schema=schema)
 
@@ -178,23 +197,36 @@ def impact_kpis(t: Tables):
     return money_rounded(impact.impact(base(t), clean_campaigns(t)))
 
 
-_TOP = f"""tops AS (SELECT count(*) AS n, sum(risk_12m) AS fugas_esp, avg(risk_12m) AS prob_media, max(n_all) AS activos
-  FROM active_ranked WHERE rk <= {DASHBOARD.budget})"""
+FEW = replace(DASHBOARD, budget=150)
 
 
-@query(
-    "impact_table",
-    f"""WITH {_TOP}, k AS ({kpi_sql("tops", str(DASHBOARD.ltv), str(DASHBOARD.call_cost), str(DASHBOARD.incentive), "0.3", "activos, round(prob_media, 6) AS prob_media")})
-    """
-    + "\nUNION ALL ".join(
+def top_sql(plan: impact.Campaign) -> str:
+    return f"""tops AS (SELECT count(*) AS n, sum(risk_12m) AS fugas_esp, avg(risk_12m) AS prob_media, max(n_all) AS activos
+  FROM active_ranked WHERE rk <= {plan.budget})"""
+
+
+def impact_sql(plan: impact.Campaign) -> str:
+    keep = "activos, round(prob_media, 6) AS prob_media"
+    metrics = "\nUNION ALL ".join(
         f"SELECT {i + 1} AS orden, '{m}' AS metrica, {m}::double AS valor FROM k" for i, m in enumerate(impact.METRICS)
-    ),
-)
-def impact_table(t: Tables):
-    found = impact.impact_table(base(t), DASHBOARD)
+    )
+    return f"WITH {top_sql(plan)}, k AS ({kpi_sql('tops', str(plan.ltv), str(plan.call_cost), str(plan.incentive), '0.3', keep)})\n{metrics}"
+
+
+def impact_rows(t: Tables, plan: impact.Campaign):
     exact = F.col("metrica").isin("prob_media", "roi")
     v = F.col("valor")
-    return found.withColumn("valor", F.when(exact, F.round(v, 6)).otherwise(F.round(v, 4)))
+    return impact.impact_table(base(t), plan).withColumn("valor", F.when(exact, F.round(v, 6)).otherwise(F.round(v, 4)))
+
+
+@query("impact_table", impact_sql(DASHBOARD))
+def impact_table(t: Tables):
+    return impact_rows(t, DASHBOARD)
+
+
+@query("impact_table_150", impact_sql(FEW))
+def impact_table_150(t: Tables):
+    return impact_rows(t, FEW)
 
 
 _POINTS = """z AS (SELECT count(*) AS filas FROM active_ranked),
@@ -210,17 +242,29 @@ def profit_points(t: Tables):
     return impact.curve_points(base(t), 300)
 
 
-@query(
-    "profit_curve_n",
-    f"""WITH {_POINTS.format(n=DASHBOARD.budget)},
+def curve_sql(plan: impact.Campaign) -> str:
+    return f"""WITH {_POINTS.format(n=plan.budget)},
     s AS (SELECT k, sum(risk_12m) AS f FROM points JOIN active_ranked ON rk <= k GROUP BY k)
-    SELECT k, round(f, 4) AS fugas_esp, round(least(f, k * 0.3) * {DASHBOARD.ltv}
-      - (k * {DASHBOARD.call_cost} + least(f, k * 0.3) * {DASHBOARD.incentive}), 4) AS ganancia_neta FROM s""",
-)
+    SELECT k, round(f, 4) AS fugas_esp, round(least(f, k * 0.3) * {plan.ltv}
+      - (k * {plan.call_cost} + least(f, k * 0.3) * {plan.incentive}), 4) AS ganancia_neta FROM s"""
+
+
+@query("profit_curve_n", curve_sql(DASHBOARD))
 def profit_curve_n(t: Tables):
     return money_rounded(impact.profit_by_n(base(t), DASHBOARD))
 
 
+@query("profit_curve_150", curve_sql(FEW))
+def profit_curve_150(t: Tables):
+    return money_rounded(impact.profit_by_n(base(t), FEW))
+
+
+@query("profit_curve_no_budget", curve_sql(replace(DASHBOARD, budget=impact.DEFAULT_CONTACTS)))
+def profit_curve_no_budget(t: Tables):
+    """A budget of zero takes the default number of contacts."""
+    return money_rounded(impact.profit_by_n(base(t), replace(DASHBOARD, budget=0)))
+
+
 _AXES = impact.expected_axes(DASHBOARD)
 
 
@@ -228,18 +272,24 @@ def axis_sql(name: str) -> str:
     return f"(SELECT unnest([{', '.join(f'{v}::double' for v in _AXES[name])}]) AS {name}) {name}_axis"
 
 
-@query(
-    "sensitivity_expected",
-    f"""WITH {_TOP} SELECT incentivo, exito, round(fugas_esp * exito, 5) AS salvados_esp,
-      round(n * {DASHBOARD.call_cost} + fugas_esp * exito * incentivo, 5) AS costo_esp,
-      round(fugas_esp * exito * {DASHBOARD.ltv} - (n * {DASHBOARD.call_cost} + fugas_esp * exito * incentivo), 5) AS ganancia_neta
-    FROM tops, {axis_sql("incentivo")}, {axis_sql("exito")}""",
-)
+def expected_sql(plan: impact.Campaign) -> str:
+    return f"""WITH {top_sql(plan)} SELECT incentivo, exito, round(fugas_esp * exito, 5) AS salvados_esp,
+      round(n * {plan.call_cost} + fugas_esp * exito * incentivo, 5) AS costo_esp,
+      round(fugas_esp * exito * {plan.ltv} - (n * {plan.call_cost} + fugas_esp * exito * incentivo), 5) AS ganancia_neta
+    FROM tops, {axis_sql("incentivo")}, {axis_sql("exito")}"""
+
+
+# Success rates with two decimals give products with five.
+@query("sensitivity_expected", expected_sql(DASHBOARD))
 def sensitivity_expected(t: Tables):
-    # Success rates with two decimals give products with five.
     return rounded(impact.grid_expected(base(t), DASHBOARD), "salvados_esp", "costo_esp", "ganancia_neta", digits=5)
 
 
+@query("sensitivity_expected_150", expected_sql(FEW))
+def sensitivity_expected_150(t: Tables):
+    return rounded(impact.grid_expected(base(t), FEW), "salvados_esp", "costo_esp", "ganancia_neta", digits=5)
+
+
 @query(
     "scenario_cross",
     """SELECT filas, riesgo_total, incentivo, exito FROM (SELECT count(*) AS filas, round(sum(risk_12m), 4) AS riesgo_total

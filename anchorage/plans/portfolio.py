@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from anchorage.operators import clean, integrate, portfolio
 from anchorage.plans.catalog import query
-from anchorage.plans.cleaning import CLUSTER_SQL, GROUP_SQL
+from anchorage.plans.cleaning import CLUSTER_SQL, GROUP_SQL, PQRS_SQL, USAGE_SQL, band_sql
 from anchorage.plans.oracle import whole_months
 from anchorage.plans.tables import INTERACTIONS, KINDS, PLANS, Tables
 from anchorage.sources import readers
@@ -36,22 +36,23 @@ def comma(col):
 @query(
     "read_spells_csv",
     """SELECT AFILIADO_ID_EPS, spell_id::varchar AS spell_id, FECHA_INICIO, FECHA_FIN, EDAD_FECHA_FIN + 0.5 AS EDAD_FECHA_FIN,
-      Prestaciones_PAC, FALLA, NIVEL_INGRESO FROM spells""",
+      Prestaciones_PAC, FALLA, NIVEL_INGRESO, 'says "hi";' || chr(10) || FALLA AS "note; free, text" FROM spells""",
 )
 def read_spells_csv(t: Tables):
     path = scratch_path(t.spark, "spells-csv")
     text = t.spells.select(
         F.col(ID).alias(f" {ID}"),
         "spell_id",
-        F.date_format("FECHA_INICIO", "dd/MM/yyyy").alias("FECHA_INICIO "),
+        F.date_format("FECHA_INICIO", "dd/MM/yy").alias("FECHA_INICIO "),
         F.date_format("FECHA_FIN", "yyyy-MM-dd").alias("FECHA_FIN"),
         comma(F.col("EDAD_FECHA_FIN") + 0.5).alias("EDAD_FECHA_FIN"),
         comma(F.col("Prestaciones_PAC")).alias("Prestaciones_PAC"),
         "FALLA",
         "NIVEL_INGRESO",
+        F.concat_ws(";\n", F.lit('says "hi"'), "FALLA").alias("note; free, text"),
     )
-    text.write.csv(path, sep=";", header=True, nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return readers.read_spells(t.spark, path)
+    text.write.csv(path, sep=";", header=True, nullValue="NA", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read_spells(t.spark, path, multi_line=True)
 
 
 @query("read_permanence_parquet", "SELECT AFILIADO_ID_EPS, risk_12m, tiempo_gatillo_m FROM permanencia WHERE dup = 0")
@@ -203,18 +204,19 @@ def level_metrics(t: Tables):
 
 _LEVELS = ("Regional_Agrupadora", "PLAN", "NIVEL_INGRESO", "SEGMENTO_EDAD", "TIPO_AFILIADO", "Compania", "TIPO_IPS")
 _LEVELS += ("CONDICION_SALUD", "POLIZA", "GRUPO_CAUSA_CANCELACION", "Sexo_Cd", "nation")
+_BANDS = {"consumos_cat": band_sql(f"({USAGE_SQL})"), "pqrs_cat": band_sql(f"({PQRS_SQL})")}
 
 
 @query(
     "level_metrics_all",
     "\nUNION ALL ".join(
-        f"SELECT '{n}' AS variable, {n} AS nivel, count(*) AS afiliados, round(avg({CANCEL_SQL}), 6) AS tasa_cancel "
-        f"FROM last_spells WHERE {n} <> '' GROUP BY {n}"
-        for n in _LEVELS
+        f"SELECT '{n}' AS variable, {level} AS nivel, count(*) AS afiliados, round(avg({CANCEL_SQL}), 6) AS tasa_cancel "
+        f"FROM last_spells WHERE {level} <> '' GROUP BY {level}"
+        for n, level in (dict(zip(_LEVELS, _LEVELS)) | _BANDS).items()
     ),
 )
 def level_metrics_all(t: Tables):
-    return portfolio.level_metrics_all(book(t), _LEVELS).withColumn("tasa_cancel", F.round("tasa_cancel", 6))
+    return portfolio.level_metrics_all(book(t), (*_LEVELS, *_BANDS)).withColumn("tasa_cancel", F.round("tasa_cancel", 6))
 
 
 _PYR = "FILTER (upper(Sexo_Cd) = '{s}')"

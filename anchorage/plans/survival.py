@@ -121,8 +121,8 @@ def operational_group_rule(t: Tables):
     "c_index",
     """WITH p AS (SELECT sum(n) FILTER (r > r2) AS c, coalesce(sum(n) FILTER (r = r2), 0) AS e, sum(n) AS a FROM (
         SELECT x.r, y.r AS r2, count(*) AS n
-        FROM (SELECT t_m, event, round(Riesgo_Calculado * 1000000)::int AS r FROM valid) x
-        JOIN (SELECT t_m, round(Riesgo_Calculado * 1000000)::int AS r FROM valid) y ON x.t_m < y.t_m
+        FROM (SELECT t_m, event, Riesgo_Calculado AS r FROM valid WHERE Riesgo_Calculado IS NOT NULL) x
+        JOIN (SELECT t_m, Riesgo_Calculado AS r FROM valid WHERE Riesgo_Calculado IS NOT NULL) y ON x.t_m < y.t_m
         WHERE x.event = 1 GROUP BY 1, 2) q)
     SELECT c::double AS concordantes, e::double AS empates, a::double AS comparables, round((c + e / 2) / a, 6) AS c_index FROM p""",
 )

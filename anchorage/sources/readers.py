@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,32 +35,42 @@ def first_line(spark: SparkSession, path: str) -> str:
 
 
 def detect_sep(line: str) -> str:
-    """Most frequent delimiter of a header line; semicolon wins ties, then tab."""
-    comma, semicolon, tab = (line.count(s) for s in ",;\t")
+    """Most frequent delimiter of a header line outside quotes; semicolon wins ties, then tab."""
+    bare = "".join(line.split('"')[::2])
+    comma, semicolon, tab = (bare.count(s) for s in ",;\t")
     if semicolon >= comma and semicolon >= tab:
         return ";"
     return "\t" if tab >= comma else ","
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
     """All columns as text with trimmed headers; the schema comes from the header line alone.
 
-    A column without a header, as a saved index has, is named by its position.
+    Quotes follow RFC 4180: a quoted cell may hold separators and doubled quotes.
+    Line breaks inside quotes need ``multi_line``, which reads each file as a whole;
+    without it they, like any row of another width, fail the read. Files of one
+    folder must agree in their headers. A column without a header, as a saved index
+    has, is named by its position, and the headers are then not compared.
     """
-    header = first_line(spark, path).lstrip("﻿")
+    header = first_line(spark, path).lstrip("\ufeff")
     sep = sep or detect_sep(header)
-    names = [n.strip().strip('"').strip() or f"Unnamed: {i}" for i, n in enumerate(header.split(sep))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.csv(path, sep=sep, header=True, schema=schema, enforceSchema=True)
+    raw = next(csv.reader([header], delimiter=sep), [])
+    names = [n.strip() or f"Unnamed: {i}" for i, n in enumerate(raw)]
+    alike = all(n.strip() for n in raw) and len({n.lower() for n in raw}) == len(raw)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (raw if alike else names)])
+    rows = spark.read.csv(
+        path, sep=sep, header=True, schema=schema, enforceSchema=not alike, multiLine=multi_line, quote='"', escape='"', mode="FAILFAST"
+    )
+    return rows.toDF(*names)
 
 
 def known(text: Column) -> Column:
     return F.when(~text.isin(*MISSING), text)
 
 
-def read_spells(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_spells(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
     """Spell table from delimited text: missing marks to null, dates and numbers coerced."""
-    df = read_delimited(spark, path, sep)
+    df = read_delimited(spark, path, sep, multi_line)
 
     def coerced(name: str) -> Column:
         text = known(F.col(f"`{name}`"))
@@ -83,12 +94,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def read_contrib(spark: SparkSession, *paths: str) -> DataFrame:
+def read_contrib(spark: SparkSession, *paths: str, multi_line: bool = False) -> DataFrame:
     """Contribution table from the first path that exists."""
     found = next((p for p in paths if path_exists(spark, p)), None)
     if found is None:
         raise FileNotFoundError(", ".join(paths))
-    return tidy(require(read_delimited(spark, found, ","), CONTRIB_COLUMNS))
+    return tidy(require(read_delimited(spark, found, ",", multi_line), CONTRIB_COLUMNS))
 
 
 def read_features(spark: SparkSession, path: str, expected: Sequence[str]) -> DataFrame:

@@ -44,7 +44,7 @@ def test_top_n_by_either_way(skewed, monkeypatch):
     rows, df = skewed
     want = {r[0] for r in ordered(rows)[:1200]}
     assert {r.id for r in top_n(df, 1200, "Probabilidad", "id").collect()} == want
-    monkeypatch.setattr("anchorage.operators.prefix.TAKE_AT_MOST", 10)
+    monkeypatch.setattr("anchorage.operators.prefix.PAGE", 10**6)
     assert {r.id for r in top_n(df, 1200, "Probabilidad", "id").collect()} == want
     assert top_n(df, 10**6, "Probabilidad", "id").count() == 3000
 
@@ -77,9 +77,12 @@ def test_risk_deciles_with_dropped_edges(spark):
 
 def test_rank_deciles_are_equal(skewed):
     _, df = skewed
-    counts = bins.rank_deciles(df, "Probabilidad", "id").groupBy("decil").count().collect()
-    assert sorted(r.decil for r in counts) == list(range(1, 11))
-    assert all(r["count"] == 300 for r in counts)
+    rows, _ = skewed
+    known = sum(r[1] is not None for r in rows)
+    counts = {r.decil: r["count"] for r in bins.rank_deciles(df, "Probabilidad", "id").groupBy("decil").count().collect()}
+    assert counts.pop(None, 0) == len(rows) - known
+    assert sorted(counts) == list(range(1, 11))
+    assert all(abs(n - known / 10) <= 1 for n in counts.values())
 
 
 def test_auc(skewed):
@@ -201,7 +204,8 @@ def test_scale01_rules(spark):
 
 def test_lift_ends_at_full_coverage(skewed):
     _, df = skewed
-    table = checks.lift(df.where(F.col("Probabilidad").isNotNull())).collect()
+    table = checks.lift(df).collect()
+    assert None not in {r.decil for r in table} and table == checks.lift(df.where(F.col("Probabilidad").isNotNull())).collect()
     assert table[-1].cobertura == pytest.approx(100.0)
     assert sum(r.clientes for r in table) == df.where(F.col("Probabilidad").isNotNull()).count()
 
@@ -237,3 +241,24 @@ def test_last_spell_drops_rows_before_the_shuffle(spark, folder):
     from anchorage.plans import QUERIES
 
     assert "WindowGroupLimit" in QUERIES["last_spell"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_keep_the_asked_probability(spark):
+    values = [float(v * v) for v in range(2001)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = [1e-5, 0.99999, 1 / 3, 0.123456789]
+    assert exact_quantiles(df, F.col("v"), probs).first().q == pytest.approx(np.quantile(values, probs), rel=1e-12)
+
+
+def test_scores_that_are_missing_belong_to_no_bin(spark):
+    rows = [(0.05, 0), (0.95, 1), (0.97, 0), (None, 1), (None, 1), (float("nan"), 1)]
+    df = spark.createDataFrame(rows, "Probabilidad double, Es_Fuga_Real int")
+    assert {r.bin: (r.n, r.tasa) for r in checks.calibration(df).collect()} == {0: (1, 0.0), 9: (2, 0.5)}
+    assert checks.cum_capture(df).agg(F.max("cobertura")).first()[0] == 100.0
+
+
+def test_top_n_reaches_rows_without_a_score(spark):
+    df = spark.createDataFrame([(i, float(i % 3)) for i in range(1500)] + [(9000 + i, None) for i in range(800)], "id long, s double")
+    got = top_n(df, 2000, "s", "id").collect()
+    assert len(got) == 2000 and sum(r.s is None for r in got) == 500
+    assert sorted(r.s for r in top_n(df, 1200, "s", "id").collect()) == [0.0] * 200 + [1.0] * 500 + [2.0] * 500

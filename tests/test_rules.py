@@ -174,3 +174,34 @@ def test_write_lists_makes_one_set_per_list(spark, tmp_path):
     readers.write_lists(df, str(tmp_path / "lists"))
     assert sorted(p.name for p in (tmp_path / "lists").iterdir() if p.is_dir()) == ["Grupo=c", "Grupo=t"]
     assert spark.read.csv(str(tmp_path / "lists"), header=True).count() == 3
+
+
+def test_delimited_files_follow_their_quotes(spark, tmp_path):
+    from anchorage.sources import readers
+
+    (tmp_path / "a.csv").write_text('"AFILIADO_ID_EPS";"x;y";"FALLA"\n1;"a;""b""";SI\n')
+    row = readers.read_delimited(spark, str(tmp_path / "a.csv")).first()
+    assert row.asDict() == {"AFILIADO_ID_EPS": "1", "x;y": 'a;"b"', "FALLA": "SI"}
+    (tmp_path / "b.csv").write_text('ID,feature,shap_value,feature_value\n1,"a\nb",0.5,1\n')
+    assert readers.read_delimited(spark, str(tmp_path / "b.csv"), ",", multi_line=True).first().feature == "a\nb"
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.read_delimited(spark, str(tmp_path / "b.csv"), ",").collect()
+
+
+def test_files_with_other_column_orders_are_refused(spark, tmp_path):
+    from anchorage.sources import readers
+
+    (tmp_path / "a.csv").write_text("p,q\n1,2\n")
+    (tmp_path / "b.csv").write_text("q,p\n2,1\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_delimited(spark, str(tmp_path)).collect()
+
+
+def test_years_of_two_digits(spark):
+    from datetime import date
+
+    from anchorage.functions import columns
+
+    texts = ["31/12/98", "1-2-05", "98/12/31", "31/12/1998", "32/13/99"]
+    got = [r.d for r in spark.createDataFrame([(x,) for x in texts], "x string").select(columns.parse_date_any(F.col("x")).alias("d")).collect()]
+    assert got == [date(1998, 12, 31), date(2005, 2, 1), date(1998, 12, 31), date(1998, 12, 31), None]

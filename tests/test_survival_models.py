@@ -159,3 +159,31 @@ def test_encode_profiles(spark):
     df = spark.createDataFrame([("ALTA", None), ("new", "A")], "CONDICION_SALUD string, NIVEL_INGRESO string")
     got = [(r.CONDICION_SALUD_COD, r.NIVEL_INGRESO_COD) for r in models.encode_profiles(df).collect()]
     assert got == [(3.0, 4.0), (4.0, 1.0)]
+
+
+def test_concordance_of_any_real_risk(spark):
+    from anchorage.operators import survival
+
+    draw = random.Random(8)
+    rows = [(float(draw.randint(1, 30)), draw.randint(0, 1), draw.choice([-3.0, 2.5, 1e-7, 4e-7, 1e12, draw.gauss(0, 5)])) for _ in range(150)]
+    odd = [(3.0, 1, None), (None, 1, 2.0), (4.0, None, 1.0), (5.0, 1, float("nan"))]
+    df = spark.createDataFrame(rows + odd, "t double, e int, r double")
+    met = [(a, b) for a in rows for b in rows if a[1] == 1 and a[0] < b[0]]
+    won, tied = sum(a[2] > b[2] for a, b in met), sum(a[2] == b[2] for a, b in met)
+    got = survival.c_index(df, "t", "e", "r").first()
+    assert (got.concordantes, got.empates, got.comparables) == (won, tied, len(met))
+    assert got.c_index == pytest.approx((won + tied / 2) / len(met))
+    assert survival.c_index(df.limit(0), "t", "e", "r").first().c_index is None
+
+
+def test_isotonic_tells_close_scores_apart(spark):
+    df = spark.createDataFrame([(0.12341, 0), (0.12344, 1)], "x double, y int")
+    assert [r.calibrada for r in models.calibrate(df, "x", "y", "isotonic").orderBy("x").collect()] == [0.0, 1.0]
+
+
+def test_cox_tells_whether_it_converged(spark):
+    draw = random.Random(9)
+    rows = [(float(draw.randint(1, 20)), draw.randint(0, 1), draw.gauss(0, 1)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "t_m double, event int, x double")
+    assert models.fit_cox(df, ["x"]).first().converge
+    assert not models.fit_cox(df, ["x"], steps=1).first().converge
