@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from anchorage.functions.columns import number_or_null, pretty_feature_name
 from anchorage.operators.prefix import exact_quantiles, piece_bits
-from anchorage.session import lookup_join
 
 HIGH = 0.80
 MIN_HIGH = 80
@@ -91,7 +90,7 @@ def scale01(df: DataFrame, missing: float | None = 0.5, group: str = "feature",
         .when(v.isNull(), F.lit(missing))
         .otherwise((v - F.col("_min")) / (F.col("_max") - F.col("_min")))
     )
-    return lookup_join(df, bounds, group).withColumn("fv01", scaled.cast("double")).drop("_min", "_max")
+    return df.join(bounds, group, "left").withColumn("fv01", scaled.cast("double")).drop("_min", "_max")
 
 
 def contrib_points(df: DataFrame, k: int = 20, n: int = 1500) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,7 +16,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anchorage.functions import columns as c
 from anchorage.functions.columns import hash_percent
+from anchorage.operators.clean import one_hot
 from anchorage.session import written
 
 SEED = 42
@@ -25,7 +28,11 @@ UNKNOWN = "unknown"
 ORDINALS = {
     "CONDICION_SALUD": ("BAJA", "MEDIA", "ALTA"),
     "NIVEL_INGRESO": ("A", "B", "C"),
+    "PLAN": ("BRONCE", "PLATA", "ORO", "DIAMANTE"),
 }
+# The profile fields that become one flag per level.
+FAMILIES = ("SEGMENTO_EDAD", "TIPO_AFILIADO", "Regional_Agrupadora", "Compania", "TIPO_IPS")
+NOT_GIVEN = -1.0
 
 
 def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -142,14 +149,42 @@ def select_k(df: DataFrame, features: Sequence[str], ks: Sequence[int]) -> DataF
 # -- survival --------------------------------------------------------------
 
 
-def encode_profiles(df: DataFrame, ordinals: Mapping[str, Sequence[str]] = ORDINALS) -> DataFrame:
-    """Ordinal codes from 1; a missing or unseen level is unknown and takes the code after the last."""
-
-    def code(name: str, levels: Sequence[str]) -> Column:
-        place = F.array_position(F.array(*map(F.lit, levels)), F.coalesce(F.col(name), F.lit(UNKNOWN)))
-        return F.when(place > 0, place).otherwise(len(levels) + 1).cast("double")
+def encode_profiles(
+    df: DataFrame, ordinals: Mapping[str, Sequence[str]] = ORDINALS, levels: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """Every profile field as a number.
 
-    return df.withColumns({f"{n}_COD": code(n, levels) for n, levels in ordinals.items()})
+    Ordinal fields count from 1; a missing or unseen level takes the code after the
+    last, and a field that is a number already keeps it. Sex and policy may be given
+    as 0/1 or as text, the family branch as RAMO_FAMILIAR or RAMO_FAMILIAR_BIN; not
+    given is -1. Each field of ``levels`` becomes one flag per level.
+    """
+    text = {n: F.col(n).cast("string") for n in df.columns}
+
+    def code(name: str, known: Sequence[str]) -> Column:
+        place = F.array_position(F.array(*map(F.lit, known)), F.coalesce(text[name], F.lit(UNKNOWN)))
+        unseen = F.coalesce(text[name].try_cast("int"), F.lit(len(known) + 1))
+        return F.when(place > 0, place).otherwise(unseen).cast("double")
+
+    def given(*spellings: Column) -> Column:
+        return F.coalesce(*spellings, F.lit(NOT_GIVEN)).cast("double")
+
+    def number(name: str) -> Column:
+        return text[name].try_cast("int") if name in text else F.lit(None).cast("int")
+
+    sex = c.sex_bin(text["Sexo_Cd"]) if "Sexo_Cd" in text else F.lit(None).cast("int")
+    policy = [c.yes_no_bin(text[n]) for n in ("POLIZA_BIN", "POLIZA") if n in text]
+    coded = df.withColumns({f"{n}_COD": code(n, known) for n, known in ordinals.items() if n in text})
+    coded = coded.withColumns(
+        {
+            "Sexo_Cd_BIN": given(number("Sexo_Cd_BIN"), sex),
+            "POLIZA_BIN": given(number("POLIZA_BIN"), *policy),
+            "RAMO_FAMILIAR": given(number("RAMO_FAMILIAR"), number("RAMO_FAMILIAR_BIN")),
+        }
+    )
+    for name, known in (levels or {}).items():
+        coded = one_hot(coded, name, f"{name}_", known)
+    return coded
 
 
 def person_months(df: DataFrame, features: Sequence[str], time: str = "t_m", event: str = "event") -> DataFrame:
@@ -188,11 +223,48 @@ def hazard_curve(model: PipelineModel, profiles: DataFrame, key: str, last_month
     )
 
 
-def score_profiles(model: PipelineModel, profiles: DataFrame, key: str, horizons: Sequence[int]) -> DataFrame:
-    """Cancellation risk of every profile at each horizon."""
-    curve = hazard_curve(model, profiles, key, max(horizons))
+def score_profiles(
+    model: PipelineModel, profiles: DataFrame, key: str, features: Sequence[str], horizons: Sequence[int]
+) -> DataFrame:
+    """Cancellation risk of every profile at each horizon.
+
+    Profiles with the same features are scored once and joined back.
+    """
+    same = F.concat_ws("|", *[F.col(f).cast("string") for f in features])
+    rows = profiles.select(key, *features).withColumn("_same", same)
+    curve = hazard_curve(model, rows.dropDuplicates(["_same"]).drop(key), "_same", max(horizons))
     picks = [F.max(F.when(F.col("t") == h, 1 - F.col("S_t"))).alias(f"risk_{h}m") for h in horizons]
-    return curve.groupBy(key).agg(*picks)
+    return rows.select(key, "_same").join(curve.groupBy("_same").agg(*picks), "_same").drop("_same")
+
+
+def dated_horizons(risks: DataFrame, key: str, since: Column, horizons: Sequence[int]) -> DataFrame:
+    """One row per profile and horizon: months, the date they end, risk and survival."""
+    rows = F.array(
+        *[
+            F.struct(F.lit(h).alias("meses"), F.add_months(since, h).alias("fecha"), F.col(f"risk_{h}m").alias("risk"))
+            for h in horizons
+        ]
+    )
+    return risks.select(key, F.inline(rows)).withColumn("S_t", 1 - F.col("risk"))
+
+
+def nearest_centre(df: DataFrame, features: Sequence[str], centres: Sequence[Sequence[float]], out: str = "segmento") -> DataFrame:
+    """Assign rows to fixed centres by squared distance, the first on a tie; missing values are zero."""
+
+    def cost(centre: Sequence[float]) -> Column:
+        gaps = [F.col(f).cast("double") - F.lit(float(x)) for f, x in zip(features, centre, strict=True)]
+        return reduce(lambda a, b: a + b, [g * g for g in gaps])
+
+    costs = F.array(*[cost(x) for x in centres])
+    return filled(df, features).withColumn(out, (F.array_position(costs, F.array_min(costs)) - 1).cast("int"))
+
+
+def observed_hazard(lived: DataFrame) -> DataFrame:
+    """Person-months, events and observed hazard per month of ``person_months`` rows."""
+    events = F.sum(F.col("label") * F.col("peso"))
+    return lived.groupBy(F.col("mes").cast("int").alias("mes")).agg(
+        F.sum("peso").alias("meses_persona"), events.alias("eventos"), (events / F.sum("peso")).alias("observado")
+    )
 
 
 def cox_sums(df: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:

@@ -1,20 +1,32 @@
-"""Queries that fit and apply models; checked by rows and by tests, not by SQL."""
+"""Queries that fit and apply models; what surrounds the fits has SQL twins, the fits are checked by rows and tests."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorage.functions import columns as c
 from anchorage.operators import clean, models
 from anchorage.operators.survival import HORIZONS
 from anchorage.plans.catalog import query
 from anchorage.plans.portfolio import book
-from anchorage.plans.tables import Tables
+from anchorage.plans.tables import AGE_STAGES, REGIONS, Tables
 
 FEATURES = ("ACCT_BAL", "NUM_ORDERS", "NUM_ITEMS", "Prestaciones_PAC", "Prestaciones_PBS", "risk_12m")
 LABEL = "Es_Fuga_Real"
 SEGMENT_FEATURES = ("ACCT_BAL", "NUM_ORDERS", "Prestaciones_PAC", "Prestaciones_PBS")
-HAZARD_FEATURES = ("CONDICION_SALUD_COD", "NIVEL_INGRESO_COD", "Sexo_Cd_BIN", "POLIZA_BIN")
+PROFILE_LEVELS = {
+    "SEGMENTO_EDAD": AGE_STAGES,
+    "TIPO_AFILIADO": ("ASEGURADO COLECTIVO", "ASEGURADO FAMILIAR", "TOMADOR FAMILIAR"),
+    "Regional_Agrupadora": REGIONS,
+    "Compania": ("DIGITAL", "PROPIO", "TERCERO"),
+    "TIPO_IPS": ("ALIADA", "CONVENIO", "EXCLUSIVA", "PROPIA", "SIN_INFORMACION"),
+}
+HAZARD_FEATURES = (
+    *(f"{n}_COD" for n in models.ORDINALS),
+    "Sexo_Cd_BIN",
+    "POLIZA_BIN",
+    "RAMO_FAMILIAR",
+    *(f"{n}_{level}" for n in models.FAMILIES for level in PROFILE_LEVELS[n]),
+)
 COX_FEATURES = ("EDAD_FECHA_FIN", "INGRESO", "Prestaciones_PAC", "Prestaciones_PBS")
 
 
@@ -72,15 +84,56 @@ def calibrate(t: Tables):
     return models.calibrate(platt, "Probabilidad", LABEL, "isotonic").withColumnRenamed("calibrada", "isotonica")
 
 
+_ORDER = {n: f"coalesce(nullif(list_position({list(known)}, {n}), 0), {len(known) + 1})::double" for n, known in models.ORDINALS.items()}
+_FLAGS = {f"{n}_{v}": f"coalesce(({n} = '{v}')::int, 0)" for n, known in PROFILE_LEVELS.items() for v in known}
+
+
 def profiles(t: Tables):
-    """Every affiliate's last spell read as a profile, codes and flags ready."""
-    coded = models.encode_profiles(book(t))
-    return coded.withColumns(
-        {
-            "Sexo_Cd_BIN": F.coalesce(c.sex_bin(F.col("Sexo_Cd")), F.lit(-1)).cast("double"),
-            "POLIZA_BIN": F.coalesce(c.yes_no_bin(F.col("POLIZA")), F.lit(-1)).cast("double"),
-        }
+    """Every affiliate's last spell read as a profile, all fields coded."""
+    return models.encode_profiles(book(t), levels=PROFILE_LEVELS)
+
+
+@query(
+    "encode_profiles",
+    "SELECT AFILIADO_ID_EPS, "
+    + ", ".join(f'{sql} AS "{n}_COD"' for n, sql in _ORDER.items())
+    + """, CASE upper(trim(Sexo_Cd)) WHEN 'M' THEN 1.0 WHEN 'F' THEN 0.0 ELSE -1.0 END::double AS "Sexo_Cd_BIN",
+      CASE WHEN upper(trim(POLIZA)) IN ('SI', 'SÍ') THEN 1.0 WHEN upper(trim(POLIZA)) = 'NO' THEN 0.0 ELSE -1.0 END::double AS "POLIZA_BIN",
+      -1.0::double AS "RAMO_FAMILIAR", """
+    + ", ".join(f'{sql} AS "{n}"' for n, sql in _FLAGS.items())
+    + " FROM last_spells",
+)
+def encode_profiles(t: Tables):
+    return profiles(t).select("AFILIADO_ID_EPS", *HAZARD_FEATURES)
+
+
+@query(
+    "person_months",
+    """SELECT mes::int AS mes, count(*)::double AS meses_persona, (count(*) FILTER (event = 1 AND mes = last))::double AS eventos,
+      round(count(*) FILTER (event = 1 AND mes = last) / count(*), 6) AS observado
+    FROM (SELECT event, last, unnest(range(1, last + 1)) AS mes FROM (
+      SELECT event, greatest(ceil(t_m), 1)::int AS last FROM valid) v) m GROUP BY 1""",
+)
+def person_months(t: Tables):
+    lived = models.person_months(clean.valid_spells(profiles(t)), HAZARD_FEATURES)
+    return models.observed_hazard(lived).withColumn("observado", F.round("observado", 6))
+
+
+# Account balance, orders, and the two kinds of use.
+CENTRES = ((0.0, 5.0, 10.0, 10.0), (4500.0, 15.0, 30.0, 30.0), (9000.0, 25.0, 60.0, 60.0))
+
+
+@query(
+    "nearest_centre",
+    "SELECT ID, list_position(d, list_min(d))::int - 1 AS segmento FROM (SELECT ID, ["
+    + ", ".join(
+        " + ".join(f"(coalesce({f}, 0) - {x}::double) * (coalesce({f}, 0) - {x}::double)" for f, x in zip(SEGMENT_FEATURES, centre))
+        for centre in CENTRES
     )
+    + "] AS d FROM wide_features) w",
+)
+def nearest_centre(t: Tables):
+    return models.nearest_centre(t.wide_features, SEGMENT_FEATURES, CENTRES).select("ID", "segmento")
 
 
 @query("discrete_hazard_fit")
@@ -96,11 +149,23 @@ def discrete_hazard_fit(t: Tables):
     )
 
 
-@query("profile_scoring")
-def profile_scoring(t: Tables):
+def scored_profiles(t: Tables):
     rows = profiles(t)
     model = models.fit_hazard(clean.valid_spells(rows), HAZARD_FEATURES)
-    return models.score_profiles(model, rows, "AFILIADO_ID_EPS", HORIZONS)
+    return models.score_profiles(model, rows, "AFILIADO_ID_EPS", HAZARD_FEATURES, HORIZONS)
+
+
+@query("profile_scoring")
+def profile_scoring(t: Tables):
+    return scored_profiles(t)
+
+
+@query("profile_horizons")
+def profile_horizons(t: Tables):
+    """The same risks by date, counted from the latest start in the portfolio."""
+    since = t.spells.agg(F.max("FECHA_INICIO")).scalar()
+    risks = scored_profiles(t).withColumn("_since", since)
+    return models.dated_horizons(risks, "AFILIADO_ID_EPS", F.col("_since"), HORIZONS)
 
 
 @query("cox_ph")

@@ -141,7 +141,7 @@ def test_hazard_curve_never_rises(spark):
     curve = models.hazard_curve(model, profiles, "k", 12).orderBy("k", "t").collect()
     for a, b in zip(curve, curve[1:], strict=False):
         assert a.k != b.k or b.S_t <= a.S_t + 1e-12
-    risks = models.score_profiles(model, profiles, "k", (3, 12)).collect()
+    risks = models.score_profiles(model, profiles, "k", ["f"], (3, 12)).collect()
     assert all(r.risk_3m <= r.risk_12m for r in risks)
 
 
@@ -155,6 +155,14 @@ def test_select_k_and_segments(spark):
     assert sorted(sizes) == [100, 100, 100]
 
 
+def test_encode_profiles_of_mixed_spellings(spark):
+    rows = [("2", "ORO", "M", None, "1", None, "A_B"), (None, None, None, "sí", None, "0", "x"), ("BAJA", "9", "f", "no", None, None, None)]
+    df = spark.createDataFrame(rows, "CONDICION_SALUD string, PLAN string, Sexo_Cd string, POLIZA string, RAMO_FAMILIAR string, RAMO_FAMILIAR_BIN string, TIPO_IPS string")
+    got = models.encode_profiles(df, levels={"TIPO_IPS": ("A B", "x")})
+    names = ("CONDICION_SALUD_COD", "PLAN_COD", "Sexo_Cd_BIN", "POLIZA_BIN", "RAMO_FAMILIAR", "TIPO_IPS_A B", "TIPO_IPS_x")
+    assert [tuple(r[n] for n in names) for r in got.collect()] == [(2, 3, 1, -1, 1, 1, 0), (4, 5, -1, 1, 0, 0, 1), (1, 9, 0, 0, -1, 0, 0)]
+
+
 def test_encode_profiles(spark):
     df = spark.createDataFrame([("ALTA", None), ("new", "A")], "CONDICION_SALUD string, NIVEL_INGRESO string")
     got = [(r.CONDICION_SALUD_COD, r.NIVEL_INGRESO_COD) for r in models.encode_profiles(df).collect()]
