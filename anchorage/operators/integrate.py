@@ -20,11 +20,13 @@ BRACKETS = ((24, "[24,inf)"), (18, "[18,24)"), (12, "[12,18)"), (6, "[6,12)"), (
 def with_risk(df: DataFrame, perm: DataFrame) -> DataFrame:
     """Left join of the predicted risk onto affiliates; stale risk columns go first.
 
-    ``perm`` holds one row per affiliate.
+    ``perm`` holds one row per affiliate. The id may be written in any case and be a
+    number on either side; it comes out as text under its usual name.
     """
-    risk = perm.select(ID, *RISK_COLUMNS)
+    risk = perm.select(F.col(ID).cast("string").alias(ID), *RISK_COLUMNS)
     return (
         df.drop(*RISK_COLUMNS)
+        .withColumn(ID, F.col(ID).cast("string"))
         .join(risk, ID, "left")
         .withColumns(
             {

@@ -205,3 +205,13 @@ def test_years_of_two_digits(spark):
     texts = ["31/12/98", "1-2-05", "98/12/31", "31/12/1998", "32/13/99"]
     got = [r.d for r in spark.createDataFrame([(x,) for x in texts], "x string").select(columns.parse_date_any(F.col("x")).alias("d")).collect()]
     assert got == [date(1998, 12, 31), date(2005, 2, 1), date(1998, 12, 31), date(1998, 12, 31), None]
+
+
+def test_risk_joins_either_spelling_of_the_id(spark):
+    from anchorage.operators import integrate
+
+    risk = {n: None for n in integrate.RISK_COLUMNS} | {"risk_12m": "0.25", "grupo_operativo": " alto "}
+    perm = spark.createDataFrame([("7", *risk.values())], "AFILIADO_ID_EPS string, " + ", ".join(f"{n} string" for n in risk))
+    got = integrate.with_risk(spark.createDataFrame([(7,), (8,)], "Afiliado_id_eps long"), perm)
+    assert "AFILIADO_ID_EPS" in got.columns
+    assert {r.AFILIADO_ID_EPS: (r.risk_12m, r.grupo_operativo) for r in got.collect()} == {"7": (0.25, "ALTO"), "8": (None, None)}
