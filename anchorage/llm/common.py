@@ -23,7 +23,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     costs no recomputation and later steps read only the columns they need."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(frame.staged_at)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _SHIPPED: set[str] = set()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import mapped, ship, staged, table
+from anchorage.llm.common import discard, mapped, ship, staged, table
 from anchorage.llm.components import components
 
 WORDS = 5
@@ -249,6 +249,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     more = staged(left_over(lists, labels, sets), "more")
     if not more.isEmpty():
         labels = components(first.union(more))
+    discard(sketches, listed, pairs, sets, first, more)
 
     labels = labels.select(F.col("node").alias("rep"), F.col("label"))
     groups = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
