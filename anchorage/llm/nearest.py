@@ -11,7 +11,6 @@ rows is split into salted parts, so no task holds a whole hot bucket.
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -27,13 +26,15 @@ TOP = 5
 EVERY = 50
 TABLES = 5
 #: Chance, by estimate, of meeting a neighbour at the fitted distance in one table.
-SUCCESS = 0.6
+SUCCESS = 0.45
 #: Queries that the distance is fitted on, against every row.
 FIT_QUERIES = 64
 FIT_QUANTILE = 0.9
 PER_BUCKET = 16
+FIRST_PROBES = 1024
 SLOT = 1.5
 GROUP_ROWS = 4096
+QUERY_BLOCK = 256
 SEED = 11
 
 
@@ -62,33 +63,33 @@ class Index:
 
     def probes(self, slot: np.ndarray, place: np.ndarray, success: float) -> np.ndarray:
         """Slots of the buckets of one table to visit, by falling chance, until the
-        chances sum to ``success``. Sets of moves are grown from a heap: the next
-        set replaces its last move by the following one, or adds that move."""
+        chances sum to ``success``.
+
+        A direction moves down, stays or moves up; the likeliest combinations are
+        grown direction by direction. As chances multiply, a combination among the
+        best so many extends one of the best so many; if they do not suffice, more
+        are kept.
+        """
         spread = self.distance / self.width * math.sqrt(2)
         bound = [np.array([math.erf(x / spread) for x in row]) for row in (place, 1 - place, 1 + place, 2 - place)]
-        down, up = (bound[2] - bound[0]) / 2, (bound[3] - bound[1]) / 2
-        stay = np.maximum((bound[0] + bound[1]) / 2, 1e-12)
-        n = len(slot)
-        moves = [(math.log(s / max(p, 1e-12)), k, step) for p_, step in ((down, -1), (up, 1)) for k, (s, p) in enumerate(zip(stay, p_))]
-        moves.sort()
-        start = float(np.log(stay).sum())
-        found, total = [()], math.exp(start)
-        heap = [(moves[0][0], (0,))]
-        while heap and total < success:
-            loss, chosen = heapq.heappop(heap)
-            last = chosen[-1]
-            if last + 1 < len(moves):
-                step = moves[last + 1][0]
-                heapq.heappush(heap, (loss - moves[last][0] + step, (*chosen[:-1], last + 1)))
-                heapq.heappush(heap, (loss + step, (*chosen, last + 1)))
-            if len({moves[m][1] for m in chosen}) == len(chosen):
-                total += math.exp(start - loss)
-                found.append(chosen)
-        out = np.repeat(slot[None], len(found), axis=0)
-        for row, chosen in enumerate(found):
-            for m in chosen:
-                out[row, moves[m][1]] += moves[m][2]
-        return out.reshape(len(found), n)
+        chance = np.stack([bound[2] - bound[0], bound[0] + bound[1], bound[3] - bound[1]], axis=1) / 2
+        logs = np.log(np.maximum(chance, 1e-12))
+        keep = FIRST_PROBES
+        while True:
+            total, code = np.zeros(1), np.zeros(1, np.int64)
+            for row in logs:
+                total = (total[:, None] + row).ravel()
+                code = (code[:, None] * 3 + np.arange(3)).ravel()
+                if len(total) > keep:
+                    best = np.argpartition(-total, keep)[:keep]
+                    total, code = total[best], code[best]
+            order = np.argsort(-total, kind="stable")
+            reached = np.searchsorted(np.cumsum(np.exp(total[order])), success) + 1
+            if reached <= len(order) or len(order) < keep:
+                break
+            keep *= 4
+        digits = code[order[:reached], None] // 3 ** np.arange(len(slot) - 1, -1, -1) % 3
+        return slot + digits - 1
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -193,7 +194,8 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP, success: float =
 
     posted = kept.mapInPandas(post, "t int, g long, key long, vec_id long, embedding array<double>")
     posted = staged(posted, "index")
-    visits = distinct.select(F.col("first").alias("vec_id"), "embedding").mapInPandas(
+    spread = distinct.repartition(spark.sparkContext.defaultParallelism, "first")
+    visits = spread.select(F.col("first").alias("vec_id"), "embedding").mapInPandas(
         visit, "t int, g long, keys array<long>, vec_id long, embedding array<double>"
     )
     parts = posted.groupBy("t", "g").agg(F.ceil(F.count("*") / (2 * GROUP_ROWS)).cast("int").alias("parts"))
@@ -206,21 +208,26 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP, success: float =
         empty = pd.DataFrame({"first": [], "vec_id": [], "score": []}).astype({"first": "int64", "vec_id": "int64"})
         if rows_.empty or asking.empty:
             return empty
-        rows_ = rows_.sort_values(["key", "vec_id"], ignore_index=True)
-        keys, begin = np.unique(rows_["key"], return_index=True)
-        ends = np.append(begin[1:], len(rows_))
+        keys, bucket = np.unique(rows_["key"], return_inverse=True)
         x, ids, q = matrix(rows_["embedding"]), rows_["vec_id"].to_numpy(), matrix(asking["embedding"])
-        out = []
-        for i, wanted in enumerate(asking["keys"]):
-            at = np.searchsorted(keys, wanted)
-            at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted)]
-            if not len(at):
-                continue
-            mine = np.concatenate([np.arange(begin[k], ends[k]) for k in at])
-            score = cosines(q[i : i + 1], x[mine])[0]
-            order = np.lexsort((ids[mine], -score))[: top + 1]
-            out.append(pd.DataFrame({"first": asking["vec_id"].iloc[i], "vec_id": ids[mine][order], "score": score[order]}))
-        return pd.concat(out) if out else empty
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        firsts = asking["vec_id"].to_numpy()
+        out = [empty]
+        for start in range(0, len(q), QUERY_BLOCK):
+            own = q[start : start + QUERY_BLOCK]
+            visited = np.zeros((len(own), len(keys)), bool)
+            for i, wanted in enumerate(asking["keys"].iloc[start : start + QUERY_BLOCK]):
+                at = np.searchsorted(keys, wanted)
+                visited[i, at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted)]] = True
+            near = own @ unit.T / np.linalg.norm(own, axis=1, keepdims=True)
+            near[~visited[:, bucket]] = -np.inf
+            last = -np.partition(-near, min(top, near.shape[1] - 1), axis=1)[:, min(top, near.shape[1] - 1)]
+            # A shortlist with room for rounding; its scores are summed in one order everywhere.
+            i, k = np.nonzero(np.isfinite(near) & (near >= last[:, None] - 1e-9))
+            dot = np.einsum("nd,nd->n", own[i], x[k])
+            size = [np.sqrt(np.einsum("nd,nd->n", v, v)) for v in (own[i], x[k])]
+            out.append(pd.DataFrame({"first": firsts[start + i], "vec_id": ids[k], "score": dot / size[0] / size[1]}))
+        return pd.concat(out)
 
     found = (
         here.groupBy("t", "g", "part")
