@@ -24,7 +24,7 @@ SLOTS = 1024
 #: Without given weights a source weighs its rows to this power.
 POWER = 0.5
 MOST_SOURCES = 4096
-RANK_ROWS = 200_000
+RANK_ROWS = 20_000
 
 
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
