@@ -226,7 +226,7 @@ SEGMENT = "key long, c1 long, c2 long, first long, body binary, hot boolean"
 
 
 def repeated_segments(texts: DataFrame, length: int) -> DataFrame:
-    """Segments of ``texts`` (c1, c2, text, keys, hot) whose key is a candidate; the
+    """Segments of ``texts`` (c1, c2, text, keys, hot, copies) whose key is a candidate; the
     body is the segment's text, or its window hashes where the key is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,8 @@ def repeated_segments(texts: DataFrame, length: int) -> DataFrame:
             names = ["key", "c1", "c2", "first", "body", "hot"]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=names)
 
-    return mapped(texts.select("c1", "c2", "text", "keys", "hot"), run, SEGMENT)
+    # With the same columns as the last step reads, one shuffle of the texts serves both.
+    return mapped(texts.select("c1", "c2", "text", "keys", "hot", "copies"), run, SEGMENT)
 
 
 RUNS = "c1 long, c2 long, a long, b long"
