@@ -68,16 +68,17 @@ def repeated_words(df: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Per row: the base counts, and its lines as (hash, words)."""
+    """Per row: the base counts, and its lines as (hash, words, place among all lines)."""
     df = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("words", words_of(F.col("text")))
     df = repeated_words(df)
     plain = F.translate(F.col("text"), UPPER, UPPER.lower())
     tidy = F.split(F.regexp_replace(plain, "[\\x20\\x09\\x0B-\\x0D]+", " "), "\n")
     df = df.withColumn("_raw", F.filter(F.split("text", "\n"), lambda line: F.translate(line, " \t\x0b\x0c\r", "") != ""))
-    df = df.withColumn("_tidy", F.array_remove(F.transform(tidy, lambda line: F.trim(line)), ""))
+    tidy = F.transform(tidy, lambda line, at: F.struct(F.trim(line).alias("line"), at.alias("at")))
+    df = df.withColumn("_tidy", F.filter(tidy, lambda x: x["line"] != ""))
     lines = F.transform(
-        "_tidy", lambda line: F.struct(line_key(line).alias("line"), F.size(F.split(line, " ")).alias("words"))
+        "_tidy", lambda x: F.struct(line_key(x["line"]).alias("line"), F.size(F.split(x["line"], " ")).alias("words"), x["at"].alias("at"))
     )
     return df.select(
         "doc_id",
@@ -109,33 +110,21 @@ def frequent_lines(rows: DataFrame, min_documents: int, host_share: float) -> Da
     return counted.join(limits, same).filter(F.col("n") > F.col("most")).select(counted["host"], "line")
 
 
-def judge(
-    docs: DataFrame,
-    min_words: int = MIN_WORDS,
-    max_repeated: int = MAX_REPEATED,
-    min_documents: int = MIN_DOCUMENTS,
-    host_share: float = HOST_SHARE,
-    least_left: float = LEAST_LEFT,
-) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, source, text): counts, base_failed and kept.
-
-    A null text has no words and fails the base rules. Rows without a source share
-    one host. Repeated rows are judged alike, each on its own row; other columns
-    are ignored; an empty table gives no rows.
-    """
+def judged(docs: DataFrame, min_words: int, max_repeated: int, min_documents: int, host_share: float, least_left: float) -> DataFrame:
+    """The columns of ``judge`` with host and gone, the places of the frequent lines (null where there are none)."""
     rows = staged(features(docs), "quality")
     often = frequent_lines(rows, min_documents, host_share).withColumnsRenamed({"host": "often_host", "line": "often_line"})
-    held = rows.select("doc_id", "text_hash", "host", F.posexplode("lines").alias("at", "held"))
+    held = rows.select("doc_id", "text_hash", "host", F.explode("lines").alias("held"))
     hit = held["host"].eqNullSafe(often["often_host"]) & (held["held.line"] == often["often_line"])
     removed = (
         held.join(often, hit, "left_semi")
-        .groupBy("doc_id", "text_hash", "at")
+        .groupBy("doc_id", "text_hash", "host", F.col("held.at").alias("at"))
         .agg(F.max("held.words").alias("words"))
-        .groupBy("doc_id", "text_hash")
-        .agg(F.sum("words").alias("n_boilerplate"))
-        .withColumnsRenamed({"doc_id": "r_doc", "text_hash": "r_text"})
+        .groupBy("doc_id", "text_hash", "host")
+        .agg(F.sum("words").alias("n_boilerplate"), F.collect_list("at").alias("gone"))
+        .withColumnsRenamed({"doc_id": "r_doc", "text_hash": "r_text", "host": "r_host"})
     )
-    same = rows["doc_id"].eqNullSafe(removed["r_doc"]) & (rows["text_hash"] == removed["r_text"])
+    same = rows["doc_id"].eqNullSafe(removed["r_doc"]) & (rows["text_hash"] == removed["r_text"]) & rows["host"].eqNullSafe(removed["r_host"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate")
     return (
@@ -152,10 +141,61 @@ def judge(
             failed.alias("base_failed"),
             (~failed & (left >= least_left * F.col("n_words"))).alias("kept"),
             "n_boilerplate",
+            "host",
+            "gone",
         )
     )
 
 
+def judge(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    max_repeated: int = MAX_REPEATED,
+    min_documents: int = MIN_DOCUMENTS,
+    host_share: float = HOST_SHARE,
+    least_left: float = LEAST_LEFT,
+) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, source, text): counts, base_failed and kept.
+
+    A null text has no words and fails the base rules. Rows without a source share
+    one host. Repeated rows are judged alike, each on its own row; other columns
+    are ignored; an empty table gives no rows.
+    """
+    return judged(docs, min_words, max_repeated, min_documents, host_share, least_left).drop("host", "gone")
+
+
+def kept_documents(
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    max_repeated: int = MAX_REPEATED,
+    min_documents: int = MIN_DOCUMENTS,
+    host_share: float = HOST_SHARE,
+    least_left: float = LEAST_LEFT,
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, their texts without the
+    frequent lines; ``n_chars`` follows a text that lost lines if there is such a column.
+
+    Rows are found again by id, text and source, nulls included; rows that repeat are all kept.
+    """
+    kept = judged(docs, min_words, max_repeated, min_documents, host_share, least_left).filter("kept")
+    kept = kept.select("doc_id", "text_hash", "host", "gone").dropDuplicates(["doc_id", "text_hash", "host"])
+    held = docs.select(F.struct("*").alias("row"))
+    same = (
+        held["row.doc_id"].eqNullSafe(kept["doc_id"])
+        & (F.xxhash64(F.coalesce(held["row.text"], F.lit(""))) == kept["text_hash"])
+        & held["row.source"].eqNullSafe(kept["host"])
+    )
+    lines = F.split("row.text", "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    found = held.join(kept, same).withColumn("_lines", F.when(F.col("gone").isNotNull(), lines))
+    found = found.withColumn("_left", F.array_join(F.transform(places, lambda at: F.get("_lines", at)), "\n"))
+    row = F.col("row").withField("text", F.coalesce("_left", "row.text"))
+    if "n_chars" in docs.columns:
+        length = F.length("_left").cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(length))
+    return found.select(row.alias("row")).select("row.*")
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("text_hash")
 

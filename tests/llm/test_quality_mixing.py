@@ -72,6 +72,27 @@ def test_quality_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_kept_texts_lose_the_frequent_lines(spark, crawl):
+    rows = [(d, t, s, len(t or ""), 1) for d, t, s in crawl]
+    rows += [(400 + i, f"\n A  b\tC \n{t}\n\n", s, 7, 2) for i, (_, t, s) in enumerate(crawl[:60])]
+    # The same text and no id in two hosts; the line is frequent in the first only.
+    body = " ".join(f"v{i}" for i in range(60)) + "\nhome about | contact"
+    rows += [(None, body, "h1", len(body), 3), (None, body, "h9", len(body), 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, gone int")
+    judged = {(r["doc_id"]): r["kept"] for r in quality.judge(docs).collect()}
+    frequent = {"home about | contact", "a b c"}
+    tidy = lambda line: " ".join(WORDS.findall(line)).lower()
+    want = Counter()
+    for d, t, s, n, g in rows:
+        if judged[d]:
+            left = "\n".join(x for x in t.split("\n") if s != "h1" or tidy(x) not in frequent)
+            want[d, left, s, n if left == t else len(left), g] += 1
+    got = quality.kept_documents(docs)
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == want
+    assert sum(1 for (_, t, _, _, _) in want if "ontact" in t) == 1
+
+
 def test_every_block_runs_in_its_window():
     draw = random.Random(7)
     for _ in range(100):
