@@ -5,10 +5,9 @@ line are counted; lines above the host's limit are boilerplate. A document whose
 words are nearly all boilerplate is depleted and rejected, as is one that fails
 the base rules.
 
-Copies of one document count once: a document is told apart by the smallest hash
-among its other lines, so that a document that was copied many times does not
-turn its own prose into boilerplate. A line is boilerplate where documents share
-it that otherwise differ.
+Copies of one document count once, for its lines and for the host's limit: equal
+texts, by a hash of all normalised lines in order, are one document, so that a
+document that was copied many times does not turn its own prose into boilerplate.
 """
 
 from __future__ import annotations
@@ -90,17 +89,20 @@ def features(docs: DataFrame) -> DataFrame:
         (F.size("_raw") - F.size(F.array_distinct("_raw"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         lines.alias("lines"),
-    ).withColumn("least", F.slice(F.sort_array(F.array_distinct("lines.line")), 1, 2))
+    ).withColumn("page", F.xxhash64("lines.line"))
 
 
 def frequent_lines(rows: DataFrame, min_documents: int, host_share: float) -> DataFrame:
-    """(host, line) held by more distinct documents than the host's limit."""
-    told = F.when(F.col("line") == F.get("least", F.lit(0)), F.get("least", F.lit(1))).otherwise(F.get("least", F.lit(0)))
-    limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_documents)), host_share * F.count("*")).alias("most"))
+    """(host, line) held by more distinct texts than the host's limit."""
+    limits = (
+        rows.groupBy("host", "page")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("host")
+        .agg(F.greatest(F.lit(float(min_documents)), host_share * F.count("*")).alias("most"))
+    )
     counted = (
-        rows.select("host", "least", F.explode("lines.line").alias("line"))
-        .select("host", "line", told.alias("told"))
-        .groupBy("host", "line", "told")
+        rows.select("host", "page", F.explode("lines.line").alias("line"))
+        .groupBy("host", "line", "page")
         .agg(F.lit(1).alias("one"))
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))

@@ -93,6 +93,22 @@ def test_kept_texts_lose_the_frequent_lines(spark, crawl):
     assert sum(1 for (_, t, _, _, _) in want if "ontact" in t) == 1
 
 
+def test_pages_of_one_template_count_one_by_one(spark):
+    draw = random.Random(8)
+    line = lambda n: " ".join(f"w{draw.randint(0, 5000)}" for _ in range(n))
+    template = "\n".join(line(8) for _ in range(20))
+    rows = [(i, f"{template}\nown {i}", "pages") for i in range(30)]
+    shared = line(60)
+    rows += [(100 + i, f"{shared}\n{line(60)}", "copied") for i in range(25)]
+    copied = line(70)
+    rows += [(1000 + i, copied, "copied") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all(got[i]["n_boilerplate"] == 160 and not got[i]["kept"] for i in range(30))
+    assert all(got[100 + i]["n_boilerplate"] == 60 for i in range(25))
+    assert all(got[1000 + i]["kept"] and got[1000 + i]["n_boilerplate"] == 0 for i in range(3000))
+
+
 def test_every_block_runs_in_its_window():
     draw = random.Random(7)
     for _ in range(100):
