@@ -1,109 +1,123 @@
 """Mixing sources to target weights by Pfair scheduling, in built-in functions only.
 
-Block i of a source with n of every D slots may not run before slot floor(i D / n)
-and must run before slot ceil((i + 1) D / n). Serving the eligible block with the
-earliest deadline meets every window, so at any time a source has run less than one
-block more or less than its weight asks for. The timetable of D slots repeats, so it
-is worked out once per set of active sources and Spark only numbers the blocks. When
-a source is used up, the rest share its weight from there on: nothing is dropped.
+Block i of a source of weight w, as an exact share of the weights of all active
+sources, may not run before slot floor(i / w) and must run before slot
+ceil((i + 1) / w). Serving the eligible block with the earliest deadline meets every
+window, so at any time a source has run less than one block more or less than its
+weight asks for. The driver serves the blocks one after the other and Spark numbers
+the rows. When a source is used up, the rest share its weight from there on: nothing
+is dropped.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-
-from pyspark.sql import DataFrame, Window
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from anchorage.llm.common import table
 
 BLOCK = 8
-SLOTS = 1024
+#: Blocks of a source that one row of the plan holds.
+SLOTS = 64
 #: Without given weights a source weighs its rows to this power.
 POWER = 0.5
 MOST_SOURCES = 4096
 RANK_ROWS = 20_000
+#: Deadlines of vanishing weights are written as this.
+LATEST = 2**62
 
 
-def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Whole slots per source, at least one each, by largest remainder."""
-    total = sum(weights.values())
-    free = slots - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    given = {s: 1 + int(x) for s, x in exact.items()}
-    rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in rest[: slots - sum(given.values())]:
-        given[s] += 1
-    return given
+def shares(weights: dict[str, float], slots: int) -> dict[str, Fraction]:
+    """The exact part of ``slots`` that every source's weight asks for."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: slots * w / total for s, w in exact.items()}
 
 
-def timetable(share: dict[str, int], slots: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks over one period, earliest deadline first."""
+def served(share: dict, total) -> Iterator[tuple]:
+    """(source, release, deadline) slot by slot, without end, where ``share`` of every ``total`` slots are a source's."""
     waiting = [(0, s) for s in share]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str]] = []
-    found: dict[str, list[int]] = {s: [] for s in share}
-    for slot in range(slots):
+    ready: list[tuple] = []
+    taken = dict.fromkeys(share, 0)
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(found[s]) + 1) * slots // share[s]), s))
-        s = heapq.heappop(ready)[1]
+            release, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(taken[s] + 1) * total // share[s]), s, release))
+        deadline, s, release = heapq.heappop(ready)
+        yield s, release, deadline
+        taken[s] += 1
+        heapq.heappush(waiting, (taken[s] * total // share[s], s))
+        slot += 1
+
+
+def timetable(share: dict, slots: int) -> dict[str, list[int]]:
+    """Slots of each source's blocks among the first ``slots``, earliest deadline first."""
+    found: dict[str, list[int]] = {s: [] for s in share}
+    for slot, (s, _, _) in enumerate(islice(served(share, slots), slots)):
         found[s].append(slot)
-        if len(found[s]) < share[s]:
-            heapq.heappush(waiting, (len(found[s]) * slots // share[s], s))
     return found
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], slots: int) -> dict[str, list[tuple]]:
-    """Per source, (first block, share, first slot, slots of a period) of every phase.
+def phases(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
+    """(source, phase, release, deadline) of every block, slot by slot.
 
     A phase ends before the slot that asks a used-up source for a block.
     """
-    done = dict.fromkeys(blocks, 0)
-    out: dict[str, list[tuple]] = {s: [] for s in blocks}
-    base = 0
-    while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
-        active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
-        period = max(slots, len(active))
-        share = shares(active, period)
-        table_ = timetable(share, period)
-        rounds = min(left[s] // share[s] for s in active)
-        order = sorted((t, s) for s, at in table_.items() for t in at)
-        taken = {s: rounds * share[s] for s in active}
-        length = rounds * period
-        for _, s in order:
-            if taken[s] == left[s]:
+    left = {s: n for s, n in blocks.items() if n > 0}
+    exact = {s: Fraction(weights[s]) for s in left if weights.get(s, 0) > 0}
+    common = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * common) for s, w in exact.items()}
+    base = seen = 0
+    phase = dict.fromkeys(left, 0)
+    while left:
+        active = {s: whole[s] for s in left if s in whole} or dict.fromkeys(left, 1)
+        for s, release, deadline in served(active, sum(active.values())):
+            if s not in left:
                 break
-            taken[s] += 1
-            length += 1
+            yield s, phase[s], base + release, base + deadline
+            seen += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                if not left:
+                    return
         for s in active:
-            out[s].append((done[s], share[s], base, period, table_[s]))
-            done[s] += taken[s]
-        base += length
-    return out
-
-
-PLAN = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField(
-            "phases",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("first", T.LongType()),
-                        T.StructField("share", T.LongType()),
-                        T.StructField("base", T.LongType()),
-                        T.StructField("period", T.LongType()),
-                        T.StructField("slots", T.ArrayType(T.IntegerType())),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
+            phase[s] += 1
+        base = seen
+
+
+def plan(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], size: int) -> DataFrame:
+    """(name, part, phase, release, deadline, slot): ``size`` blocks of a source a row, as arrays."""
+    names = sorted(blocks)
+    number = {s: k for k, s in enumerate(names)}
+    source, phase, release, deadline = array("i"), array("i"), array("q"), array("q")
+    for s, at, first, last in phases(blocks, weights):
+        source.append(number[s])
+        phase.append(at)
+        release.append(first)
+        deadline.append(min(last, LATEST))
+    owner = np.frombuffer(source, np.int32) if source else np.zeros(0, np.int32)
+    slot = np.argsort(owner, kind="stable")
+    owner = owner[slot]
+    block = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    first = np.flatnonzero(block % size == 0)
+    edges = pa.array(np.append(first, len(owner)), pa.int32())
+    lists = [("phase", phase, np.int32), ("release", release, np.int64), ("deadline", deadline, np.int64)]
+    columns = {"name": pa.array([names[k] for k in owner[first]], pa.string()), "part": pa.array(block[first] // size, pa.int64())}
+    columns |= {k: pa.ListArray.from_arrays(edges, pa.array(np.array(v, t)[slot])) for k, v, t in lists}
+    columns["slot"] = pa.ListArray.from_arrays(edges, pa.array(slot, pa.int64()))
+    return spark.createDataFrame(pa.table(columns))
 
 
 def named(source):
@@ -120,7 +134,8 @@ def schedule(
     are blocked in hash order of doc_id; the last block may be short. Rows without
     a source are a source of their own. Sources that ``weights`` leaves out follow
     when the others are used up, in equal shares. Repeated rows are rows; an empty
-    table gives none. Reading by (slot, place) gives the mix.
+    table gives none. Reading by (slot, place) gives the mix. ``slots`` blocks of a
+    source are one row of the plan, which changes nothing in the result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row"), "doc_id", named(F.col("source")).alias("name"))
@@ -129,7 +144,7 @@ def schedule(
         raise ValueError(f"more than {MOST_SOURCES} sources; group them before mixing")
     given = {"" if s is None else f"={s}": w for s, w in weights.items()} if weights else {s: n**power for s, n in sizes.items()}
     counts = {s: math.ceil(n / block) for s, n in sorted(sizes.items())}
-    plan = spark.createDataFrame(sorted(phases(counts, given, slots).items()), PLAN)
+    blocks = plan(spark, counts, given, slots)
 
     buckets = max(8, sum(sizes.values()) // RANK_ROWS)
     rows = rows.withColumn("order", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.shiftright("order", 20), F.lit(buckets)))
@@ -144,21 +159,11 @@ def schedule(
     rank = F.col("nth") + F.col("start")
     at = ranked.select("row", "name", F.floor(rank / block).alias("block"), F.pmod(rank, F.lit(block)).cast("int").alias("place"))
 
-    # The plan has a row per source and a slot number per slot of each phase: bounded by the parameters.
-    at = at.join(F.broadcast(plan), "name")
-    at = at.withColumn("phase", F.size(F.filter("phases.first", lambda first: first <= F.col("block"))) - 1)
-    at = at.withColumn("p", F.get("phases", F.col("phase"))).withColumn("i", F.col("block") - F.col("p.first"))
-    i, share, period = F.col("i"), F.col("p.share"), F.col("p.period")
-    turn = F.floor(i / share) * period
-    return at.select(
-        "row",
-        "block",
-        "phase",
-        (F.col("p.base") + F.floor(i * period / share)).alias("release"),
-        (F.col("p.base") + F.ceil((i + 1) * period / share)).alias("deadline"),
-        (F.col("p.base") + turn + F.get("p.slots", F.pmod(i, share).cast("int"))).alias("slot"),
-        "place",
-    )
+    # The plan has some 30 bytes a block.
+    at = at.withColumn("part", F.floor(F.col("block") / slots)).join(F.broadcast(blocks), ["name", "part"])
+    i = F.pmod("block", F.lit(slots)).cast("int")
+    found = [F.get(c, i).alias(c) for c in ("phase", "release", "deadline", "slot")]
+    return at.select("row", "block", *found, "place")
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:

@@ -123,6 +123,23 @@ def test_every_block_runs_in_its_window():
                 assert i * slots // share[s] <= slot < -(-(i + 1) * slots // share[s])
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [{f"s{i}": 1.0 for i in range(20)}, {f"s{i}": 0.001 if i == 3 else 1.0 for i in range(20)}, {f"s{i}": 1.0 + i for i in range(1100)}],
+    ids=["equal", "small", "many"],
+)
+def test_mix_stays_within_a_block_of_the_target_weights(weights):
+    total = sum(weights.values())
+    done = Counter()
+    for t, (s, phase, release, deadline) in enumerate(mixing.phases(dict.fromkeys(weights, 10**6), weights)):
+        assert release <= t < deadline and phase == 0
+        done[s] += 1
+        if t % 50 == 0 or t > 19_900:
+            assert all(abs(done[s] - weights[s] * (t + 1) / total) < 1 + 1e-9 for s in weights)
+        if t == 20_000:
+            break
+
+
 def test_mix_follows_weights_and_drops_nothing(spark):
     sizes = {"a": 60, "b": 40, "c": 11, None: 27}
     rows = [(f"{s}{i}", 1000 * k + i, s, 5) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
