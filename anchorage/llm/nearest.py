@@ -6,7 +6,9 @@ projections differ by a normal amount, which gives the chance that it lies in an
 perturbed bucket. Each query visits buckets of a table by falling chance until
 their sum reaches ``SUCCESS``; the candidates of all tables are ranked by exact
 cosine. Queries travel to the bucket groups that they visit, and a group with many
-rows is split into salted parts, so no task holds a whole hot bucket.
+rows is split into salted parts, so no task holds a whole hot bucket. A query that
+found too few rows, or whose last one is farther than the fitted distance, is
+searched again in blocks against all rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ TOP = 5
 EVERY = 50
 TABLES = 5
 #: Chance, by estimate, of meeting a neighbour at the fitted distance in one table.
-SUCCESS = 0.45
+SUCCESS = 0.6
 #: Queries that the distance is fitted on, against every row.
 FIT_QUERIES = 64
 FIT_QUANTILE = 0.9
@@ -229,24 +231,35 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP, success: float =
             out.append(pd.DataFrame({"first": firsts[start + i], "vec_id": ids[k], "score": dot / size[0] / size[1]}))
         return pd.concat(out)
 
-    found = (
-        here.groupBy("t", "g", "part")
-        .cogroup(sent.groupBy("t", "g", "part"))
-        .applyInPandas(rank, "first long, vec_id long, score double")
-        .groupBy("first", "vec_id")
-        .agg(F.max("score").alias("score"))
-    )
-    by_score = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= top + 1).drop("nth")
+    def nearest(here: DataFrame, sent: DataFrame, *by: str) -> DataFrame:
+        pairs = here.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(rank, "first long, vec_id long, score double")
+        by_score = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
+        best = pairs.groupBy("first", "vec_id").agg(F.max("score").alias("score"))
+        return best.withColumn("nth", F.row_number().over(by_score)).filter(F.col("nth") <= top + 1).drop("nth")
+
     ids = asked.join(distinct, "embedding").select(F.col("vec_id").alias("query_id"), "first")
-    mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        ids.join(found, "first")
-        .filter("vec_id != query_id")
-        .withColumn("rank", F.row_number().over(mine))
-        .filter(F.col("rank") <= top)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+
+    def ranked(found: DataFrame) -> DataFrame:
+        mine = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        own = ids.join(found, "first").filter("vec_id != query_id")
+        return own.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= top)
+
+    found = staged(nearest(here, sent, "t", "g", "part"), "found")
+    ends = ranked(found).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last"))
+    far = F.col("last") < 1 - index.distance**2 / 2
+    short = ids.join(ends, "query_id", "left").filter((F.coalesce("n", F.lit(0)) < top) | far)
+    short = staged(distinct.join(short.select("first").distinct(), "first", "left_semi"), "short")
+    if n := short.count():
+        parts, sides = max(1, total // GROUP_ROWS), -(-n // GROUP_ROWS)
+        every = kept.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("key", F.lit(0).cast("long"))
+        every = every.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))))
+        again = short.withColumnRenamed("first", "vec_id").withColumn("side", F.pmod(F.xxhash64("vec_id"), F.lit(sides)))
+        again = again.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        again = again.withColumn("keys", F.array(F.lit(0).cast("long")))
+        columns = ("part", "side", "vec_id", "embedding")
+        more = nearest(every.select(*columns, "key"), again.select(*columns, "keys"), "part", "side")
+        found = found.join(short, "first", "left_anti").union(more.select(*found.columns))
+    return ranked(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

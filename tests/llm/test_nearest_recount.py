@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from anchorage.llm import nearest, recount
 from anchorage.llm.tokens import encoder, public_path
@@ -109,3 +110,19 @@ def test_query_equals_recount_of_edited_texts(spark, folder):
         at = crc32(str(r["doc_id"]).encode()) % (len(text) + 1)
         new = text[:at] + docs[r["doc_id"]]["source"] + text[at + recount.REMOVED :] + " " + docs[r["doc_id"]]["lang"]
         assert r["n_tokens"] * 4 == len(own.ids(text)) and r["edited_tokens"] * 4 == len(own.ids(new))
+
+
+def test_queries_far_from_all_rows_get_their_true_neighbours(spark):
+    random = np.random.default_rng(21)
+    centres = random.standard_normal((20, 32))
+    tight = np.repeat(centres, 100, axis=0) + 0.02 * random.standard_normal((2000, 32))
+    x = np.vstack([tight, random.standard_normal((6, 32))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    far = list(range(2000, 2006))
+    got = nearest.search(rows, rows.filter((F.col("vec_id") % 20 == 0) | (F.col("vec_id") >= 2000))).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in far:
+        near = unit @ unit[q]
+        near[q] = -2
+        want = np.argsort(-near)[:5].tolist()
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
