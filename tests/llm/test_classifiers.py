@@ -114,6 +114,18 @@ def test_memo_is_emptied(monkeypatch, languages):
     assert language.Labeller(model).label(texts) == want
 
 
+def test_every_template_is_found_by_itself(spark):
+    draw = random.Random(9)
+    notices = [(family, n) for family, found in licences.TEMPLATES.items() for n in found]
+    rows = [(i, "\n".join(prose(draw, EN, k) for k in (9, 2, 1, 9))) for i in range(150)]
+    taught = spark.createDataFrame(rows, "doc_id long, text string")
+    model, threshold = licences.train(taught)
+    rows += [(1000 + k, n) for k, (_, n) in enumerate(notices)]
+    told = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model, threshold).collect()}
+    assert [(n, told[1000 + k]) for k, (_, n) in enumerate(notices)] == [(n, [family]) for family, n in notices]
+    assert all(told[i] == [] for i in range(150))
+
+
 def test_licence_families(spark):
     draw = random.Random(5)
     notices = {
