@@ -1,8 +1,9 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from anchorage.llm import near_dedup, quality
+from anchorage.llm import line_dedup, near_dedup, quality
 from anchorage.llm.language import op10_language_id
 from anchorage.llm.licences import op3_licence_scan
+from anchorage.llm.line_dedup import op13_line_dedup
 from anchorage.llm.mixing import op9_mixing
 from anchorage.llm.near_dedup import op1_near_dedup
 from anchorage.llm.nearest import op5_nearest_neighbours
@@ -25,6 +26,11 @@ QUERIES = {
         op8_suffix_dedup,
         op9_mixing,
         op10_language_id,
+        op13_line_dedup,
     )
 }
-ORACLES = {"op1_near_dedup": near_dedup.SQL, "op7_quality_rules": quality.SQL}
+ORACLES = {
+    "op1_near_dedup": near_dedup.SQL,
+    "op7_quality_rules": quality.SQL,
+    "op13_line_dedup": line_dedup.SQL,
+}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import anchorage
 
@@ -36,6 +37,22 @@ def discard(*frames: DataFrame) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def joined_to_unique(big: DataFrame, small: DataFrame, on: list[str], rows: str = "rows", heavy: int = 1_024) -> DataFrame:
+    """Inner join of ``big`` with ``small``, whose keys are unique and whose column ``rows``
+    counts the rows of ``big`` under each key; that column is dropped.
+
+    Keys that hold at least one in ``heavy`` of the counted rows are at most ``heavy``, so
+    they are broadcast; every other key brings less than that share to a task. Both tables
+    are read twice, so pass written ones. Null keys match nothing.
+    """
+    total = small.agg(F.sum(rows)).scalar()
+    marked = small.withColumn("_total", total)
+    hot = F.broadcast(marked.filter(F.col(rows) * heavy >= F.col("_total")).drop("_total", rows))
+    rest = marked.filter(F.col(rows) * heavy < F.col("_total")).drop("_total", rows)
+    others = big.join(hot.select(*on), on, "left_anti").join(rest, on)
+    return big.join(hot, on).unionByName(others)
+
+
 _SHIPPED: set[str] = set()
 
 
