@@ -1,6 +1,8 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from anchorage.llm import line_dedup, near_dedup, quality
+from anchorage.llm import centroids, collocations, line_dedup, near_dedup, quality
+from anchorage.llm.centroids import op12_centroid_clustering
+from anchorage.llm.collocations import op11_collocations
 from anchorage.llm.language import op10_language_id
 from anchorage.llm.licences import op3_licence_scan
 from anchorage.llm.line_dedup import op13_line_dedup
@@ -26,11 +28,15 @@ QUERIES = {
         op8_suffix_dedup,
         op9_mixing,
         op10_language_id,
+        op11_collocations,
+        op12_centroid_clustering,
         op13_line_dedup,
     )
 }
 ORACLES = {
     "op1_near_dedup": near_dedup.SQL,
     "op7_quality_rules": quality.SQL,
+    "op11_collocations": collocations.SQL,
+    "op12_centroid_clustering": centroids.SQL,
     "op13_line_dedup": line_dedup.SQL,
 }
