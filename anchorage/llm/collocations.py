@@ -1,11 +1,11 @@
 """Phrase collocations: contiguous word sequences that occur more often than their parts explain.
 
 Tasks count phrases in burstable tries (``trie``) and spill whole subtrees as runs sorted
-by phrase; Spark merges the runs by prefix partition. A first pass counts words and pairs.
-A phrase can only be frequent where all its pairs are, so the second pass follows the text
-along frequent pairs and counts phrases of three words and more there. The frequent pairs
-reach the tasks as one bit per hash, in at most ``MOST_BITS`` bits however many they are:
-a full filter lets more phrases be counted and loses none.
+by phrase; Spark merges the runs by prefix partition. A phrase can only be frequent where
+all its pairs are. Pairs are therefore counted by their hashes first, and the tries follow
+the text along pairs whose hash is frequent. These hashes reach the tasks as one bit each,
+in at most ``MOST_BITS`` bits however many they are: a full filter lets more phrases be
+counted and loses none.
 
 A prefix partition holds the phrases with the same first two words. At most ``HEAVY`` pairs
 that hold a large part of all words are split by the whole phrase instead.
@@ -13,11 +13,12 @@ that hold a large part of all words are split by the whole phrase instead.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ MOST_BITS = 1 << 27
 #: Text that is numbered at once, and words that a task numbers before it starts anew.
 CHUNK = 4 << 20
 MOST_WORDS = 400_000
+#: Pairs whose hashes a task holds before it counts them.
+HELD_PAIRS = 3_000_000
 RUN_ROWS = 20_000
 UNKNOWN = "und"
 
@@ -47,11 +50,11 @@ _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 RUN = "lang string, phrase string, words int, n long, prefix long"
 
 
-def pair_hash(lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hash of a language and two words from their 64-bit hashes."""
-    mixed = np.zeros(len(first), np.uint64)
-    for part, factor in zip((lang, first, second), _FACTORS):
-        mixed = (mixed ^ part) * factor
+def sequence_hash(parts: list[np.ndarray]) -> np.ndarray:
+    """Hash of a language and the words that follow it from their 64-bit hashes."""
+    mixed = np.zeros(len(parts[0]), np.uint64)
+    for k, part in enumerate(parts):
+        mixed = (mixed ^ part) * _FACTORS[k % len(_FACTORS)]
         mixed ^= mixed >> np.uint64(31)
     return mixed
 
@@ -73,7 +76,7 @@ class Numbers(dict):
         return number
 
 
-class PairFilter:
+class Filter:
     """One bit per hash of a frequent pair."""
 
     def __init__(self, bits: np.ndarray):
@@ -104,13 +107,14 @@ def reach(stops: np.ndarray) -> np.ndarray:
 
 def distinct(ids: np.ndarray, span: np.ndarray, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words, first places, counts) of the distinct sequences of ``low`` to ``high`` words that fit into ``span``."""
+    if low == 1:
+        at = np.flatnonzero(span)
+        _, first, counts = np.unique(ids[at], return_index=True, return_counts=True)
+        yield 1, at[first], counts
     code = ids
-    for words in range(1, high + 1):
-        if words > 1:
-            last = np.append(ids[words - 1 :], np.zeros(words - 1, np.int64))
-            code = (code << 32) | last
+    for words in range(2, high + 1):
         at = np.flatnonzero(span >= words)
-        _, first, inverse, counts = np.unique(code[at], return_index=True, return_inverse=True, return_counts=True)
+        _, first, inverse, counts = np.unique((code[at] << 32) | ids[at + words - 1], return_index=True, return_inverse=True, return_counts=True)
         if words >= low:
             yield words, at[first], counts
         # Sequences are numbered anew, so that the next word fits into the same 64 bits.
@@ -118,98 +122,142 @@ def distinct(ids: np.ndarray, span: np.ndarray, low: int, high: int) -> Iterator
         code[at] = inverse
 
 
-def runs(docs: DataFrame, low: int, high: int, pairs: PairFilter | None, heavy: set[tuple[bytes, bytes]]) -> DataFrame:
-    """``RUN`` rows of partial counts from ``docs`` (lang, text); with words 0 the number of all words."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((pairs.bits if pairs else None, heavy))
+class Reader:
+    """Numbers the words of texts by language, in chunks of bounded size, and knows their hashes."""
+
+    def __init__(self):
+        self.numbers = Numbers()
+        self._hashes = np.zeros(0, np.uint64)
+
+    def hashes(self) -> np.ndarray:
+        new = [word_hash(w) for w in self.numbers.words[len(self._hashes) :]]
+        self._hashes = np.concatenate([self._hashes, np.array(new, dtype=np.uint64)])
+        return self._hashes
+
+    def chunks(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the language, numbers of the words with a 1 at the end of every piece)."""
+        held: dict[str, tuple[list[bytes], int]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            tidy = (text.as_py() or "").encode("utf-8", "replace").translate(_TIDY)
+            texts, size = held.get(lang, ([], 0))
+            texts.append(tidy)
+            held[lang] = texts, size + len(tidy)
+            if held[lang][1] >= CHUNK:
+                yield self._numbered(lang, held.pop(lang)[0])
+        for lang, (texts, _) in held.items():
+            yield self._numbered(lang, texts)
+
+    def _numbered(self, lang: str, texts: list[bytes]) -> tuple[int, np.ndarray]:
+        return self.numbers[b"\n" + lang.encode("utf-8", "replace")], numbered(texts, self.numbers)
+
+    def pairs(self, lang: int, ids: np.ndarray) -> np.ndarray:
+        """Hash of the pair that starts at each place but the last; it counts only where both are words."""
+        known = self.hashes()
+        words = known[ids]
+        return sequence_hash([np.full(len(ids) - 1, known[lang]), words[:-1], words[1:]])
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+
+
+def pair_hashes(docs: DataFrame) -> DataFrame:
+    """(hash, n): partial counts of the pairs in ``docs`` (lang, text), by hash only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        held: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+        for batch in batches:
+            for lang, ids in reader.chunks(batch):
+                word = ids != 1
+                held.append(reader.pairs(lang, ids)[word[:-1] & word[1:]])
+                if sum(map(len, held)) >= HELD_PAIRS:
+                    yield told()
+            if len(reader.numbers.words) > MOST_WORDS:
+                reader = Reader()
+        if held:
+            yield told()
+
+    return mapped(tagged(docs), run, "hash long, n long")
+
+
+def runs(docs: DataFrame, low: int, high: int, known: Filter | None = None, heavy: np.ndarray | None = None) -> DataFrame:
+    """``RUN`` rows of partial counts of the phrases of ``low`` to ``high`` words in ``docs`` (lang, text).
+
+    ``known`` holds the pairs along which phrases are followed, ``heavy`` the hashes of those
+    that are split by the whole phrase. Words also give rows with words 0, the number of all words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((known.bits if known else None, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, split = shared.value
-        wanted = PairFilter(bits) if bits is not None else None
-        numbers, trie = Numbers(), HatTrie()
-        hashes = np.zeros(0, np.uint64)
-
-        def count(lang: str, texts: list[bytes]) -> None:
-            nonlocal hashes
-            own = numbers[b"\n" + lang.encode("utf-8", "replace")]
-            ids = numbered(texts, numbers)
+        wanted = Filter(bits) if bits is not None else None
+        reader, trie = Reader(), HatTrie()
+
+        def count(lang: int, ids: np.ndarray) -> None:
             stops = ids == 1
             span = reach(stops)
-            keep = {}
+            if low == 1:
+                trie.add([int(lang).to_bytes(STEP, "little") + b"\0" * STEP], [int((~stops).sum())])
             if wanted:
-                new = [word_hash(w) for w in numbers.words[len(hashes) :]]
-                hashes = np.concatenate([hashes, np.array(new, dtype=np.uint64)])
-                known = hashes[ids]
-                pair = np.zeros(len(ids), bool)
-                pair[:-1] = wanted.holds(pair_hash(np.full(len(ids) - 1, hashes[own]), known[:-1], known[1:]))
-                pair &= span > 1
-                # As many words as frequent pairs in a row, and one.
+                pair = span > 1
+                pair[:-1] &= wanted.holds(reader.pairs(lang, ids))
+                # As many words as such pairs in a row, and one.
                 span = np.where(pair, reach(~pair) + 1, 0)
-            elif low == 1:
-                keep[int(own).to_bytes(STEP, "little") + b"\0" * STEP] = int((~stops).sum())
-            trie.add(keep.keys(), keep.values())
             for words, first, counts in distinct(ids, span, low, high):
                 rows = np.empty((len(first), words + 1), "<u4")
-                rows[:, 0] = own
+                rows[:, 0] = lang
                 for k in range(words):
                     rows[:, k + 1] = ids[first + k]
                 data, size = rows.tobytes(), STEP * (words + 1)
                 trie.add((data[i : i + size] for i in range(0, len(data), size)), counts.tolist())
 
-        def told(rows: list[tuple[bytes, bytes, int, int, int]]) -> pa.RecordBatch:
-            columns = [
-                pa.array([r[0].decode() for r in rows], pa.string()),
-                pa.array([r[1].decode() for r in rows], pa.string()),
-                pa.array([r[2] for r in rows], pa.int32()),
-                pa.array([r[3] for r in rows], pa.int64()),
-                pa.array(np.array([r[4] for r in rows], dtype=np.uint64).view(np.int64)),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n", "prefix"])
+        def told(rows: list[tuple[bytes, int]], names: pa.Array) -> Iterator[pa.RecordBatch]:
+            """Runs of whole subtrees, sorted by phrase, one for each length."""
+            known_, words_ = reader.hashes(), reader.numbers.words
+            for size in {len(key) for key, _ in rows}:
+                own = [r for r in rows if len(r[0]) == size]
+                ids = np.frombuffer(b"".join([key for key, _ in own]), "<u4").reshape(len(own), -1).T.astype(np.int64)
+                langs, which = np.unique(ids[0], return_inverse=True)
+                lang = pa.array([words_[i][1:].decode() for i in langs], pa.string()).take(pa.array(which))
+                parts = [names.take(pa.array(i)) for i in ids[1:]]
+                phrase = pc.binary_join_element_wise(*parts, b" ").cast(pa.string())
+                start = sequence_hash([known_[i] for i in ids[:3]])
+                if len(ids) > 3 and split is not None and len(split):
+                    start = np.where(np.isin(start, split), sequence_hash([known_[i] for i in ids]), start)
+                words = np.where(ids[1] == 0, 0, len(ids) - 1).astype(np.int32)
+                columns = [lang, phrase, pa.array(words), pa.array([n for _, n in own], pa.int64()), pa.array(start.view(np.int64))]
+                batch = pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n", "prefix"])
+                yield batch.sort_by([("lang", "ascending"), ("phrase", "ascending")])
 
         def sent(left: int) -> Iterator[pa.RecordBatch]:
-            rows = []
-            words = numbers.words
+            names = pa.array(reader.numbers.words, pa.binary())
+            rows: list[tuple[bytes, int]] = []
             for subtree in trie.spill(left):
-                run_ = []
-                for key, n in subtree:
-                    own, *ids = struct.unpack(f"<{len(key) // STEP}I", key)
-                    ids = [] if ids[0] == 0 else ids
-                    lang = words[own][1:]
-                    phrase = b" ".join([words[i] for i in ids])
-                    whole = len(ids) < 3
-                    if not whole:
-                        start = words[ids[0]] + b" " + words[ids[1]]
-                        whole = bool(split) and (lang, start) in split
-                    run_.append((lang, phrase, len(ids), n, word_hash(lang + b"\n" + (phrase if whole else start))))
-                run_.sort(key=lambda r: r[1])
-                rows += run_
+                rows += subtree
                 if len(rows) >= RUN_ROWS:
-                    yield told(rows)
+                    yield from told(rows, names)
                     rows = []
             if rows:
-                yield told(rows)
+                yield from told(rows, names)
 
         for batch in batches:
-            chunks: dict[str, tuple[list[bytes], int]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tidy = (text.as_py() or "").encode("utf-8", "replace").translate(_TIDY)
-                texts, size = chunks.get(lang, ([], 0))
-                texts.append(tidy)
-                chunks[lang] = texts, size + len(tidy)
-                if chunks[lang][1] >= CHUNK:
-                    count(lang, chunks.pop(lang)[0])
-                    if trie.entries > LIMIT:
-                        yield from sent(LIMIT // 2)
-            for lang, (texts, _) in chunks.items():
-                count(lang, texts)
+            for lang, ids in reader.chunks(batch):
+                count(lang, ids)
                 if trie.entries > LIMIT:
                     yield from sent(LIMIT // 2)
-            if len(numbers.words) > MOST_WORDS:
+            if len(reader.numbers.words) > MOST_WORDS:
                 yield from sent(0)
-                numbers, hashes = Numbers(), np.zeros(0, np.uint64)
+                reader = Reader()
         yield from sent(0)
 
-    return mapped(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text"), run, RUN)
+    return mapped(tagged(docs), run, RUN)
 
 
 def merged(found: DataFrame, least: int) -> DataFrame:
@@ -218,46 +266,35 @@ def merged(found: DataFrame, least: int) -> DataFrame:
     return whole.filter((F.col("words") == 0) | (F.col("n") >= least)).drop("prefix")
 
 
-def pair_filter(pairs: DataFrame) -> PairFilter:
-    """The filter of all ``pairs`` (lang, phrase)."""
+def frequent_pairs(hashes: DataFrame) -> Filter:
+    """The filter of all pair ``hashes`` (hash)."""
     size = 1 << 16
-    wanted = pairs.count() * BITS_EACH
+    wanted = hashes.count() * BITS_EACH
     while size < min(wanted, MOST_BITS):
         size *= 2
-    empty = PairFilter(np.zeros(size // 64, np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [[], [], []]
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, second = phrase.encode().split(b" ")
-                for into, part in zip(hashes, (b"\n" + lang.encode(), first, second)):
-                    into.append(word_hash(part))
-            slots = empty.slots(pair_hash(*[np.array(h, dtype=np.uint64) for h in hashes])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
-
-    slots = mapped(pairs.select("lang", "phrase"), run, "slot long")
-    place = F.shiftright("slot", 6).alias("place")
-    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    slot = F.col("hash").bitwiseAND(F.lit(size - 1))
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
     # At most MOST_BITS / 64 rows.
-    rows = slots.groupBy(place).agg(F.bit_or(bit).alias("bits")).toPandas()
+    rows = hashes.groupBy(F.shiftright(slot, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
     bits = np.zeros(size // 64, np.int64)
     bits[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return PairFilter(bits.view(np.uint64))
+    return Filter(bits.view(np.uint64))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> list[DataFrame]:
-    """Written tables (lang, phrase, words, n): words and pairs, and phrases of three to ``longest`` words, that
-    occur ``least`` times in their language. Rows with words 0 tell how many words each language has."""
-    short = staged(merged(runs(docs, 1, 2, None, set()), least), "words-and-pairs")
-    pairs = short.filter("words = 2")
-    if longest < 3 or pairs.isEmpty():
-        return [short]
-    all_words = short.filter("words = 0").agg(F.sum("n")).scalar()
-    # At most HEAVY pairs, as pairs occur less often than words.
-    large = pairs.withColumn("_all", all_words).filter(F.col("n") * HEAVY > F.col("_all"))
-    heavy = {(r["lang"].encode(), r["phrase"].encode()) for r in large.select("lang", "phrase").collect()}
-    return [short, staged(merged(runs(docs, 3, longest, pair_filter(pairs), heavy), least), "phrases")]
+    """Written tables (lang, phrase, words, n): words, and phrases of two to ``longest`` words, that occur
+    ``least`` times in their language. Rows with words 0 tell how many words each language has."""
+    found = [staged(merged(runs(docs, 1, 1), least), "words")]
+    if longest > 1 and not found[0].filter("words = 1").isEmpty():
+        pairs = pair_hashes(docs).groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        pairs = staged(pairs, "pair-hashes")
+        all_words = found[0].filter("words = 0").agg(F.sum("n")).first()[0]
+        # Fewer than HEAVY hashes, as there are fewer pairs than words.
+        heavy = [r["hash"] for r in pairs.filter(F.col("n") > all_words / HEAVY).collect()]
+        heavy = np.array(heavy, dtype=np.int64).view(np.uint64)
+        found.append(staged(merged(runs(docs, 2, longest, frequent_pairs(pairs), heavy), least), "phrases"))
+        discard(pairs)
+    return found
 
 
 def looked_up(rows: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
@@ -282,7 +319,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     are ignored; an empty table gives no rows.
     """
     tables = phrase_counts(docs, least, longest)
-    every = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    every = reduce(DataFrame.unionByName, tables)
     counts = every.filter("words > 0")
     found = counts.filter("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))
     # What lies in a longer candidate lies in one that is a word longer and occurs as often at least.

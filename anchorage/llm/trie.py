@@ -15,7 +15,7 @@ STEP = 4
 #: A subtree holds one language and first word.
 HEAD = 2 * STEP
 BURST = 8_192
-LIMIT = 800_000
+LIMIT = 500_000
 
 
 class Node(dict):

@@ -75,6 +75,7 @@ def test_runs_merge_to_the_same_counts(spark, rows, monkeypatch):
     monkeypatch.setattr(collocations, "LIMIT", 50)
     monkeypatch.setattr(collocations, "MOST_WORDS", 30)
     monkeypatch.setattr(collocations, "CHUNK", 2_000)
+    monkeypatch.setattr(collocations, "HELD_PAIRS", 500)
     monkeypatch.setattr(collocations, "MOST_BITS", 64)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     got = collocations.ranked(collocations.collocations(docs, 30))
