@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from anchorage.functions.columns import hash_percent, is_finite
 from anchorage.operators.checks import KEY, LABEL, SCORE
 from anchorage.operators.portfolio import active_only, apply_filters
-from anchorage.operators.prefix import as_columns, count_below, ranked, running_before, top_n
+from anchorage.operators.prefix import as_columns, at_places, count_below, piece_bits, ranked, running_before, top_n
 from anchorage.session import written
 
 ID = "AFILIADO_ID_EPS"
@@ -205,22 +205,22 @@ def _expected(found: DataFrame, ltv: Column, call: Column, incentive: Column, su
 def impact(base: DataFrame, campaigns: DataFrame) -> DataFrame:
     """KPIs of every campaign (ltv, call_cost, incentive, success, budget) on the same base.
 
-    A missing budget becomes min(100, rows). Each distinct budget n looks up the
-    affiliate ranked n, and that risk value the running sum above it, so any
-    number of campaigns costs one ranking and two equality joins.
+    A missing budget becomes min(100, rows). Affiliates are counted per distinct risk;
+    each distinct budget n finds the risk that covers place n among the running counts,
+    and the sum above it, so no affiliate is ranked.
     """
     total = F.col("_total")
-    # Two columns, read by every branch below: written once instead of derived seven times.
-    base = written(base.select(ID, RISK))
+    # One column, read by every branch below: written once instead of derived again.
+    base = written(base.select(RISK))
     sized = campaigns.withColumn("_total", base.agg(F.count(F.lit(1))).scalar())
     wanted = F.coalesce(F.col("budget").cast("bigint"), F.least(F.lit(DEFAULT_CONTACTS), total))
     sized = as_columns(sized.withColumn("_wanted", F.least(wanted, total)), campaigns.columns, n="_wanted")
-    order = ranked(base, RISK, ID).select(F.col("rank").alias("n"), RISK)
-    placed = order.join(sized.select("n").distinct(), "n")
     counts = base.groupBy(RISK).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.col("_n") * F.col(RISK))
-    run = running_before(counts, RISK, ["_n", "_s"], descending=True)
+    run = running_before(counts, RISK, ["_n", "_s"], descending=True, pieces=True)
+    places = sized.where("n > 0").select("n", (F.col("n") - 1).alias("_place")).distinct()
+    placed = at_places(run, "_n_before", places, "_place", piece_bits(counts))
     expected = F.col("_s_before") + (F.col("n") - F.col("_n_before")) * F.col(RISK)
-    sums = placed.join(run, RISK).select("n", expected.alias("fugas_esp"))
+    sums = placed.select("n", expected.alias("fugas_esp"))
     found = sized.join(sums, "n", "left").withColumn("fugas_esp", F.coalesce("fugas_esp", F.lit(0.0)))
     kpis = _expected(found, F.col("ltv"), F.col("call_cost"), F.col("incentive"), F.col("success"))
     return kpis.drop("ltv", "call_cost", "incentive", "success", "budget")

@@ -56,32 +56,37 @@ def counts_in_window(
     """Events of each kind and plan inside [FECHA_INICIO, end], both days included.
 
     Events are never paired with spells. Per affiliate and calendar day they are
-    counted, cumulated over days (at most one row per day, so bounded by the
-    calendar), and each spell reads the running totals at its two boundary days.
+    counted first. A spell's two boundary days carry its row number through the same
+    sweep as these counts, one ordered pass per affiliate in which the counts are
+    cumulated (the calendar bounds the days); the difference of the two running totals
+    is the spell's count. Spells and events are read once each, and the rows of a spell
+    are already together when they are put back into one.
     """
     names = [f"{kind}_{plan}" for kind in kinds for plan in plans]
+    kept = [n for n in spells.columns if n not in names]
     tag = F.concat_ws("_", "tipo", "plan")
+    none = F.lit(0).cast("bigint")
+    daily = (
+        events.where(F.col("fecha").isNotNull() & F.col(ID).isNotNull())
+        .groupBy(ID, F.col("fecha").alias("_day"))
+        .agg(*[F.count(F.when(tag == n, 1)).alias(n) for n in names])
+        .withColumns({"_side": none.cast("int"), "_row": F.lit(None).cast("bigint")})
+    )
     bounded = spells.withColumns({"_end": end, "_start": F.date_sub("FECHA_INICIO", 1)})
-    bounded = as_columns(bounded, spells.columns, _hi="_end", _lo="_start")
-    daily = events.select(ID, F.col("fecha").alias("_day"), *[(tag == n).cast("bigint").alias(n) for n in names])
-    edges = bounded.select(ID, F.explode(F.array("_lo", "_hi")).alias("_day"), *[F.lit(0).cast("bigint").alias(n) for n in names])
-    per_day = daily.unionByName(edges).where(F.col("_day").isNotNull()).groupBy(ID, "_day").agg(
-        *[F.sum(n).alias(n) for n in names]
+    bounded = as_columns(bounded, spells.columns, _hi="_end", _lo="_start").select(*kept, "_hi", "_lo")
+    bounded = bounded.withColumn("_row", F.monotonically_increasing_id())
+    open_ = F.struct(F.col("_lo").alias("_day"), F.lit(-1).alias("_side"), F.lit(None).cast(bounded.select(*kept).schema).alias("_spell"))
+    close = F.struct(F.col("_hi").alias("_day"), F.lit(1).alias("_side"), F.struct(*kept).alias("_spell"))
+    edges = bounded.select(ID, "_row", (F.col("_hi") > F.col("_lo")).alias("_ordered"), F.inline(F.array(open_, close)))
+    both = daily.unionByName(edges.withColumns({n: none for n in names}), allowMissingColumns=True)
+    # A day's counts come before the boundaries that fall on it.
+    sweep = Window.partitionBy(ID).orderBy("_day", F.col("_side") != 0).rowsBetween(Window.unboundedPreceding, 0)
+    marks = both.withColumns({n: F.col("_side") * F.sum(n).over(sweep) for n in names}).where(F.col("_row").isNotNull())
+    spans = marks.groupBy(ID, "_row").agg(
+        F.first("_spell", ignorenulls=True).alias("_spell"), F.max("_ordered").alias("_ordered"), *[F.sum(n).alias(n) for n in names]
     )
-    so_far = Window.partitionBy(ID).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    totals = per_day.select(ID, "_day", *[F.sum(n).over(so_far).alias(n) for n in names])
-
-    def at(day: str, mark: str) -> DataFrame:
-        return totals.select(ID, F.col("_day").alias(day), *[F.col(n).alias(f"{mark}{n}") for n in names])
-
-    found = bounded.join(at("_hi", "_h_"), [ID, "_hi"], "left").join(at("_lo", "_l_"), [ID, "_lo"], "left")
-    ordered = F.col("_hi") > F.col("_lo")
-    inside = {
-        n: F.when(ordered, F.coalesce(F.col(f"_h_{n}") - F.col(f"_l_{n}"), F.lit(0))).otherwise(0).cast("bigint")
-        for n in names
-    }
-    kept = [n for n in spells.columns if n not in names]
-    return found.select(*kept, *[v.alias(n) for n, v in inside.items()])
+    inside = F.col("_ordered") & F.col(f"_spell.{ID}").isNotNull()
+    return spans.select("_spell.*", *[F.when(inside, F.col(n)).otherwise(none).alias(n) for n in names])
 
 
 def recency(spells: DataFrame, events: DataFrame, complaint: str, asof: Column) -> DataFrame:

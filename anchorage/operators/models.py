@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -19,10 +20,14 @@ from pyspark.sql import functions as F
 from anchorage.functions import columns as c
 from anchorage.functions.columns import hash_percent
 from anchorage.operators.clean import one_hot
+from anchorage.operators.prefix import count_below, piece_bits, split_points
 from anchorage.session import written
 
 SEED = 42
+#: Steps and tolerance of the logistic fits, close enough for their score equations to hold.
+STEPS, TOLERANCE = 300, 1e-12
 UNKNOWN = "unknown"
+INTERCEPT = "intercepto"
 
 # Ordinal levels of the profile fields, lowest first.
 ORDINALS = {
@@ -34,6 +39,9 @@ ORDINALS = {
 FAMILIES = ("SEGMENTO_EDAD", "TIPO_AFILIADO", "Regional_Agrupadora", "Compania", "TIPO_IPS")
 NOT_GIVEN = -1.0
 
+#: Standardised Cox coefficients beyond this have run away; most halvings of one step.
+FARTHEST, HALVINGS = 20.0, 12
+
 
 def filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})
@@ -61,25 +69,63 @@ def training_rows(df: DataFrame, features: Sequence[str], *keep: str) -> DataFra
 
 def fit_logit(df: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    logit = LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="peso", maxIter=50)
+    logit = LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="peso", maxIter=STEPS, tol=TOLERANCE)
     rows = training_rows(df, features, label)
     return Pipeline(stages=[assembled(features), scaler, logit]).fit(with_class_weight(rows, label))
 
 
-def fit_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, rounds: int = 20) -> PipelineModel:
-    """Boosted trees; a hashed fifth of the rows stops the boosting early."""
+def balance(scored: DataFrame, names: Sequence[str], label: str, weight: str, p: str) -> DataFrame:
+    """Score equations of a fitted probability: (variable, observado, ajustado) per input and for the intercept.
+
+    Both are weighted sums over the rows, of outcome times input and of probability
+    times input; where a logistic fit without penalty is at its optimum they are equal.
+    """
+    w, y, q = F.col(weight), F.col(label).cast("double"), F.col(p)
+    cells = [(INTERCEPT, F.lit(1.0)), *[(n, F.col(f"`{n}`").cast("double")) for n in names]]
+    sums = [F.sum(w * v * x).alias(f"{kind}{i}") for i, (_, x) in enumerate(cells) for kind, v in (("y", y), ("p", q))]
+    rows = [
+        F.struct(F.lit(n).alias("variable"), F.col(f"y{i}").alias("observado"), F.col(f"p{i}").alias("ajustado"))
+        for i, (n, _) in enumerate(cells)
+    ]
+    return scored.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def spread_inputs(df: DataFrame, names: Sequence[str], weight: str) -> tuple[DataFrame, list[str]]:
+    """Inputs divided by their spread, and weights by the number of rows, so that ``balance`` sums are of one size."""
+    rows = filled(df, names)
+    scales = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.stddev_samp(f"`{n}`").alias(n) for n in names]).alias("s")).scalar()
+    rows = rows.withColumn("_s", scales)
+    rows = rows.withColumns({n: F.try_divide(F.col(f"`{n}`"), F.col(f"_s.`{n}`")) for n in names})
+    return rows.withColumn(weight, F.col(weight) / F.col("_s.n")).drop("_s"), list(names)
+
+
+def boosted_trees(label: str, rounds: int) -> GBTClassifier:
+    return GBTClassifier(labelCol=label, weightCol="peso", maxIter=rounds, maxDepth=3, stepSize=0.2, seed=SEED)
+
+
+def boosting_rows(df: DataFrame, features: Sequence[str], label: str, key: str) -> DataFrame:
+    """Weighted rows with ``valida``, a hashed fifth of them, and their vectors, written once."""
     held_out = df.withColumn("valida", hash_percent(F.col(key)) < 20)
     rows = with_class_weight(training_rows(held_out, features, label, "valida"), label)
-    trees = GBTClassifier(
-        labelCol=label,
-        weightCol="peso",
-        validationIndicatorCol="valida",
-        maxIter=rounds,
-        maxDepth=3,
-        stepSize=0.2,
-        seed=SEED,
-    )
-    return Pipeline(stages=[assembled(features), trees]).fit(rows)
+    return assembled(features).transform(rows)
+
+
+def fit_gbt(df: DataFrame, features: Sequence[str], label: str, key: str, rounds: int = 20) -> PipelineModel:
+    """Boosted trees; a hashed fifth of the rows stops the boosting early."""
+    rows = boosting_rows(df, features, label, key)
+    model = boosted_trees(label, rounds).setValidationIndicatorCol("valida").fit(rows)
+    return PipelineModel([assembled(features), model])
+
+
+def stopping_curve(df: DataFrame, features: Sequence[str], label: str, key: str, rounds: int = 20) -> DataFrame:
+    """(arboles, perdida, elegido): loss on the held-out fifth by number of trees, for boosting that
+    never stops early, and whether that number is the best one, the smaller on a tie."""
+    rows = boosting_rows(df, features, label, key)
+    model = boosted_trees(label, rounds).fit(rows.where(~F.col("valida")))
+    losses = [float(x) for x in model.evaluateEachIteration(rows.where("valida"))]
+    best = losses.index(min(losses))
+    found = [(i + 1, x, i == best) for i, x in enumerate(losses)]
+    return df.sparkSession.createDataFrame(found, "arboles int, perdida double, elegido boolean")
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -110,7 +156,9 @@ def calibrate(df: DataFrame, score_col: str, label: str, method: str = "platt")
     rows = df.withColumn("_y", F.col(label).cast("double"))
     if method == "platt":
         vector = assembled([score_col], "_x")
-        logit = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r")
+        logit = LogisticRegression(
+            featuresCol="_x", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", maxIter=STEPS, tol=TOLERANCE
+        )
         out = Pipeline(stages=[vector, logit]).fit(rows.select(score_col, "_y")).transform(rows)
         return out.select(*df.columns, F.get(vector_to_array("_p"), F.lit(1)).alias("calibrada"))
     step = F.col(score_col).cast("double")
@@ -128,20 +176,69 @@ def scaled_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return Pipeline(stages=[assembled(features, "raw"), scaler]).fit(rows).transform(rows)
 
 
+def kmeans(k: int) -> KMeans:
+    """Seeded K-Means that ends when no centre moves any more."""
+    return KMeans(k=k, seed=SEED, predictionCol="segmento", maxIter=STEPS, tol=0.0)
+
+
 def fit_segments(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """Seeded K-Means on scaled features; adds ``segmento``."""
     rows = written(scaled_features(df, features))
-    model = KMeans(k=k, seed=SEED, predictionCol="segmento").fit(rows)
-    return model.transform(rows).drop("raw", "features")
+    return kmeans(k).fit(rows).transform(rows).drop("raw", "features")
+
+
+def centre_gaps(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+    """(variable, filas, desvio): the largest distance, on the scaled axis, between a centre and the mean of its rows."""
+    rows = written(scaled_features(df, features))
+    model = kmeans(k).fit(rows)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    place = vector_to_array("features")
+    told = model.transform(rows).withColumn("_x", place)
+    means = told.groupBy("segmento").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.get("_x", F.lit(i))).alias(f"m{i}") for i in range(len(features))])
+    own = F.get(centres, F.col("segmento"))
+    gaps = [F.max(F.abs(F.col(f"m{i}") - F.get(own, F.lit(i)))).alias(f"g{i}") for i in range(len(features))]
+    cells = [
+        F.struct(F.lit(f).alias("variable"), F.col("n").alias("filas"), F.col(f"g{i}").alias("desvio")) for i, f in enumerate(features)
+    ]
+    return means.agg(F.sum("n").alias("n"), *gaps).select(F.inline(F.array(*cells)))
+
+
+def silhouette(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+    """One row (n, silueta): mean silhouette by squared distance, from sums per cluster.
+
+    The mean squared distance of a row to a cluster follows from that cluster's count,
+    sum and sum of squares, so no pair of rows is formed; these sums, a row for each
+    cluster, are the only thing that is broadcast. A row alone in its cluster counts 0,
+    as does every row where there is one cluster. Missing values are zero.
+    """
+    x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, f in enumerate(features)]
+    rows = df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("_c"), *x)
+    own = range(len(features))
+    square = reduce(lambda a, b: a + b, [F.col(f"_x{i}") * F.col(f"_x{i}") for i in own])
+    rows = rows.withColumn("_q", square)
+    sums = rows.groupBy("_c").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("_q").alias("q"), F.array(*[F.sum(f"_x{i}") for i in own]).alias("s")
+    )
+    # One element for each cluster.
+    every = sums.agg(F.collect_list(F.struct("_c", "n", "q", "s")).alias("k")).scalar()
+    dot = lambda s: reduce(lambda a, b: a + b, [F.col(f"_x{i}") * F.get(s, F.lit(i)) for i in own])
+    total = lambda c: c["n"] * F.col("_q") - 2 * dot(c["s"]) + c["q"]
+    placed = rows.withColumn("_k", every)
+    mine = F.get(F.filter("_k", lambda c: c["_c"] == F.col("_c")), F.lit(0))
+    others = F.transform(F.filter("_k", lambda c: c["_c"] != F.col("_c")), lambda c: total(c) / c["n"])
+    a = F.when(mine["n"] > 1, F.greatest(total(mine), F.lit(0.0)) / (mine["n"] - 1))
+    placed = placed.select(a.alias("a"), F.array_min(others).alias("b"))
+    value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silueta"))
 
 
 def select_k(df: DataFrame, features: Sequence[str], ks: Sequence[int]) -> DataFrame:
     """Training cost and silhouette for each k; the scaled rows are written once."""
     rows = written(scaled_features(df, features).select("features"))
-    judge = ClusteringEvaluator()
+    judge = ClusteringEvaluator(predictionCol="segmento")
     found = []
     for k in ks:
-        model = KMeans(k=k, seed=SEED).fit(rows)
+        model = kmeans(k).fit(rows)
         found.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(rows)))))
     return df.sparkSession.createDataFrame(found, "k int, costo double, silueta double")
 
@@ -157,7 +254,7 @@ def encode_profiles(
     Ordinal fields count from 1; a missing or unseen level takes the code after the
     last, and a field that is a number already keeps it. Sex and policy may be given
     as 0/1 or as text, the family branch as RAMO_FAMILIAR or RAMO_FAMILIAR_BIN; not
-    given is -1. Each field of ``levels`` becomes one flag per level.
+    given is -1; the two policy fields have their own spellings of yes and no. Each field of ``levels`` becomes one flag per level.
     """
     text = {n: F.col(n).cast("string") for n in df.columns}
 
@@ -173,7 +270,7 @@ def encode_profiles(
         return text[name].try_cast("int") if name in text else F.lit(None).cast("int")
 
     sex = c.sex_bin(text["Sexo_Cd"]) if "Sexo_Cd" in text else F.lit(None).cast("int")
-    policy = [c.yes_no_bin(text[n]) for n in ("POLIZA_BIN", "POLIZA") if n in text]
+    policy = [c.yes_no_bin(text[n], form) for n, form in (("POLIZA_BIN", "profile"), ("POLIZA", "table")) if n in text]
     coded = df.withColumns({f"{n}_COD": code(n, known) for n, known in ordinals.items() if n in text})
     coded = coded.withColumns(
         {
@@ -207,6 +304,16 @@ def fit_hazard(df: DataFrame, features: Sequence[str], trees: int = 10, depth: i
     return Pipeline(stages=[assembled([*features, "mes"]), forest]).fit(written(person_months(df, features)))
 
 
+def fit_hazard_logit(lived: DataFrame, features: Sequence[str]) -> PipelineModel:
+    """Logistic regression on the monthly hazard of ``person_months`` rows, the month being one more input."""
+    logit = LogisticRegression(weightCol="peso", labelCol="label", maxIter=STEPS, tol=TOLERANCE)
+    return Pipeline(stages=[assembled([*features, "mes"]), logit]).fit(written(lived.select(*features, "mes", "label", "peso")))
+
+
+def with_hazard(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    return model.transform(rows).withColumn("hazard", F.get(vector_to_array("probability"), F.lit(1)))
+
+
 def hazard_curve(model: PipelineModel, profiles: DataFrame, key: str, last_month: int = 24) -> DataFrame:
     """Survival per (profile, month) as the running product of 1 - hazard.
 
@@ -216,7 +323,7 @@ def hazard_curve(model: PipelineModel, profiles: DataFrame, key: str, last_month
     placed = profiles.repartition(F.col(key))
     months = placed.withColumn("mes", F.explode(F.sequence(F.lit(1), F.lit(last_month))))
     months = months.withColumn("mes", F.col("mes").cast("double"))
-    hazard = model.transform(months).withColumn("hazard", F.get(vector_to_array("probability"), F.lit(1)))
+    hazard = with_hazard(model, months)
     upto = Window.partitionBy(key).orderBy("mes").rowsBetween(Window.unboundedPreceding, 0)
     return hazard.select(
         key, F.col("mes").cast("int").alias("t"), "hazard", F.product(1 - F.col("hazard")).over(upto).alias("S_t")
@@ -230,7 +337,7 @@ def score_profiles(
 
     Profiles with the same features are scored once and joined back.
     """
-    same = F.concat_ws("|", *[F.col(f).cast("string") for f in features])
+    same = F.to_json(F.array(*[F.col(f"`{f}`").cast("string") for f in features]))
     rows = profiles.select(key, *features).withColumn("_same", same)
     curve = hazard_curve(model, rows.dropDuplicates(["_same"]).drop(key), "_same", max(horizons))
     picks = [F.max(F.when(F.col("t") == h, 1 - F.col("S_t"))).alias(f"risk_{h}m") for h in horizons]
@@ -267,11 +374,37 @@ def observed_hazard(lived: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class CoxRows:
+    """Prepared rows (t, piece, event, x0, x1, ...) with the means and spreads that scale their inputs."""
+
+    rows: DataFrame
+    means: np.ndarray
+    sds: np.ndarray
+
+
+def cox_rows(df: DataFrame, features: Sequence[str], time: str, event: str) -> CoxRows:
+    """Standardised inputs and the piece of the time range that each row's time lies in, written once."""
+    rows = filled(df, features)
+    spread = rows.agg(*[f(c) for c in features for f in (F.avg, F.stddev_samp)]).first()
+    means, sds = np.array(spread[0::2], dtype=float), np.array(spread[1::2], dtype=float)
+    sds[~(sds > 0)] = 1.0
+    scaled = [
+        ((F.col(c) - float(m)) / float(s)).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(features, means, sds, strict=True))
+    ]
+    ready = rows.select(F.col(time).alias("t"), F.col(event).cast("double").alias("event"), *scaled)
+    bits = piece_bits(df)
+    placed = ready.withColumn("_points", split_points(ready, F.col("t"), bits))
+    placed = placed.select(count_below(F.col("_points"), F.col("t"), bits).alias("piece"), *ready.columns)
+    return CoxRows(written(placed), means, sds)
+
+
 def cox_sums(df: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Breslow log-likelihood, gradient and information at ``beta`` in one Spark job.
 
-    Rows are summed per distinct time, the sums are cumulated over times (the
-    calendar bounds them) and one row of p + p * p + 1 numbers comes back.
+    Rows are summed per distinct time; the sums are cumulated inside pieces of the time
+    range and over the pieces' totals, so no task holds all times. One row of
+    p + p * p + 1 numbers comes back.
     """
     p = len(beta)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -280,19 +413,49 @@ def cox_sums(df: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.nda
     sums += [F.sum(F.expr(f"event * x{i}")).alias(f"e{i + 1}") for i in range(p)]
     sums += [F.sum(F.expr(f"w * x{i}")).alias(f"s_{i}") for i in range(p)]
     sums += [F.sum(F.expr(f"w * x{i} * x{j}")).alias(f"s_{i}_{j}") for i, j in pairs]
-    per_time = df.withColumn("w", F.exp(F.expr(eta))).groupBy("t").agg(*sums)
-    later = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    per_time = df.withColumn("w", F.exp(F.expr(eta))).groupBy("piece", "t").agg(*sums)
     cumulated = ["s0", *[f"s_{i}" for i in range(p)], *[f"s_{i}_{j}" for i, j in pairs]]
-    run = per_time.select("d", *[f"e{i}" for i in range(p + 1)], *[F.sum(c).over(later).alias(c) for c in cumulated])
-    row = run.where("d > 0").agg(
+    totals = per_time.groupBy("piece").agg(*[F.sum(c).alias(c) for c in cumulated])
+    # At most one row for each piece.
+    past = Window.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    after = totals.select("piece", *[F.coalesce(F.sum(c).over(past), F.lit(0.0)).alias(f"{c}_after") for c in cumulated])
+    later = Window.partitionBy("piece").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = per_time.select("piece", "d", *[f"e{i}" for i in range(p + 1)], *[F.sum(c).over(later).alias(c) for c in cumulated])
+    run = inside.where("d > 0").join(after, "piece").withColumns({c: F.col(c) + F.col(f"{c}_after") for c in cumulated})
+    row = run.agg(
         F.sum(F.expr("e0 - d * ln(s0)")),
         *[F.sum(F.expr(f"e{i + 1} - d * s_{i} / s0")) for i in range(p)],
         *[F.sum(F.expr(f"d * (s_{i}_{j} / s0 - s_{i} * s_{j} / (s0 * s0))")) for i, j in pairs],
     ).first()
+    numbers = [0.0 if v is None else float(v) for v in row]
     info = np.zeros((p, p))
-    for value, (i, j) in zip(row[p + 1 :], pairs, strict=True):
+    for value, (i, j) in zip(numbers[p + 1 :], pairs, strict=True):
         info[i, j] = info[j, i] = value
-    return float(row[0]), np.array(row[1 : p + 1], dtype=float), info
+    return numbers[0], np.array(numbers[1 : p + 1]), info
+
+
+def cox_optimum(df: DataFrame, p: int, steps: int, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool, int]:
+    """(beta, gradient, information, converged, steps taken) of Newton's method with step halving.
+
+    A step that lowers the likelihood is halved until it does not. Coefficients beyond
+    ``FARTHEST`` on standardised inputs mean that the inputs separate the events: the
+    likelihood has no maximum, and the fit ends unconverged.
+    """
+    beta = np.zeros(p)
+    likelihood, gradient, info = cox_sums(df, beta)
+    for taken in range(1, steps + 1):
+        step = np.linalg.lstsq(info, gradient, rcond=None)[0]
+        for _ in range(HALVINGS):
+            found = cox_sums(df, beta + step)
+            if found[0] >= likelihood - 1e-9 * (1 + abs(likelihood)):
+                break
+            step = step / 2
+        beta, (likelihood, gradient, info) = beta + step, found
+        if np.max(np.abs(beta), initial=0.0) > FARTHEST:
+            return beta, gradient, info, False, taken
+        if np.max(np.abs(step), initial=0.0) < tol:
+            return beta, gradient, info, True, taken
+    return beta, gradient, info, False, steps
 
 
 def fit_cox(
@@ -300,25 +463,18 @@ def fit_cox(
 ) -> DataFrame:
     """Proportional hazards by Newton steps on standardised inputs (Breslow ties).
 
-    ``converge`` tells whether the last step was below ``tol``, ``pasos`` how many were taken. Only p by p numbers reach the driver. The prepared rows are written to the
+    ``gradiente`` is the score of an input per event at the returned coefficients, 0 at the
+    optimum; ``converge`` tells whether the last step was below ``tol``, ``pasos`` how many
+    were taken. Only p by p numbers reach the driver. The prepared rows are written to the
     shared folder, since every step reads them.
     """
-    rows = filled(df, features)
-    spread = rows.agg(*[f(c) for c in features for f in (F.avg, F.stddev_samp)]).first()
-    means, sds = np.array(spread[0::2], dtype=float), np.array(spread[1::2], dtype=float)
-    sds[~(sds > 0)] = 1.0
-    scaled = [
-        ((F.col(c) - float(m)) / float(s)).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(features, means, sds, strict=True))
+    ready = cox_rows(df, features, time, event)
+    beta, gradient, info, done, taken = cox_optimum(ready.rows, len(features), steps, tol)
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(info)), 0)) / ready.sds
+    events = max(float(ready.rows.agg(F.sum("event")).first()[0] or 0), 1.0)
+    found = [
+        (f, float(b), float(np.exp(b)), float(e), float(g / events), done, taken)
+        for f, b, e, g in zip(features, beta / ready.sds, errors, gradient, strict=True)
     ]
-    ready = written(rows.select(F.col(time).alias("t"), F.col(event).cast("double").alias("event"), *scaled))
-    beta, done, taken = np.zeros(len(features)), False, 0
-    while not done and taken < steps:
-        _, gradient, info = cox_sums(ready, beta)
-        step = np.linalg.lstsq(info, gradient, rcond=None)[0]
-        beta, taken = beta + step, taken + 1
-        done = bool(np.max(np.abs(step), initial=0.0) < tol)
-    _, _, info = cox_sums(ready, beta)
-    errors = np.sqrt(np.diag(np.linalg.pinv(info))) / sds
-    coef = beta / sds
-    found = [(f, float(b), float(np.exp(b)), float(e), done, taken) for f, b, e in zip(features, coef, errors, strict=True)]
-    return df.sparkSession.createDataFrame(found, "variable string, coef double, razon double, error double, converge boolean, pasos int")
+    schema = "variable string, coef double, razon double, error double, gradiente double, converge boolean, pasos int"
+    return df.sparkSession.createDataFrame(found, schema)

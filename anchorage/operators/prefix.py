@@ -20,6 +20,13 @@ from anchorage.functions.columns import tie_order
 
 #: Rows that are ordered as one page.
 PAGE = 1_000
+#: Rows that are ordered in ``MERGERS`` pages and then in one.
+LARGE_PAGE = 100_000
+MERGERS = 64
+#: Size of the sketch that bounds the n-th score: its ranks are off by about one row in TOP_SKETCH / 4.
+TOP_SKETCH = 4_096
+#: The top shares at which that sketch is read, each smaller than the one before by an eighth of a power of two.
+TOP_SHARES = [2 ** (-j / 8) for j in range(1, 8 * 40)]
 
 
 def piece_bits(df: DataFrame) -> int:
@@ -28,15 +35,33 @@ def piece_bits(df: DataFrame) -> int:
     return min(max(math.ceil(math.log2(4 * partitions)), 6), 12)
 
 
+def sketch(df: DataFrame, value: Column, k: int) -> DataFrame:
+    """One row (n, sketch): a quantile sketch of the numbers in ``value``, merged in two levels.
+
+    The partitions' sketches meet in ``MERGERS`` groups first, so no task merges more
+    than its share of them. Missing values and NaN take no part.
+    """
+    group = (F.spark_partition_id() % MERGERS).alias("_group")
+    parts = df.groupBy(group).agg(F.kll_sketch_agg_double(value.cast("double"), k).alias("_sketch"))
+    whole = parts.agg(F.kll_merge_agg_double("_sketch", k).alias("sketch"))
+    return whole.select(F.coalesce(F.kll_sketch_get_n_double("sketch"), F.lit(0)).alias("n"), "sketch")
+
+
+def sketched_quantiles(found: DataFrame, shares: Sequence[float]) -> Column:
+    """The approximate quantiles at literal ``shares`` from a row of ``sketch``, null where it is empty."""
+    probs = F.expr(f"array({', '.join(f'{p!r}D' for p in shares)})")
+    return F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", probs))
+
+
 def split_points(df: DataFrame, value: Column, bits: int) -> Column:
     """Approximate quantiles as a scalar subquery: a sorted array below 2**bits long.
 
     Put it in a column of its own before searching it; lambdas take no subquery.
     """
     pieces = 2**bits
-    probs = F.expr(f"array({', '.join(f'{i / pieces}D' for i in range(1, pieces))})")
-    points = F.array_distinct(F.percentile_approx(value, probs, 20 * pieces))
-    return df.agg(points.alias("points")).scalar()
+    found = sketch(df, value, 8 * pieces)
+    points = F.array_distinct(sketched_quantiles(found, [i / pieces for i in range(1, pieces)]))
+    return found.select(points.alias("points")).scalar()
 
 
 def count_below(points: Column, value: Column, bits: int, inclusive: bool = False) -> Column:
@@ -69,24 +94,27 @@ def running_before(
     group: Sequence[str] = (),
     descending: bool = False,
     weight: Column | None = None,
+    pieces: bool = False,
 ) -> DataFrame:
     """Add ``<total>_before`` (sum over strictly earlier values) and ``<total>_all``.
 
     ``counts`` has one row per (group, value), already aggregated, and no null
     group or value. ``weight`` is positive on every row (the first total unless
-    given); reading it lets the split-point subquery reuse the same shuffle.
+    given); reading it lets the split-point subquery reuse the same shuffle. With
+    ``pieces`` the number of the value's piece stays as ``_piece``.
     """
     group = list(group)
+    shown = ["_piece"] if pieces else []
     bits = piece_bits(counts)
     anchor = F.when((F.col(totals[0]) if weight is None else weight) > 0, F.col(value))
-    pieces = counts.withColumn("_points", split_points(counts, anchor, bits))
-    pieces = pieces.withColumn("_found", count_below(F.col("_points"), F.col(value), bits)).drop("_points")
-    pieces = as_columns(pieces, counts.columns, _piece="_found")
+    cut = counts.withColumn("_points", split_points(counts, anchor, bits))
+    cut = cut.withColumn("_found", count_below(F.col("_points"), F.col(value), bits)).drop("_points")
+    cut = as_columns(cut, counts.columns, _piece="_found")
 
     def direction(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
 
-    sizes = pieces.groupBy(*group, "_piece").agg(*[F.sum(t).alias(t) for t in totals])
+    sizes = cut.groupBy(*group, "_piece").agg(*[F.sum(t).alias(t) for t in totals])
     # At most 2**bits rows per group reach this window.
     earlier = Window.partitionBy(*group).orderBy(direction("_piece")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
@@ -101,11 +129,12 @@ def running_before(
         .orderBy(direction(value))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = pieces.select(
+    local = cut.select(
         "*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"_{t}_local") for t in totals]
     )
     return local.join(offsets, [*group, "_piece"]).select(
         *counts.columns,
+        *shown,
         *[(F.col(f"_{t}_offset") + F.col(f"_{t}_local")).alias(f"{t}_before") for t in totals],
         *[F.col(f"{t}_all") for t in totals],
     )
@@ -148,22 +177,80 @@ def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame
     )
 
 
+def at_least(df: DataFrame, n: int, score: str) -> Column:
+    """A score that at least n rows reach, close to the n-th one, as a scalar subquery.
+
+    The value comes from a sketch and counts only if an exact count confirms it;
+    otherwise, as with fewer than n scored rows, it is minus infinity.
+    """
+    found = sketch(df, F.col(score), TOP_SKETCH)
+    share = F.least(F.lit(float(n)) / F.greatest("n", F.lit(1)) + 8.0 / TOP_SKETCH, F.lit(1.0))
+    place = F.floor(-8 * F.log2(share)).cast("int") - 1
+    values = sketched_quantiles(found, [1 - s for s in TOP_SHARES])
+    guess = found.select(F.when(place >= 0, F.get(values, place)).alias("low")).scalar()
+    reached = df.select(score).where(F.col(score) >= guess).agg(F.count(F.lit(1)).alias("_reached"))
+    low = F.when(F.col("_reached") >= n, guess).otherwise(F.lit(float("-inf")))
+    return reached.select(F.coalesce(low, F.lit(float("-inf"))).alias("low")).scalar()
+
+
+def pruned(df: DataFrame, n: int, score: str) -> DataFrame:
+    """The rows that can be among the n highest scores: a filter on the scan, before anything is shuffled.
+
+    Rows without a score stay only where the others may not make up n.
+    """
+    low = at_least(df, n, score)
+    return df.where((F.col(score) >= low) | (F.col(score).isNull() & (low == float("-inf"))))
+
+
 def top_n(df: DataFrame, n: int, score: str, key: str) -> DataFrame:
-    """The n highest scores: one ordered page while n is small, else a cut at the n-th score.
+    """The n highest scores, ties by (tie_order, key); rows without a score come last.
 
-    The cut comes from counts per distinct score, so only rows at or above it are
-    ranked; rows without a score are ranked where the others do not make up n.
+    Up to ``PAGE`` rows are one ordered page. Beyond that, rows below a sketched bound
+    of the n-th score leave first. Up to ``LARGE_PAGE`` rows are then ordered in pages of
+    n rows each and these in one; for more, counts per distinct score give the exact
+    n-th score, and only rows at or above it are ranked.
     """
+    order = [F.desc_nulls_last(score), tie_order(F.col(key)), F.col(key)]
     if n <= PAGE:
-        return df.orderBy(F.desc_nulls_last(score), tie_order(F.col(key)), key).limit(n)
-    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+        return df.orderBy(*order).limit(n)
+    near = pruned(df, n, score)
+    if n <= LARGE_PAGE:
+        pages = Window.partitionBy("_page").orderBy(*order)
+        paged = near.withColumn("_page", F.spark_partition_id() % MERGERS)
+        kept = paged.withColumn("_place", F.row_number().over(pages)).where(F.col("_place") <= n)
+        return kept.select(*df.columns).orderBy(*order).limit(n)
+    counts = near.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
     reached = running_before(counts, score, ["_n"], descending=True).where(F.col("_n_before") < n)
     cut = reached.agg(F.struct(F.min(score).alias("low"), F.max("_n_all").alias("all")).alias("cut")).scalar()
     enough = F.coalesce(F.col("_cut.all"), F.lit(0)) >= n
-    above = df.withColumn("_cut", cut).where(F.coalesce(F.col(score) >= F.col("_cut.low"), ~enough)).drop("_cut")
+    above = near.withColumn("_cut", cut).where(F.coalesce(F.col(score) >= F.col("_cut.low"), ~enough)).drop("_cut")
     return ranked(above, score, key, "_rank").where(F.col("_rank") <= n).drop("_rank")
 
 
+def at_places(run: DataFrame, before: str, wanted: DataFrame, place: str, bits: int) -> DataFrame:
+    """Each row of ``wanted`` beside the row of ``run`` that covers its place, null beyond the last.
+
+    ``run`` comes from ``running_before`` with its pieces: a row covers the places from its
+    ``before`` to the next one's. A place finds its piece among the piece starts, an array of
+    at most 2**bits numbers; inside a piece both tables meet in one ordered sweep, so there
+    is no pairing of places with rows.
+    """
+    names = run.columns
+    starts = run.groupBy("_piece").agg(F.min(before).alias("_start"))
+    starts = starts.agg(F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("s")).scalar()
+    asked = wanted.withColumn("_starts", starts)
+    found = count_below(F.col("_starts._start"), F.col(place), bits + 1, inclusive=True)
+    asked = asked.withColumn("_found", F.get(F.col("_starts._piece"), found - 1)).drop("_starts")
+    asked = as_columns(asked, wanted.columns, _piece="_found")
+    rows = run.select("_piece", F.col(before).alias("_at"), F.lit(0).alias("_kind"), F.struct(*names).alias("_row"))
+    marks = asked.select("_piece", F.col(place).alias("_at"), F.lit(1).alias("_kind"), F.struct(*wanted.columns).alias("_mark"))
+    sweep = Window.partitionBy("_piece").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    met = both.withColumn("_met", F.last("_row", ignorenulls=True).over(sweep)).where("_kind = 1")
+    kept = [n for n in names if n not in wanted.columns and n != "_piece"]
+    return met.select("_mark.*", *[F.col(f"_met.{n}").alias(n) for n in kept])
+
+
 def exact_quantiles(
     df: DataFrame, value: Column, probs: Sequence[float], group: Sequence[str] = (), name: str = "q"
 ) -> DataFrame:

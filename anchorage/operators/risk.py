@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.functions.columns import is_finite
+from anchorage.functions.columns import is_finite, tie_order
 from anchorage.operators.bins import binned, qcut, quantile_edges, with_bounds
-from anchorage.operators.prefix import exact_quantiles
+from anchorage.operators.prefix import as_columns, exact_quantiles
 
 RISK = "Riesgo_Calculado"
 RISK_CUT = 0.35
 FEW_LEVELS = 20
+REPLICATES = 1_000
+#: A draw of 32 bits at or above the k-th cut counts a row k times at least.
+POISSON_CUTS = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
 
 # Names of the five age quantiles, youngest first.
 AGE_QUINTILES = ("Joven", "Adulto Joven", "Adulto", "Maduro", "Mayor")
@@ -80,6 +85,35 @@ def risk_curve(df: DataFrame, var: str) -> DataFrame:
     ).orderBy("valor")
 
 
+def poisson_weight(draw: Column) -> Column:
+    """Poisson(1) from 32 even bits: how many of the cuts the draw reaches."""
+    return reduce(lambda a, b: a + b, [(draw >= cut).cast("int") for cut in POISSON_CUTS])
+
+
+def bootstrap_band(df: DataFrame, var: str, key: str, replicates: int = REPLICATES, level: float = 0.95) -> DataFrame:
+    """(valor, banda_inf, banda_sup): percentile band of the mean risk per value of a variable.
+
+    Every row draws its weight in every replicate from a hash of its key and the replicate, so one pass serves
+    all replicates and no row is drawn from a group. Weighted sums are combined before the
+    shuffle; a value keeps one mean for each replicate in which it has a row.
+    """
+    rows = df.where(F.col(var).isNotNull() & F.col(RISK).isNotNull()).select(F.col(var).alias("valor"), F.col(key).alias("_key"), RISK)
+    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = drawn.withColumn("_bits", tie_order(F.concat_ws("|", "_key", "_rep")))
+    drawn = as_columns(drawn, ["valor", "_rep", RISK], _draw="_bits").where(F.col("_draw") >= POISSON_CUTS[0])
+    drawn = drawn.withColumn("_w", poisson_weight(F.col("_draw")))
+    means = drawn.groupBy("valor", "_rep").agg((F.sum(F.col("_w") * F.col(RISK)) / F.sum("_w")).alias("_m"))
+    tail = (1 - level) / 2
+    return means.groupBy("valor").agg(
+        F.percentile("_m", F.lit(round(tail, 6))).alias("banda_inf"), F.percentile("_m", F.lit(round(1 - tail, 6))).alias("banda_sup")
+    )
+
+
+def risk_curve_with_band(df: DataFrame, var: str, key: str, replicates: int = REPLICATES) -> DataFrame:
+    """``risk_curve`` with the bootstrapped band; both sides have one row per value."""
+    return risk_curve(df, var).join(bootstrap_band(df, var, key, replicates), "valor", "left").orderBy("valor")
+
+
 def risk_quartiles(df: DataFrame, var: str) -> DataFrame:
     """Minimum, quartiles and maximum of risk per level."""
     rows = df.where(F.col(var).isNotNull()).select(F.col(var).alias("nivel"), RISK)

@@ -18,6 +18,9 @@ ID = "AFILIADO_ID_EPS"
 HORIZONS = (1, 3, 6, 12, 18, 24)
 MONTHS = 120
 
+#: Bits of a digit of a rank in the concordance.
+RANK_BITS = 5
+
 # Months tested, in order, and the group each one leads to.
 TRIGGERS = ((3, "CRITICO"), (6, "ALTO"), (12, "ESTRATEGIA_PROACTIVA"))
 CALM = "BAJO"
@@ -141,11 +144,13 @@ def assign_group(df: DataFrame, threshold: float = 0.30, digits: int = 9) -> Dat
 def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """Harrell's concordance of any real risk with time; rows that lack one of the three take no part.
 
-    Pairs are counted, never formed. Each risk becomes its dense rank. Of two
-    different ranks the larger has a 1 where the smaller has a 0 at the highest bit
-    in which they differ, so each comparable pair meets in exactly one cell (bit,
-    shared prefix). Inside a cell only the counts per distinct time matter. Two more
-    levels count ties and all comparable pairs.
+    Pairs are counted, never formed. Each risk becomes its dense rank, written in digits
+    of base 32. Two different ranks first differ in one digit, so each comparable pair
+    meets in exactly one group (level of that digit, digits above it); there only the
+    counts per digit and distinct time matter, cumulated over times (the calendar bounds
+    them). A cell is copied once per digit: twice for up to 1,024 distinct risks, four
+    times for a million. Ties are the pairs with equal last digits, and at the highest
+    digit all pairs meet.
     """
     r = F.col(risk).cast("double")
     rows = df.select(F.col(time).alias("t"), F.col(event).cast("bigint").alias("e"), r.alias("v"))
@@ -154,28 +159,43 @@ def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     values = cells.groupBy("v").agg(F.lit(1).cast("bigint").alias("one"))
     order = running_before(values, "v", ["one"]).select("v", F.col("one_before").alias("r"), F.col("one_all").alias("of"))
     cells = cells.join(order, "v")
-    tie, every = F.lit(-1), F.lit(63)
-    bits = F.length(F.regexp_replace(F.bin("of"), "^0+", ""))
-    levels = F.array_append(F.sequence(tie, bits - 1), every)
-    placed = cells.select("t", "e", "r", "n", F.explode(levels).alias("b"))
-    level, bit = F.col("b"), F.expr("shiftright(r, b) & 1")
-    prefix = F.when(level == tie, F.col("r")).when(level == every, 0).otherwise(F.expr("shiftright(r, b + 1)"))
-    whole = (level == tie) | (level == every)
-    sums = placed.groupBy("b", prefix.alias("p"), "t").agg(
-        F.sum(F.when(whole | (bit == 0), F.col("n")).otherwise(0)).alias("low"),
-        F.sum(F.when(whole | (bit == 1), F.col("n") * F.col("e")).otherwise(0)).alias("high"),
+    digits = range(1 << RANK_BITS)
+    top = F.expr(f"(length(regexp_replace(bin(of), '^0+', '')) - 1) div {RANK_BITS}").cast("int")
+    placed = cells.withColumn("top", top).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    placed = placed.select(
+        "t",
+        "e",
+        "n",
+        "level",
+        (F.col("level") == F.col("top")).alias("top"),
+        F.expr(f"cast(shiftright(r, level * {RANK_BITS}) & {len(digits) - 1} as int)").alias("digit"),
+        F.expr(f"shiftright(r, (level + 1) * {RANK_BITS})").alias("prefix"),
     )
-    later = Window.partitionBy("b", "p").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    met = F.col("high").cast("double") * F.coalesce(F.sum("low").over(later), F.lit(0))
-    pairs = sums.select("b", met.alias("pares"))
-
-    def total(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col("pares")).otherwise(0.0)), F.lit(0.0))
-
-    found = pairs.agg(
-        total((level != tie) & (level != every)).alias("concordantes"),
-        total(level == tie).alias("empates"),
-        total(level == every).alias("comparables"),
+    here = lambda k, v: F.coalesce(F.sum(F.when(F.col("digit") == k, v)), F.lit(0))
+    sums = placed.groupBy("level", "top", "prefix", "t").agg(
+        *[here(k, F.col("n")).alias(f"n{k}") for k in digits], *[here(k, F.col("n") * F.col("e")).alias(f"e{k}") for k in digits]
+    )
+    later = Window.partitionBy("level", "top", "prefix").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    after = sums.select(
+        "level",
+        "top",
+        F.array(*[F.col(f"e{k}").cast("double") for k in digits]).alias("e"),
+        F.array(*[F.coalesce(F.sum(f"n{k}").over(later), F.lit(0)).cast("double") for k in digits]).alias("n"),
+    )
+    zero = F.lit(0.0)
+    # The counts of all digits below each one.
+    step = lambda s, n: F.struct((s["sum"] + n).alias("sum"), F.array_append(s["below"], s["sum"]).alias("below"))
+    below = F.aggregate("n", F.struct(zero.alias("sum"), F.array().cast("array<double>").alias("below")), step)
+    after = after.withColumn("below", below)
+
+    def met(others: Column) -> Column:
+        return F.aggregate(F.zip_with("e", others, lambda e, n: e * n), zero, lambda s, x: s + x)
+
+    every = F.aggregate("e", zero, lambda s, x: s + x) * F.col("below.sum")
+    found = after.agg(
+        F.coalesce(F.sum(met(F.col("below.below"))), zero).alias("concordantes"),
+        F.coalesce(F.sum(F.when(F.col("level") == 0, met(F.col("n")))), zero).alias("empates"),
+        F.coalesce(F.sum(F.when(F.col("top"), every)), zero).alias("comparables"),
     )
     won = F.col("concordantes") + F.col("empates") / 2
     return found.withColumn("c_index", F.try_divide(won, F.col("comparables")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from anchorage.operators import explain
 from anchorage.plans.catalog import query
-from anchorage.plans.tables import CONTRIB_WEIGHTS, Tables
+from anchorage.plans.tables import CONTRIB_WEIGHTS, MORE_WEIGHTS, Tables
 
 
 def raw_contributions(t: Tables):
@@ -19,6 +19,12 @@ def contributions_table(t: Tables):
     return explain.tidy(raw_contributions(t))
 
 
+def more_contributions(t: Tables):
+    """The table of twenty-three inputs."""
+    long = explain.linear_contributions(t.more_features, MORE_WEIGHTS)
+    return explain.tidy(long.withColumn("shap_value", F.round("shap_value", 6)))
+
+
 def rounded(df, *names, digits: int = 6):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -28,22 +34,26 @@ def linear_contrib(t: Tables):
     return raw_contributions(t).select("ID", "feature", "shap_value", "feature_value")
 
 
-_TOP = """top AS (SELECT feature, avg(abs(shap_value)) AS mean_abs FROM contrib_ok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {k})"""
+TOP_FEATURES, PER_FEATURE = 20, 1500
+
+
+def top_sql(table: str) -> str:
+    return f"top AS (SELECT feature, avg(abs(shap_value)) AS mean_abs FROM {table} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {TOP_FEATURES})"
 
 
-@query("top_features", f"WITH {_TOP.format(k=5)} SELECT feature, round(mean_abs, 6) AS mean_abs FROM top")
+@query("top_features", f"WITH {top_sql('more_contrib_ok')} SELECT feature, round(mean_abs, 6) AS mean_abs FROM top")
 def top_features(t: Tables):
-    return rounded(explain.top_contrib(contributions_table(t), 5), "mean_abs")
+    return rounded(explain.top_contrib(more_contributions(t), TOP_FEATURES), "mean_abs")
 
 
 @query(
     "semi_top_features",
-    f"""WITH {_TOP.format(k=4)} SELECT feature, count(*) AS n, round(sum(shap_value), 4) AS total FROM contrib_ok
+    f"""WITH {top_sql("more_contrib_ok")} SELECT feature, count(*) AS n, round(sum(shap_value), 4) AS total FROM more_contrib_ok
     WHERE feature IN (SELECT feature FROM top) GROUP BY 1""",
 )
 def semi_top_features(t: Tables):
-    long = contributions_table(t)
-    kept = explain.keep_top(long, explain.top_contrib(long, 4))
+    long = more_contributions(t)
+    kept = explain.keep_top(long, explain.top_contrib(long, TOP_FEATURES))
     return kept.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("shap_value"), 4).alias("total"))
 
 
@@ -52,10 +62,10 @@ _SAMPLE = """(SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(ID
 
 @query(
     "sample_per_group",
-    f"SELECT feature, ID, shap_value FROM {_SAMPLE.format(where='')} s WHERE rn <= 400",
+    f"SELECT feature, ID, shap_value FROM {_SAMPLE.format(where='')} s WHERE rn <= {PER_FEATURE}",
 )
 def sample_per_group(t: Tables):
-    return explain.sample_by_group(contributions_table(t), "feature", "ID", 400).select("feature", "ID", "shap_value")
+    return explain.sample_by_group(contributions_table(t), "feature", "ID", PER_FEATURE).select("feature", "ID", "shap_value")
 
 
 def scale_sql(missing: str, group: str) -> str:
@@ -84,7 +94,7 @@ def _pretty() -> str:
 
 @query(
     "contrib_chart_data",
-    f"""WITH {_TOP.format(k=20)}, s AS (SELECT * FROM {_SAMPLE.format(where="WHERE feature IN (SELECT feature FROM top)")} x WHERE rn <= 1500),
+    f"""WITH {top_sql('contrib_ok')}, s AS (SELECT * FROM {_SAMPLE.format(where="WHERE feature IN (SELECT feature FROM top)")} x WHERE rn <= {PER_FEATURE}),
     l AS (SELECT *, {_pretty()} AS feature_pretty FROM s)
     SELECT ID, feature, feature_pretty, shap_value, feature_value, round({scale_sql("0.5", "feature_pretty")}, 6) AS fv01 FROM l""",
 )
@@ -93,7 +103,8 @@ def contrib_chart_data(t: Tables):
     return rounded(found.select("ID", "feature", "feature_pretty", "shap_value", "feature_value", "fv01"), "fv01")
 
 
-_METRICS = f"""scaled AS (SELECT *, {scale_sql("NULL", "feature")} AS v FROM contrib_ok),
+def metrics_sql(table: str) -> str:
+    return f"""scaled AS (SELECT *, {scale_sql("NULL", "feature")} AS v FROM {table}),
     metrics AS (SELECT *, CASE WHEN shap_high_mean > 0 THEN shap_high_mean * sqrt(p_high) END AS score_fuga_high,
       CASE WHEN shap_high_mean < 0 THEN abs(shap_high_mean) * sqrt(p_high) END AS score_perm_high,
       {_pretty()} AS feature_pretty
@@ -112,21 +123,21 @@ def shown(df):
     return rounded(df, *_NUMBERS, digits=5)
 
 
-@query("contrib_metrics", f"WITH {_METRICS} SELECT {_SHOWN} FROM metrics")
+@query("contrib_metrics", f"WITH {metrics_sql('contrib_ok')} SELECT {_SHOWN} FROM metrics")
 def contrib_metrics(t: Tables):
     return shown(explain.contrib_metrics(contributions_table(t)))
 
 
 def strongest_sql(score: str) -> str:
-    return f"""WITH {_METRICS} SELECT {_SHOWN} FROM (SELECT * FROM metrics WHERE {score} IS NOT NULL AND n_high >= 80
+    return f"""WITH {metrics_sql("more_contrib_ok")} SELECT {_SHOWN} FROM (SELECT * FROM metrics WHERE {score} IS NOT NULL AND n_high >= 80
       ORDER BY {score} DESC, feature LIMIT 7) m"""
 
 
 @query("churn_drivers", strongest_sql("score_fuga_high"))
 def churn_drivers(t: Tables):
-    return shown(explain.drivers(explain.contrib_metrics(contributions_table(t))))
+    return shown(explain.drivers(explain.contrib_metrics(more_contributions(t))))
 
 
 @query("stay_drivers", strongest_sql("score_perm_high"))
 def stay_drivers(t: Tables):
-    return shown(explain.anchors(explain.contrib_metrics(contributions_table(t))))
+    return shown(explain.anchors(explain.contrib_metrics(more_contributions(t))))

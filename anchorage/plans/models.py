@@ -1,4 +1,9 @@
-"""Queries that fit and apply models; what surrounds the fits has SQL twins, the fits are checked by rows and tests."""
+"""Queries that fit and apply models.
+
+What surrounds the fits has SQL twins. So have the conditions that a fit meets at its
+optimum: score equations, whose two sides SQL computes from the outcomes alone, fixed
+points, and isotonic means by their definition.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from anchorage.operators import clean, models
 from anchorage.operators.survival import HORIZONS
 from anchorage.plans.catalog import query
 from anchorage.plans.portfolio import book
+from anchorage.plans.risk import rounded
 from anchorage.plans.tables import AGE_STAGES, REGIONS, Tables
 
 FEATURES = ("ACCT_BAL", "NUM_ORDERS", "NUM_ITEMS", "Prestaciones_PAC", "Prestaciones_PBS", "risk_12m")
@@ -53,11 +59,49 @@ def kmeans_select_k(t: Tables):
     return models.select_k(t.wide_features, SEGMENT_FEATURES, (2, 3, 4, 5))
 
 
+@query(
+    "kmeans_fixed_point",
+    f"SELECT unnest({list(SEGMENT_FEATURES)}) AS variable, (SELECT count(*) FROM wide_features) AS filas, 0.0::double AS desvio",
+)
+def kmeans_fixed_point(t: Tables):
+    """Every centre is the mean of the rows nearest to it, so the largest distance is 0."""
+    return rounded(models.centre_gaps(t.wide_features, SEGMENT_FEATURES, 4), "desvio")
+
+
 @query("logit_churn")
 def logit_churn(t: Tables):
     return scored_by_logit(t)
 
 
+_BALANCED = " UNION ALL ".join(
+    f"SELECT '{name}' AS variable, round(sum(w * y * {x}), 3) AS observado, round(sum(w * y * {x}), 3) AS ajustado FROM weighted"
+    for name, x in [(models.INTERCEPT, "1.0::double"), *[(f, f"z{i}") for i, f in enumerate(FEATURES)]]
+)
+
+
+@query(
+    "logit_balance",
+    "WITH labelled_rows AS (SELECT Es_Fuga_Real AS y, "
+    + ", ".join(f"coalesce({f}, 0)::double AS {f}" for f in FEATURES)
+    + """ FROM wide_features JOIN (SELECT id::varchar AS sid, Es_Fuga_Real FROM scored) o ON ID = sid),
+    weighted AS (SELECT y, CASE WHEN y = 1 THEN 0.5 / (avg(y) OVER ()) ELSE 0.5 / (1 - avg(y) OVER ()) END / count(*) OVER () AS w, """
+    + ", ".join(f"{f} / (stddev_samp({f}) OVER ()) AS z{i}" for i, f in enumerate(FEATURES))
+    + f" FROM labelled_rows) {_BALANCED}",
+)
+def logit_balance(t: Tables):
+    """Weighted churn per row and per scaled input, as it came and as the logit has it."""
+    rows = models.with_class_weight(labelled(t), LABEL)
+    model = models.fit_logit(labelled(t), FEATURES, LABEL)
+    scored = models.score(model, rows, FEATURES, [LABEL, "peso", *FEATURES])
+    return rounded(models.balance(*models.spread_inputs(scored, FEATURES, "peso"), LABEL, "peso", "Probabilidad"), "observado", "ajustado", digits=3)
+
+
+@query("gbt_stopping")
+def gbt_stopping(t: Tables):
+    """Held-out loss by number of trees; the chosen number is the smallest with the least loss."""
+    return models.stopping_curve(labelled(t), FEATURES, LABEL, "ID")
+
+
 @query("gbt_churn")
 def gbt_churn(t: Tables):
     rows = labelled(t)
@@ -84,6 +128,36 @@ def calibrate(t: Tables):
     return models.calibrate(platt, "Probabilidad", LABEL, "isotonic").withColumnRenamed("calibrada", "isotonica")
 
 
+@query(
+    "calibrate_isotonic",
+    """WITH x AS (SELECT Probabilidad AS p, sum(Es_Fuga_Real)::double AS y, count(*)::double AS n FROM scored GROUP BY 1),
+    s AS (SELECT p, row_number() OVER w AS i, sum(y) OVER w AS ys, sum(n) OVER w AS ns FROM x
+      WINDOW w AS (ORDER BY p ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT j.i AS j, k.i AS k, (k.ys - coalesce(b.ys, 0)) / (k.ns - coalesce(b.ns, 0)) AS mean
+      FROM s j JOIN s k ON k.i >= j.i LEFT JOIN s b ON b.i = j.i - 1),
+    l AS (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS least FROM m),
+    f AS (SELECT k, max(least) AS v FROM l GROUP BY k)
+    SELECT id, Probabilidad, round(v, 6) AS isotonica FROM scored JOIN s ON p = Probabilidad JOIN f ON k = i""",
+)
+def calibrate_isotonic(t: Tables):
+    """The twin is the definition: the largest over starts at or below a score of the least mean of a range from there to it or beyond."""
+    found = models.calibrate(t.scored, "Probabilidad", LABEL, "isotonic")
+    return found.select("id", "Probabilidad", F.round("calibrada", 6).alias("isotonica"))
+
+
+@query(
+    "calibrate_balance",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS variable, round(sum(Es_Fuga_Real * {x}), 3) AS observado, round(sum(Es_Fuga_Real * {x}), 3) AS ajustado FROM scored"
+        for name, x in ((models.INTERCEPT, "1.0::double"), ("Probabilidad", "Probabilidad"))
+    ),
+)
+def calibrate_balance(t: Tables):
+    """Churners, and their scores, as they came and as Platt's probabilities have them."""
+    found = models.calibrate(t.scored, "Probabilidad", LABEL, "platt").withColumn("peso", F.lit(1.0))
+    return rounded(models.balance(found, ["Probabilidad"], LABEL, "peso", "calibrada"), "observado", "ajustado", digits=3)
+
+
 _ORDER = {n: f"coalesce(nullif(list_position({list(known)}, {n}), 0), {len(known) + 1})::double" for n, known in models.ORDINALS.items()}
 _FLAGS = {f"{n}_{v}": f"coalesce(({n} = '{v}')::int, 0)" for n, known in PROFILE_LEVELS.items() for v in known}
 
@@ -136,11 +210,47 @@ def nearest_centre(t: Tables):
     return models.nearest_centre(t.wide_features, SEGMENT_FEATURES, CENTRES).select("ID", "segmento")
 
 
+_POINT = "[" + ", ".join(f"coalesce({f}, 0)" for f in SEGMENT_FEATURES) + "]"
+
+
+@query(
+    "segment_silhouette",
+    f"""WITH c AS (SELECT ID, segmento, x FROM (SELECT ID, {_POINT} AS x, list_position(d, list_min(d))::int - 1 AS segmento FROM (SELECT *, ["""
+    + ", ".join(
+        " + ".join(f"(coalesce({f}, 0) - {x}::double) * (coalesce({f}, 0) - {x}::double)" for f, x in zip(SEGMENT_FEATURES, centre))
+        for centre in CENTRES
+    )
+    + """] AS d FROM wide_features) w) v),
+    p AS (SELECT a.ID, a.segmento = b.segmento AS own, avg(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS m,
+        sum(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS s, count(*) AS n
+      FROM c a, c b GROUP BY a.ID, own, b.segmento),
+    q AS (SELECT ID, max(s / (n - 1)) FILTER (own AND n > 1) AS a, min(m) FILTER (NOT own) AS b FROM p GROUP BY ID)
+    SELECT count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silueta FROM q""",
+)
+def segment_silhouette(t: Tables):
+    """Silhouette of the segments around fixed centres; the twin pairs all rows."""
+    found = models.nearest_centre(t.wide_features, SEGMENT_FEATURES, CENTRES)
+    return rounded(models.silhouette(found, SEGMENT_FEATURES, "segmento"), "silueta")
+
+
+def _observed_events(name: str, flag: str) -> str:
+    events = f"(count(*) FILTER (event = 1 AND {flag} = 1))::double"
+    return f"SELECT '{name}' AS variable, {events} AS observado, {events} AS ajustado FROM valid"
+
+
+@query("hazard_balance", " UNION ALL ".join(_observed_events(n, sql) for n, sql in _FLAGS.items()))
+def hazard_balance(t: Tables):
+    """Cancellations per profile level, as they came and as the logistic monthly hazard expects them."""
+    lived = models.person_months(clean.valid_spells(profiles(t)), HAZARD_FEATURES)
+    fitted = models.with_hazard(models.fit_hazard_logit(lived, HAZARD_FEATURES), lived)
+    return rounded(models.balance(fitted, list(_FLAGS), "label", "peso", "hazard").where(F.col("variable") != models.INTERCEPT), "observado", "ajustado", digits=2)
+
+
 @query("discrete_hazard_fit")
 def discrete_hazard_fit(t: Tables):
     lived = models.person_months(clean.valid_spells(profiles(t)), HAZARD_FEATURES)
     model = models.fit_hazard(clean.valid_spells(profiles(t)), HAZARD_FEATURES)
-    fitted = model.transform(lived).withColumn("hazard", F.get(models.vector_to_array("probability"), F.lit(1)))
+    fitted = models.with_hazard(model, lived)
     weight = F.sum("peso")
     return fitted.groupBy(F.col("mes").cast("int").alias("mes")).agg(
         weight.alias("meses_persona"),
@@ -171,3 +281,16 @@ def profile_horizons(t: Tables):
 @query("cox_ph")
 def cox_ph(t: Tables):
     return models.fit_cox(clean.valid_spells(book(t)), COX_FEATURES)
+
+
+@query(
+    "cox_score",
+    f"SELECT unnest({list(COX_FEATURES)}) AS variable, 0.0::double AS gradiente, true AS converge, "
+    "(SELECT count(*) FILTER (event = 1) FROM valid) AS eventos",
+)
+def cox_score(t: Tables):
+    """The score of every input per event is 0 at the fitted coefficients."""
+    rows = clean.valid_spells(book(t))
+    events = rows.agg(F.sum(F.col("event").cast("bigint"))).scalar()
+    found = models.fit_cox(rows, COX_FEATURES).withColumn("eventos", events)
+    return rounded(found, "gradiente").select("variable", "gradiente", "converge", "eventos")

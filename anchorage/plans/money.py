@@ -237,8 +237,13 @@ _POINTS = """z AS (SELECT count(*) AS filas FROM active_ranked),
       UNION ALL SELECT n::bigint, filas FROM x) u WHERE k > 0 AND k <= filas)"""
 
 
-@query("profit_points", f"WITH {_POINTS.format(n=300)} SELECT k FROM points")
+@query("profit_points", f"WITH {_POINTS.format(n=PLAN.budget)} SELECT k FROM points")
 def profit_points(t: Tables):
+    return impact.curve_points(base(t), PLAN.budget)
+
+
+@query("profit_points_300", f"WITH {_POINTS.format(n=300)} SELECT k FROM points")
+def profit_points_300(t: Tables):
     return impact.curve_points(base(t), 300)
 
 

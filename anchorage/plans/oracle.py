@@ -11,9 +11,11 @@ import re
 from anchorage.plans.tables import (
     AGE_STAGES,
     CONTRIB_WEIGHTS,
+    CYCLES,
     INTERACTIONS,
     KINDS,
     MONTHS,
+    MORE_WEIGHTS,
     REGIONS,
     RISK_CUT,
 )
@@ -123,16 +125,23 @@ CTE["wide_features"] = """
       sum(n_pac)::double AS n_pac, sum(n_items - n_pac)::double AS n_pbs
     FROM orders LEFT JOIN items ON o_orderkey = l_orderkey GROUP BY o_custkey) u ON c_custkey = o_custkey"""
 
-_UNION = "\n  UNION ALL ".join(
-    f"SELECT ID, '{f}' AS feature, \"{f}\" AS feature_value, {w}::double AS w FROM wide_features"
-    for f, w in CONTRIB_WEIGHTS.items()
-)
-CTE["contrib"] = f"""
+CTE["more_features"] = "\n  SELECT *, " + ", ".join(f"(ID::bigint * {step} % 97) / 10.0::double AS {n}" for n, (step, _) in CYCLES.items()) + " FROM wide_features"
+
+
+def contributions(table: str, weights: dict[str, float]) -> str:
+    cells = "\n  UNION ALL ".join(
+        f"SELECT ID, '{f}' AS feature, \"{f}\" AS feature_value, {w}::double AS w FROM {table}" for f, w in weights.items()
+    )
+    return f"""
   SELECT ID, feature, feature_value,
     round(w * (feature_value - avg(feature_value) OVER (PARTITION BY feature)), 6) AS shap_value
-  FROM ({_UNION}) u"""
+  FROM ({cells}) u"""
+
 
+CTE["contrib"] = contributions("wide_features", CONTRIB_WEIGHTS)
 CTE["contrib_ok"] = "\n  SELECT * FROM contrib WHERE shap_value IS NOT NULL"
+CTE["more_contrib"] = contributions("more_features", MORE_WEIGHTS)
+CTE["more_contrib_ok"] = "\n  SELECT * FROM more_contrib WHERE shap_value IS NOT NULL"
 
 CTE["complaints"] = """
   SELECT user_id::varchar AS AFILIADO_ID_EPS, ts, event_type AS tipo, value FROM events"""

@@ -38,13 +38,25 @@ def mean_risk_by_level(t: Tables):
     return rounded(risk.risk_by_level(t.spells, "NIVEL_INGRESO"), "riesgo", "riesgo_global")
 
 
+_DRAWS = " + ".join(f"(x >= {cut})::int" for cut in risk.POISSON_CUTS)
+
+
 @query(
     "risk_by_value",
-    f"""SELECT EDAD_FECHA_FIN AS valor, round(avg({R}), 6) AS riesgo, count(*) AS n,
-      round(stddev_samp({R}) / sqrt(count(*)), 6) AS error FROM spells GROUP BY 1""",
+    f"""WITH base AS (SELECT EDAD_FECHA_FIN AS valor, {R} AS r, spell_id AS id
+      FROM spells WHERE EDAD_FECHA_FIN IS NOT NULL AND {R} IS NOT NULL),
+    start AS (SELECT valor, r, rep, ('0x' || substr(md5(id || '|' || rep), 1, 8))::bigint AS x
+      FROM base, (SELECT unnest(range(1, {risk.REPLICATES} + 1)) AS rep)),
+    drawn AS (SELECT valor, rep, r, {_DRAWS} AS w FROM start),
+    means AS (SELECT valor, rep, sum(w * r) / sum(w) AS m FROM drawn WHERE w > 0 GROUP BY 1, 2),
+    band AS (SELECT valor, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY 1),
+    curve AS (SELECT EDAD_FECHA_FIN AS valor, round(avg({R}), 6) AS riesgo, count(*) AS n,
+      round(stddev_samp({R}) / sqrt(count(*)), 6) AS error FROM spells GROUP BY 1)
+    SELECT valor, riesgo, n, error, round(lo, 5) AS banda_inf, round(hi, 5) AS banda_sup FROM curve LEFT JOIN band USING (valor)""",
 )
 def risk_by_value(t: Tables):
-    return rounded(risk.risk_curve(t.spells, "EDAD_FECHA_FIN"), "riesgo", "error")
+    found = rounded(risk.risk_curve_with_band(t.spells, "EDAD_FECHA_FIN", "spell_id"), "riesgo", "error")
+    return rounded(found, "banda_inf", "banda_sup", digits=5)
 
 
 @query(

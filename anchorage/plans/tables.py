@@ -34,6 +34,10 @@ CONTRIB_WEIGHTS = {
     "CONST_BIN": 0.4,
 }
 
+#: Further numeric inputs, cyclic in the customer key, half of them pushing each way.
+CYCLES = {f"CYCLE_{step}": (step, (-1) ** i * (0.02 + 0.005 * i)) for i, step in enumerate((3, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61))}
+MORE_WEIGHTS = CONTRIB_WEIGHTS | {name: weight for name, (_, weight) in CYCLES.items()}
+
 
 def pick(index, *levels):
     return F.get(F.array(*map(F.lit, levels)), index.cast("int"))
@@ -224,6 +228,12 @@ class Tables:
             F.lit(1.0).alias("CONST_BIN"),
         )
 
+    @cached_property
+    def more_features(self) -> DataFrame:
+        """The numeric inputs and sixteen more, beyond what a chart of twenty or a list of seven shows."""
+        key = F.col("ID").cast("bigint")
+        return self.wide_features.select("*", *[((key * step % 97) / F.lit(10.0)).alias(n) for n, (step, _) in CYCLES.items()])
+
     @cached_property
     def complaints(self) -> DataFrame:
         """Web events read as interactions: an error plays the complaint."""

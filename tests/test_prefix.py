@@ -1,14 +1,15 @@
 """Prefix operators, bins and pair counts against brute force, on skewed rows."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from anchorage.operators import bins, checks, impact, integrate, survival
+from anchorage.operators import bins, checks, impact, integrate, risk, survival
 from anchorage.operators.explain import sample_by_group, scale01
-from anchorage.operators.prefix import exact_quantiles, ranked, top_n
+from anchorage.operators.prefix import at_places, exact_quantiles, piece_bits, pruned, ranked, running_before, top_n
 from anchorage.session import lookup_join, scratch_path, shared_folder
 
 
@@ -262,3 +263,87 @@ def test_top_n_reaches_rows_without_a_score(spark):
     got = top_n(df, 2000, "s", "id").collect()
     assert len(got) == 2000 and sum(r.s is None for r in got) == 500
     assert sorted(r.s for r in top_n(df, 1200, "s", "id").collect()) == [0.0] * 200 + [1.0] * 500 + [2.0] * 500
+
+
+def test_top_n_by_every_way_on_ties_and_missing_scores(spark, monkeypatch):
+    draw = random.Random(2)
+    rows = [(i, draw.choice([0.5, 0.5, round(draw.random(), 3), None, float("nan") if i % 50 == 0 else 0.5])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, s double").repartition(9)
+    high = lambda s: (s is None, 0 if s is None else (-math.inf if math.isnan(s) else -s))
+    want = [r[0] for r in sorted(rows, key=lambda r: (*high(r[1]), md5_bits(r[0]), r[0]))]
+    monkeypatch.setattr("anchorage.operators.prefix.PAGE", 10)
+    for large in (10**6, 10):
+        monkeypatch.setattr("anchorage.operators.prefix.LARGE_PAGE", large)
+        for n in (11, 300, 1500, 3900, 5000):
+            assert {r.id for r in top_n(df, n, "s", "id").collect()} == set(want[:n]), (large, n)
+
+
+def test_the_bound_prunes_rows_and_loses_none(spark):
+    df = spark.range(100_000).select("id", (F.col("id") * 7919 % 100_000 / 100_000).alias("s"))
+    left = pruned(df, 2_000, "s").count()
+    assert 2_000 <= left < 3_500
+    assert pruned(df, 10**6, "s").count() == 100_000
+    assert pruned(df.where("id < 0"), 5, "s").count() == 0
+    plan = top_n(df, 2_000, "s", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "Subquery" in plan
+
+
+def test_places_find_their_rows(spark):
+    draw = random.Random(4)
+    values = [0.3 if draw.random() < 0.4 else round(draw.random(), 2) for _ in range(2500)]
+    counts = spark.createDataFrame([(v,) for v in values], "v double").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    run = running_before(counts, "v", ["n"], descending=True, pieces=True)
+    wanted = spark.createDataFrame([(k, k % 7) for k in (0, 1, 24, 25, 26, 700, 1300, 2498, 2499)], "k long, v2 long")
+    got = {r.k: r.v for r in at_places(run, "n_before", wanted, "k", piece_bits(counts)).collect()}
+    order = sorted(values, reverse=True)
+    assert got == {k: order[k] for k in got} and len(got) == 9
+
+
+def test_sketches_of_nothing(spark):
+    none = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert exact_quantiles(none.where("v is null"), F.col("v"), [0.5]).first().q == [None]
+    assert ranked(none.withColumn("id", F.monotonically_increasing_id()), "v", "id").count() == 2
+
+
+def test_bootstrap_band_equals_the_same_draws_in_python(spark):
+    import hashlib
+
+    draw = random.Random(7)
+    rows = [(i, "abc"[i % 3] if i % 10 else None, None if i % 17 == 0 else draw.random()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g string, Riesgo_Calculado double")
+    got = {r.valor: (r.banda_inf, r.banda_sup) for r in risk.bootstrap_band(df, "g", "id", 60).collect()}
+    for g in "abc":
+        means = []
+        for rep in range(1, 61):
+            total = weight = 0
+            for i, h, r in rows:
+                if h == g and r is not None:
+                    bits = int(hashlib.md5(f"{i}|{rep}".encode()).hexdigest()[:8], 16)
+                    w = sum(bits >= cut for cut in risk.POISSON_CUTS)
+                    total, weight = total + w * r, weight + w
+            means.append(total / weight)
+        assert got[g] == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+
+
+def test_window_counts_keep_every_spell(spark):
+    spells = [("a", 1, "2024-01-05", "2024-01-10"), ("a", 1, "2024-01-05", "2024-01-10"), ("a", 2, "2024-01-10", None), (None, 3, "2024-01-01", "2024-02-01")]
+    spells += [("b", 4, None, "2024-01-10"), ("c", 5, "2024-01-10", "2024-01-01")]
+    s = spark.createDataFrame(spells, "AFILIADO_ID_EPS string, Q_PAC int, i string, f string").select(
+        "AFILIADO_ID_EPS", "Q_PAC", F.col("Q_PAC").alias("nr"), F.to_date("i").alias("FECHA_INICIO"), F.to_date("f").alias("FECHA_FIN")
+    )
+    events = [("a", "2024-01-05"), ("a", "2024-01-10"), ("a", "2024-01-11"), ("a", "2024-01-04"), (None, "2024-01-05"), ("a", None), ("c", "2024-01-05")]
+    e = spark.createDataFrame(events, "AFILIADO_ID_EPS string, d string").select("AFILIADO_ID_EPS", F.to_date("d").alias("fecha"), F.lit("Q").alias("tipo"), F.lit("PAC").alias("plan"))
+    got = sorted((r.nr, r.Q_PAC) for r in integrate.counts_in_window(s, e, ["Q"], ["PAC"], F.col("FECHA_FIN")).collect())
+    assert got == [(1, 2), (1, 2), (2, 0), (3, 0), (4, 0), (5, 0)]
+
+
+def test_c_index_over_several_digits(spark):
+    draw = random.Random(13)
+    rows = [(draw.randint(1, 9), draw.randint(0, 1), draw.random() if i % 4 else 0.5) for i in range(1500)]
+    t, e, r = (np.array(x) for x in zip(*rows, strict=True))
+    later = (t[:, None] < t[None, :]) & (e[:, None] == 1)
+    want = (later & (r[:, None] > r[None, :])).sum(), (later & (r[:, None] == r[None, :])).sum(), later.sum()
+    got = survival.c_index(spark.createDataFrame(rows, "t int, e int, r double"), "t", "e", "r").first()
+    assert (got.concordantes, got.empates, got.comparables) == tuple(map(float, want))
+    assert survival.c_index(spark.createDataFrame(rows[:1], "t int, e int, r double"), "t", "e", "r").first().c_index is None
+    assert survival.c_index(spark.createDataFrame([], "t int, e int, r double"), "t", "e", "r").first().comparables == 0.0

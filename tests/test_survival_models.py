@@ -195,3 +195,94 @@ def test_cox_tells_whether_it_converged(spark):
     df = spark.createDataFrame(rows, "t_m double, event int, x double")
     assert models.fit_cox(df, ["x"]).first().converge
     assert not models.fit_cox(df, ["x"], steps=1).first().converge
+
+
+def test_cox_does_not_converge_where_an_input_separates_the_events(spark):
+    rows = [(float(i + 1), 1, 40.0 - i) for i in range(30)] + [(float(40 + i), 0, 0.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "t_m double, event int, x double")
+    found = models.fit_cox(df, ["x"]).first()
+    assert not found.converge and found.pasos < 50 and math.isfinite(found.coef)
+
+
+def test_cox_halves_a_step_that_goes_too_far(spark):
+    draw = random.Random(3)
+    # A few extreme inputs make the first Newton step overshoot.
+    rows = [(draw.expovariate(1.0) + 0.01, 1, draw.choice([0.0, 0.0, 0.1, 60.0])) for _ in range(150)]
+    rows = [(t / (1 + x), e, x) for t, e, x in rows]
+    df = spark.createDataFrame(rows, "t_m double, event int, x double")
+    found = models.fit_cox(df, ["x"]).first()
+    assert found.converge and abs(found.gradiente) < 1e-8
+
+
+def test_cox_with_nobody(spark):
+    df = spark.createDataFrame([], "t_m double, event int, x double")
+    assert models.fit_cox(df, ["x"]).first().coef == 0.0
+
+
+def test_gbt_stops_at_the_least_loss(spark):
+    draw = random.Random(6)
+    rows = [(i, x := draw.random(), int(draw.random() < x), draw.random()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, x double, y int, noise double")
+    curve = models.stopping_curve(df, ["x", "noise"], "y", "id", 25).orderBy("arboles").collect()
+    losses = [r.perdida for r in curve]
+    assert [r.arboles for r in curve] == list(range(1, 26))
+    assert [i for i, r in enumerate(curve) if r.elegido] == [losses.index(min(losses))]
+    # The loss of the first trees, from the trees themselves.
+    held = models.boosting_rows(df, ["x", "noise"], "y", "id")
+    model = models.boosted_trees("y", 3).fit(held.where(~F.col("valida")))
+    margin = np.zeros(held.where("valida").count())
+    y = np.array([r.y for r in held.where("valida").select("y").collect()]) * 2 - 1
+    w = np.array([r.peso for r in held.where("valida").select("peso").collect()])
+    for k, tree in enumerate(model.trees):
+        told = tree.transform(held.where("valida").drop("prediction", "leafId")).collect()
+        margin += model.treeWeights[k] * np.array([r.prediction for r in told])
+        plain = np.mean(2 * np.log1p(np.exp(-2 * y * margin)))
+        weighted = np.average(2 * np.log1p(np.exp(-2 * y * margin)), weights=w)
+        assert min(abs(plain - losses[k]), abs(weighted - losses[k])) < 1e-6
+
+
+def test_score_equations_hold_for_a_weighted_logit(spark):
+    draw = random.Random(8)
+    rows = [(i, x := draw.gauss(0, 1), draw.gauss(5, 3), int(draw.random() < 1 / (1 + math.exp(-x)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, y int")
+    weighted = models.with_class_weight(df, "y")
+    scored = models.score(models.fit_logit(df, ["x", "z"], "y"), weighted, ["x", "z"], ["y", "peso", "x", "z"])
+    found = models.balance(scored, ["x", "z"], "y", "peso", "Probabilidad").collect()
+    assert [r.variable for r in found] == [models.INTERCEPT, "x", "z"]
+    assert all(r.observado == pytest.approx(r.ajustado, abs=1e-4) for r in found)
+
+
+def test_silhouette_equals_the_pairs(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice("abc"), draw.gauss(0, 1), None if i % 9 == 0 else draw.gauss(0, 2)) for i in range(90)] + [("alone", 9.0, 9.0), (None, 1.0, 1.0)]
+    got = models.silhouette(spark.createDataFrame(rows, "g string, x double, y double"), ["x", "y"], "g").first()
+    points = [(g, np.array([x, y or 0.0])) for g, x, y in rows if g]
+    values = []
+    for i, (g, p) in enumerate(points):
+        away = {}
+        for j, (h, q) in enumerate(points):
+            if i != j:
+                away.setdefault(h, []).append(((p - q) ** 2).sum())
+        means = {h: np.mean(v) for h, v in away.items()}
+        a, b = means.get(g), min(v for h, v in means.items() if h != g)
+        values.append(0.0 if a is None else (b - a) / max(a, b))
+    assert got.n == 91 and got.silueta == pytest.approx(np.mean(values))
+    assert models.silhouette(spark.createDataFrame([("a", 1.0), ("a", 2.0)], "g string, x double"), ["x"], "g").first().silueta == 0.0
+
+
+def test_centres_are_the_means_of_their_rows(spark):
+    draw = random.Random(12)
+    df = spark.createDataFrame([(draw.gauss(i % 3 * 4, 1), draw.random()) for i in range(300)], "x double, y double")
+    assert all(r.desvio < 1e-9 and r.filas == 300 for r in models.centre_gaps(df, ["x", "y"], 3).collect())
+
+
+def test_profiles_that_lack_different_fields_are_scored_apart(spark):
+    rows = [(1, None, 1.0), (2, 1.0, None), (3, None, 1.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    keys = df.select("id", F.to_json(F.array(F.col("a").cast("string"), F.col("b").cast("string"))).alias("k")).collect()
+    assert keys[0].k == keys[2].k != keys[1].k
+
+
+def test_the_two_policy_forms_have_their_own_spellings(spark):
+    df = spark.createDataFrame([("Y", "Y"), (None, "true"), (None, "FALSE"), ("n", "SI"), ("TRUE", None)], "POLIZA_BIN string, POLIZA string")
+    assert [r.POLIZA_BIN for r in models.encode_profiles(df).select("POLIZA_BIN").collect()] == [1.0, 1.0, 0.0, 0.0, -1.0]
