@@ -8,7 +8,6 @@ foreign words do not break a span. The document's language covers most letters.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,7 +48,6 @@ SCRIPT_STARTS = (
 SCRIPTS = sorted({s for _, s in SCRIPT_STARTS})
 _STARTS = np.array([s for s, _ in SCRIPT_STARTS])
 _SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in SCRIPT_STARTS])
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def scripts_of(codes: np.ndarray) -> np.ndarray:
@@ -58,8 +56,8 @@ def scripts_of(codes: np.ndarray) -> np.ndarray:
 
 
 def letters_of(unit: str) -> str:
-    """The letters of a white-space-delimited unit, in lower case."""
-    return unit.lower() if unit.isalpha() else "".join(_LETTERS.findall(unit)).lower()
+    """The letters of a white-space-delimited unit, in lower case; numerals such as ``½`` are none."""
+    return unit.lower() if unit.isalpha() else "".join(filter(str.isalpha, unit)).lower()
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

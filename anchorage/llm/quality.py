@@ -214,15 +214,16 @@ v AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM r, (SELECT unn
 raw AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
         WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
-tidy AS (SELECT doc_id, source, trim(line) AS line FROM (
-           SELECT doc_id, source, unnest(string_split(regexp_replace(
-             translate(text, '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), chr(10))) AS line
-           FROM d) WHERE trim(line) <> ''),
-k AS (SELECT doc_id, source, ('0x' || left(md5(line), 15))::BIGINT AS line, len(string_split(line, ' ')) AS n FROM tidy),
-l AS (SELECT doc_id, list_sort(list_distinct(list(line))) AS least FROM k GROUP BY doc_id),
-f AS (SELECT source, line, count(DISTINCT coalesce(CASE WHEN line = least[1] THEN least[2] ELSE least[1] END, -1)) AS n
-      FROM k JOIN l USING (doc_id) GROUP BY source, line),
-h AS (SELECT source, greatest({MIN_DOCUMENTS}, {HOST_SHARE} * count(*)) AS most FROM d GROUP BY source),
+tidy AS (SELECT doc_id, source, trim(line) AS line, place FROM (
+           SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM (
+             SELECT doc_id, source, string_split(regexp_replace(
+               translate(text, '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), chr(10)) AS lines
+             FROM d)) WHERE trim(line) <> ''),
+k AS (SELECT doc_id, source, ('0x' || left(md5(line), 15))::BIGINT AS line, len(string_split(line, ' ')) AS n, place FROM tidy),
+l AS (SELECT d.doc_id, d.source, md5(coalesce(string_agg(line, ' ' ORDER BY place), '')) AS page
+      FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.source),
+f AS (SELECT k.source, line, count(DISTINCT page) AS n FROM k JOIN l USING (doc_id) GROUP BY k.source, line),
+h AS (SELECT source, greatest({MIN_DOCUMENTS}, {HOST_SHARE} * count(DISTINCT page)) AS most FROM l GROUP BY source),
 o AS (SELECT f.source, f.line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > h.most),
 x AS (SELECT k.doc_id, sum(k.n) AS n_boilerplate
       FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source AND k.line = o.line GROUP BY k.doc_id),

@@ -65,7 +65,8 @@ def languages(spark):
     draw = random.Random(3)
     rows = [(i, prose(draw, words, 40), lang, "z") for i in range(240) for lang, words in [(("en", EN), ("de", DE), ("ru", RU))[i % 3]]]
     mixed = prose(draw, EN, 30) + " " + prose(draw, DE, 12) + " " + prose(draw, EN, 20)
-    odd = [(1000, mixed, None, "z"), (1001, None, "en", "z"), (1002, "12 34 !!", "de", "z"), (None, prose(draw, DE, 20), "de", "z"), (1003, "日本語", None, "z"), (1004, "", "en", "z")]
+    numerals = [(1005, "² ½ ③", "en", "z"), (1006, "Ⅷ 12", "de", "z"), (1007, "½der ²und Ⅷ", "de", "z")]
+    odd = numerals + [(1000, mixed, None, "z"), (1001, None, "en", "z"), (1002, "12 34 !!", "de", "z"), (None, prose(draw, DE, 20), "de", "z"), (1003, "日本語", None, "z"), (1004, "", "en", "z")]
     return spark.createDataFrame(rows + odd + odd[:1], "doc_id long, text string, lang string, score string")
 
 
@@ -78,7 +79,8 @@ def test_languages_and_spans(languages):
     assert all(r["lang_pred"] == ("en", "de", "ru")[r["doc_id"] % 3] for r in held)
     assert [(s["lang"], s["first"], s["words"]) for s in named[1000]["spans"]] == [("en", 0, 30), ("de", 30, 12), ("en", 42, 20)]
     assert 0.5 < named[1000]["score"] < 1
-    for doc in (1001, 1002, 1004):
+    assert named[1007]["lang_pred"] == "de"
+    for doc in (1001, 1002, 1004, 1005, 1006):
         assert (named[doc]["lang_pred"], named[doc]["score"], named[doc]["spans"]) == ("und", 0.0, [])
     assert named[None]["lang_pred"] == "de" and not named[None]["held_out"]
     assert named[1003]["lang_pred"] in ("en", "de", "ru")
