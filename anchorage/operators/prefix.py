@@ -26,7 +26,7 @@ MERGERS = 64
 #: Size of the sketch that bounds the n-th score: its ranks are off by about one row in TOP_SKETCH / 4.
 TOP_SKETCH = 4_096
 #: The top shares at which that sketch is read, each smaller than the one before by an eighth of a power of two.
-TOP_SHARES = [2 ** (-j / 8) for j in range(1, 8 * 40)]
+TOP_SHARES = [2 ** (-j / 8) for j in range(1, 8 * 10)]
 
 
 def piece_bits(df: DataFrame) -> int:

@@ -19,7 +19,7 @@ HORIZONS = (1, 3, 6, 12, 18, 24)
 MONTHS = 120
 
 #: Bits of a digit of a rank in the concordance.
-RANK_BITS = 5
+RANK_BITS = 4
 
 # Months tested, in order, and the group each one leads to.
 TRIGGERS = ((3, "CRITICO"), (6, "ALTO"), (12, "ESTRATEGIA_PROACTIVA"))
@@ -145,11 +145,11 @@ def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """Harrell's concordance of any real risk with time; rows that lack one of the three take no part.
 
     Pairs are counted, never formed. Each risk becomes its dense rank, written in digits
-    of base 32. Two different ranks first differ in one digit, so each comparable pair
+    of base 16. Two different ranks first differ in one digit, so each comparable pair
     meets in exactly one group (level of that digit, digits above it); there only the
     counts per digit and distinct time matter, cumulated over times (the calendar bounds
-    them). A cell is copied once per digit: twice for up to 1,024 distinct risks, four
-    times for a million. Ties are the pairs with equal last digits, and at the highest
+    them). A cell is copied once per digit: three times for up to 4,096 distinct risks, five
+    times for a million, and copies are summed before the shuffle. Ties are the pairs with equal last digits, and at the highest
     digit all pairs meet.
     """
     r = F.col(risk).cast("double")
@@ -171,16 +171,14 @@ def c_index(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
         F.expr(f"cast(shiftright(r, level * {RANK_BITS}) & {len(digits) - 1} as int)").alias("digit"),
         F.expr(f"shiftright(r, (level + 1) * {RANK_BITS})").alias("prefix"),
     )
-    here = lambda k, v: F.coalesce(F.sum(F.when(F.col("digit") == k, v)), F.lit(0))
-    sums = placed.groupBy("level", "top", "prefix", "t").agg(
-        *[here(k, F.col("n")).alias(f"n{k}") for k in digits], *[here(k, F.col("n") * F.col("e")).alias(f"e{k}") for k in digits]
-    )
-    later = Window.partitionBy("level", "top", "prefix").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    after = sums.select(
+    counts = [f"coalesce(sum(case when digit = {k} then {v} end), 0) as {n}{k}" for n, v in (("n", "n"), ("e", "n * e")) for k in digits]
+    sums = placed.groupBy("level", "top", "prefix", "t").agg(*map(F.expr, counts))
+    later = "over (partition by level, top, prefix order by t desc rows between unbounded preceding and 1 preceding)"
+    after = sums.selectExpr(
         "level",
         "top",
-        F.array(*[F.col(f"e{k}").cast("double") for k in digits]).alias("e"),
-        F.array(*[F.coalesce(F.sum(f"n{k}").over(later), F.lit(0)).cast("double") for k in digits]).alias("n"),
+        f"array({', '.join(f'cast(e{k} as double)' for k in digits)}) as e",
+        f"array({', '.join(f'cast(coalesce(sum(n{k}) {later}, 0) as double)' for k in digits)}) as n",
     )
     zero = F.lit(0.0)
     # The counts of all digits below each one.
