@@ -1,9 +1,11 @@
 """Edit-aware token counts.
 
-A document keeps a segment tree over leaves of consecutive pre-token units, with
-the characters and tokens of every subtree. An edit finds its leaves by character
-sums, re-encodes only these, widened until both ends are places where the encoding
-may be cut, and updates the sums above them. Counts equal a full recount.
+A document keeps a segment tree over leaves of consecutive pre-token units, with the
+characters and tokens of every subtree. The trees are a table: a row holds a text and the
+characters and tokens of its leaves, from which the sums follow without encoding. An edit
+finds its leaves by character sums, re-encodes only these, widened until both ends are
+places where the encoding may be cut, and updates the sums above them; leaves that grew
+are split. The next batch of edits starts from the kept leaves. Counts equal a full recount.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import mapped, table
+from anchorage.llm.common import mapped, staged, table
 from anchorage.llm.tokens import Encoder, encoder, public_path, units
 
 LEAF_UNITS = 32
 REMOVED = 12
+EDITS = "array<struct<start:bigint,removed:bigint,inserted:string>>"
 
 
 def safe_cut(text: str, at: int) -> bool:
@@ -31,6 +34,7 @@ class Tree:
     """Characters and tokens of the leaves, with sums in heap order from node 1."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
+        self.leaves = len(chars)
         self.size = 1 << max(0, (len(chars) - 1).bit_length())
         pad = [0] * (self.size - len(chars))
         self.chars, self.tokens = [0] * self.size + chars + pad, [0] * self.size + tokens + pad
@@ -51,6 +55,11 @@ class Tree:
                 node += 1
         return node - self.size, start
 
+    def kept(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves."""
+        end = self.size + self.leaves
+        return self.chars[self.size : end], self.tokens[self.size : end]
+
     def put(self, leaf: int, chars: int, tokens: int) -> None:
         node = self.size + leaf
         self.chars[node], self.tokens[node] = chars, tokens
@@ -59,13 +68,18 @@ class Tree:
             self._sum(node)
 
 
+def leaves_of(parts: list[str], own: Encoder, count: int) -> tuple[list[int], list[int]]:
+    """Characters and tokens of ``count`` leaves over the units of a text, at least one."""
+    tokens = [len(ids) // 4 for ids in own.unit_ids(parts)]
+    cuts = [len(parts) * k // count for k in range(count + 1)]
+    spans = list(zip(cuts, cuts[1:]))
+    return [sum(map(len, parts[a:b])) for a, b in spans], [sum(tokens[a:b]) for a, b in spans]
+
+
 def planted(text: str, own: Encoder) -> Tree:
     """The tree of a text."""
     parts = units(text)
-    counts = [len(ids) // 4 for ids in own.unit_ids(parts)]
-    sizes = [len(p) for p in parts]
-    firsts = range(0, max(len(parts), 1), LEAF_UNITS)
-    return Tree([sum(sizes[a : a + LEAF_UNITS]) for a in firsts], [sum(counts[a : a + LEAF_UNITS]) for a in firsts])
+    return Tree(*leaves_of(parts, own, max(1, -(-len(parts) // LEAF_UNITS))))
 
 
 def edited(text: str, tree: Tree, start: int, removed: int, inserted: str, own: Encoder) -> tuple[str, int]:
@@ -86,50 +100,97 @@ def edited(text: str, tree: Tree, start: int, removed: int, inserted: str, own:
         last, b = tree.leaf_at(end)
         end = b + tree.chars[tree.size + last]
     part = new[a : end + shift]
-    count = sum(len(ids) // 4 for ids in own.unit_ids(units(part)))
-    for leaf in range(first, last + 1):
-        tree.put(leaf, len(part) if leaf == first else 0, count if leaf == first else 0)
+    parts, slots = units(part), last - first + 1
+    count = max(1, -(-len(parts) // LEAF_UNITS))
+    if len(parts) <= 2 * LEAF_UNITS * slots:
+        count = min(count, slots)
+    sizes, tokens = leaves_of(parts, own, count)
+    if count <= slots:
+        for k in range(slots):
+            tree.put(first + k, *((sizes[k], tokens[k]) if k < count else (0, 0)))
+    else:
+        chars, counts = tree.kept()
+        chars[first : last + 1], counts[first : last + 1] = sizes, tokens
+        tree.__init__(chars, counts)
     return new, len(part)
 
 
+LEAVES = "leaf_chars array<int>, leaf_tokens array<int>"
 COUNTS = "doc_id long, n_tokens long, n_edits int, edited_chars long, edited_tokens long, encoded_chars long, leaves int"
 
 
-def recount(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Token counts before and after the edits of each row of ``docs``.
+def columns_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def plant(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, text, edits, leaf_chars, leaf_tokens): the tree of every row of ``docs``, encoded once.
+
+    Columns: doc_id, text and, if there are any, edits. A null text is empty; a null doc_id
+    stays null, repeated rows give equal rows, other columns are ignored, and an empty table
+    gives no rows.
+    """
+    edits = F.col("edits") if "edits" in docs.columns else F.array().cast(EDITS)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), edits.cast(EDITS).alias("edits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer)
+        for batch in batches:
+            kept = [planted(text, own).kept() for text in batch.column(1).to_pylist()]
+            leaves = [pa.array([k[i] for k in kept], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *leaves], names=[*rows_names, *columns_of(LEAVES)])
+
+    rows_names = rows.columns
+    return mapped(rows, run, f"doc_id long, text string, edits {EDITS}, {LEAVES}")
+
 
-    Columns: doc_id, text, edits array<struct<start, removed, inserted>>, applied in
-    order. A null text is empty, null edits are none, null parts of an edit are 0 and
-    empty; a null doc_id stays null, repeated rows give equal rows, other columns are
-    ignored, and an empty table gives no rows.
+def apply_edits(trees: DataFrame, tokenizer: str) -> DataFrame:
+    """Trees after the edits of each row of ``trees``, with token counts before and after.
+
+    Columns: doc_id, text, leaf_chars, leaf_tokens, as ``plant`` or an earlier call gives
+    them, and edits array<struct<start, removed, inserted>>, applied in order. Only the
+    leaves that an edit touches and their context are encoded; ``encoded_chars`` tells how
+    much that was. Null edits are none, null parts of an edit are 0 and empty. Rows without
+    edits keep their leaves; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
             out = []
-            for doc, text, edits in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text, edits = text or "", edits or []
-                tree = planted(text, own)
+            for doc, text, chars, tokens, edits in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                tree = Tree(chars, tokens)
                 before, encoded = tree.tokens[1], 0
-                for edit in edits:
+                for edit in edits or []:
                     text, n = edited(text, tree, edit["start"] or 0, edit["removed"] or 0, edit["inserted"] or "", own)
                     encoded += n
-                out.append((doc, before, len(edits), len(text), tree.tokens[1], encoded, tree.size))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                kept = tree.kept()
+                out.append((doc, before, len(edits or []), len(text), tree.tokens[1], encoded, len(kept[0]), text, *kept))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            kinds += [pa.list_(pa.int32())] * 2
             columns = list(zip(*out)) or [[]] * len(kinds)
-            names = [c.split()[0] for c in COUNTS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=columns_of(after))
+
+    after = f"{COUNTS}, text string, {LEAVES}"
+    return mapped(trees.select("doc_id", "text", *columns_of(LEAVES), F.col("edits").cast(EDITS)), run, after)
 
-    return mapped(docs.select("doc_id", "text", "edits"), run, COUNTS)
+
+def recount(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Token counts before and after the edits of each row of ``docs`` (doc_id, text, edits), as ``plant`` and ``apply_edits`` take them."""
+    return apply_edits(plant(docs, tokenizer), tokenizer).select(*columns_of(COUNTS))
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     """Every document with two edits of its own: a stretch replaced by its source's
-    name at a place drawn by its id, and its language appended."""
+    name at a place drawn by its id, and its language appended. The trees are planted and
+    written first; the edits are applied to the written trees."""
     docs = table(spark, sf_dir, "documents")
     place = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.length("text") + 1).cast("long")
-    kind = "struct<start:bigint,removed:bigint,inserted:string>"
-    swap = F.struct(place.alias("start"), F.lit(REMOVED).cast("long").alias("removed"), F.col("source").alias("inserted")).cast(kind)
-    add = F.struct(F.length("text").cast("long") * 2 + 1, F.lit(0).cast("long"), F.concat(F.lit(" "), F.col("lang"))).cast(kind)
-    return recount(docs.withColumn("edits", F.array(swap, add)), public_path())
+    swap = F.struct(place.alias("start"), F.lit(REMOVED).cast("long").alias("removed"), F.col("source").alias("inserted"))
+    add = F.struct(
+        (F.length("text").cast("long") * 2 + 1).alias("start"),
+        F.lit(0).cast("long").alias("removed"),
+        F.concat(F.lit(" "), F.col("lang")).alias("inserted"),
+    )
+    trees = staged(plant(docs.withColumn("edits", F.array(swap, add)), public_path()), "trees")
+    return apply_edits(trees, public_path()).select(*columns_of(COUNTS))

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from anchorage.llm import nearest, recount
+from anchorage.llm.common import staged
 from anchorage.llm.tokens import encoder, public_path
 
 ROWS = "vec_id long, embedding array<float>, score double"
@@ -87,6 +88,43 @@ def test_only_touched_leaves_are_encoded():
     assert n < 500
 
 
+def test_a_second_batch_starts_from_the_kept_trees(spark):
+    draw = random.Random(31)
+    own = encoder(public_path())
+    texts = ["some words in a row " * 3000, "", "short text", " a  b\n" * 900, "x" * 5000]
+    edits = lambda n: [(draw.randint(0, 70_000), draw.randint(0, 9), draw.choice(["new", " two words", "", "\n"])) for _ in range(n)]
+    kind = f"doc_id long, edits {recount.EDITS}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("leaf_chars", F.lit(1))
+    trees = recount.plant(docs, public_path()).drop("edits")
+    for _ in range(3):
+        batch = {doc: edits(4) for doc in range(len(texts))}
+        sent = spark.createDataFrame([(d, e) for d, e in batch.items()], kind)
+        trees = staged(recount.apply_edits(trees.join(sent, "doc_id"), public_path()), "edited")
+        for row in trees.collect():
+            text = texts[row["doc_id"]]
+            for start, removed, inserted in batch[row["doc_id"]]:
+                start = min(start, len(text))
+                text = text[:start] + inserted + text[start + removed :]
+            texts[row["doc_id"]] = text
+            assert row["text"] == text and row["edited_tokens"] * 4 == len(own.ids(text))
+            assert sum(row["leaf_tokens"]) == row["edited_tokens"] and sum(row["leaf_chars"]) == len(text)
+            if row["doc_id"] == 0:
+                assert row["encoded_chars"] < 4000
+        trees = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens")
+
+
+def test_leaves_that_grow_are_split():
+    own = encoder(public_path())
+    text = "some words " * 100
+    tree = recount.planted(text, own)
+    for k in range(60):
+        text, n = recount.edited(text, tree, 300 + 12 * k, 0, " more of it ", own)
+    text, n = recount.edited(text, tree, 500, 0, "many words " * 500, own)
+    text, n = recount.edited(text, tree, 600, 3, "x", own)
+    assert n < 1500 and max(tree.kept()[0]) < 1500
+    assert tree.tokens[1] * 4 == len(own.ids(text))
+
+
 def test_recount_rows(spark):
     rows = [(1, "one two three", [(4, 3, "2")]), (2, None, [(0, 9, "made"), (99, 1, " up")]), (3, "kept", None), (None, "", []), (None, "", [])]
     rows += [(4, "a b", [(None, None, None), (-5, -5, "z")])]
