@@ -159,8 +159,8 @@ def schedule(
     rank = F.col("nth") + F.col("start")
     at = ranked.select("row", "name", F.floor(rank / block).alias("block"), F.pmod(rank, F.lit(block)).cast("int").alias("place"))
 
-    # The plan has some 30 bytes a block.
-    at = at.withColumn("part", F.floor(F.col("block") / slots)).join(F.broadcast(blocks), ["name", "part"])
+    # The plan has some 30 bytes a block; Spark broadcasts it only below its size threshold.
+    at = at.withColumn("part", F.floor(F.col("block") / slots)).join(blocks, ["name", "part"])
     i = F.pmod("block", F.lit(slots)).cast("int")
     found = [F.get(c, i).alias(c) for c in ("phase", "release", "deadline", "slot")]
     return at.select("row", "block", *found, "place")

@@ -216,21 +216,45 @@ def left_over(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     return left.union(right).join(sets, "rep").groupBy("hub", "f", "m").applyInPandas(compare, "a long, b long")
 
 
+def text_classes(ids: DataFrame) -> DataFrame:
+    """(rep, doc, text, k1, k2), written: a number for every class of rows with the same words, its
+    smallest doc_id, and the text hash of one row with that id. Ids that are missing come last."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
+    found = ids.filter("n_shingles > 0").groupBy("k1", "k2").agg(least)
+    found = found.select(F.monotonically_increasing_id().alias("rep"), F.col("row.doc_id").alias("doc"), F.col("row.text_hash").alias("text"), "k1", "k2")
+    return staged(found, "classes")
+
+
+def chosen_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (doc_id, text_hash, ...) that stand for a class, found by id, missing ones included, and text."""
+    wanted = classes.select(F.col("doc").alias("_doc"), F.col("text").alias("_text"))
+    return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["text_hash"] == wanted["_text"]), "left_semi")
+
+
+def same_document(ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat a doc_id with other words."""
+    held = ids.filter("n_shingles > 0 and doc_id is not null")
+    key = F.struct("k1", "k2")
+    several = held.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low != high").select("doc_id", "low")
+    pairs = held.join(several, "doc_id").filter(F.col("low") != key).select("low", "k1", "k2").distinct()
+    a = classes.select(F.col("rep").alias("a"), F.struct("k1", "k2").alias("low"))
+    return pairs.join(a, "low").join(classes.select(F.col("rep").alias("b"), "k1", "k2"), ["k1", "k2"]).select("a", "b")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash.
 
-    Texts without words, null ones included, are linked with nothing. A row without
-    an id is linked only with rows of the same words and is kept only where none of
-    these has an id. Rows that repeat a doc_id count as one document; where their texts differ,
-    links are followed for one of them. Other columns are ignored; an empty table
-    gives no rows.
+    Texts without words, null ones included, are linked with nothing. Rows that repeat a
+    doc_id are one document, linked by each of its texts. Rows without an id are linked like
+    the others; their component is the smallest id among them all, if there is one, and they
+    are kept only where there is none. Other columns are ignored; an empty table gives no rows.
     """
     rows = staged(signatures(docs), "signatures")
     ids = rows.select("doc_id", "text_hash", "k1", "k2", "n_shingles")
-    classes = ids.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    chosen = classes.groupBy("rep").agg(F.min(F.struct("k1", "k2")).alias("key")).select("rep", "key.k1", "key.k2")
-    found = rows.filter("n_shingles > 0").select(F.col("doc_id").alias("rep"), "k1", "k2", "n_shingles", "hashes")
-    sketches = staged(found.join(chosen, ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep"]), "sketches")
+    classes = text_classes(ids)
+    numbered = classes.select("rep", "k1", "k2")
+    found = chosen_rows(rows.filter("n_shingles > 0"), classes).select("k1", "k2", "n_shingles", "hashes")
+    sketches = staged(found.join(numbered, ["k1", "k2"]).dropDuplicates(["rep"]).select("rep", "n_shingles", "hashes"), "sketches")
 
     listed = staged(postings(sketches), "postings")
     heads = listed.groupBy("value").agg(F.count("*").alias("members"), F.min("rep").alias("hub")).filter("members > 1")
@@ -239,20 +263,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     hot = lists.filter(F.col("members") > SHORT_LIST).select("rep")
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(hot).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    full = signatures(texts, full=True).withColumnRenamed("doc_id", "rep")
-    sets = full.join(chosen, ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep"]).select("rep", "hashes")
-    sets = staged(sets, "sets")
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"))
+    full = signatures(chosen_rows(hashed, classes.join(wanted, "rep", "left_semi")), full=True)
+    sets = staged(full.join(numbered, ["k1", "k2"]).dropDuplicates(["rep"]).select("rep", "hashes"), "sets")
 
-    first = staged(confirmed(pairs, sets), "links")
+    first = staged(confirmed(pairs, sets).unionByName(same_document(ids, classes)), "links")
     labels = components(first)
     more = staged(left_over(lists, labels, sets), "more")
     if not more.isEmpty():
         labels = components(first.union(more))
     discard(sketches, listed, pairs, sets, first, more)
 
-    labels = labels.select(F.col("node").alias("rep"), F.col("label"))
-    groups = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
+    linked = labels.withColumnRenamed("node", "rep").join(classes.select("rep", "doc"), "rep")
+    smallest = linked.groupBy("label").agg(F.min("doc").alias("least"))
+    named = linked.join(smallest, "label").select("rep", "least", F.lit(True).alias("linked"))
+    groups = classes.join(named, "rep", "left").select("k1", "k2", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc")).alias("component_id"))
     told = ids.join(groups, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)

@@ -100,6 +100,29 @@ def test_odd_rows(spark):
     assert len(alone) == 1 and alone[0]["kept"]
 
 
+def test_every_text_of_a_repeated_id_links(spark):
+    word = lambda i: f"v{i}"
+    x, y = [word(i) for i in range(46)], [word(100 + i) for i in range(46)]
+    near = lambda w: [*w[:43], "other", "end", "here"]
+    z = [word(300 + i) for i in range(46)]
+    rows = [(1, x), (1, y), (3, near(y)), (2, near(x)), (None, z), (None, near(z)), (None, near(x)), (9, [word(900 + i) for i in range(60)])]
+    a, b = set(shingles(words_of(" ".join(near(y)))).tolist()), set(shingles(words_of(" ".join(y))).tolist())
+    assert 85 <= 100 * len(a & b) / len(a | b) < 90
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(docs).collect()]
+    key = lambda r: (r[0] or -1, r[1] or -1, r[2])
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (None, None, True), (None, 1, False), (9, 9, True)]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_very_long_texts(spark):
+    draw = random.Random(6)
+    long = [f"u{draw.randint(0, 10**6)}" for _ in range(60_000)]
+    changed = [w if i % 2000 else "changed" for i, w in enumerate(long)]
+    docs = spark.createDataFrame([(4, " ".join(changed)), (2, " ".join(long)), (3, " ".join(long[:30_000]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs).collect()} == {4: 2, 2: 2, 3: 3}
+
+
 def test_empty_table(spark):
     assert near_dedup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
