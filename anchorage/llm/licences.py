@@ -3,10 +3,11 @@
 Paragraphs are the lines of a text. A multinomial logistic regression with a sparse
 penalty on hashed one- and two-word features names the licence family. ``unknown``
 is a class of its own, learned from corpus paragraphs that resemble no template, and
-is calibrated: a family needs a probability that hardly any unseen unknown paragraph
-reaches. A named family is confirmed by the three-word shingles that the paragraph
-shares with the family's template. Training reads a bounded sample; scoring, every
-paragraph.
+is calibrated: a family needs a probability that hardly any paragraph without a
+template's words reaches, counted over the whole corpus. A named family is confirmed by
+the three-word shingles that the paragraph shares with the family's template. Training
+reads a bounded sample; scoring and calibration, every paragraph. An expression of
+several licences is named only where one of them outweighs the others.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 from anchorage.llm.common import discard, staged, table
 from anchorage.llm.quality import UPPER, words_of
 
-#: Most corpus paragraphs that the fit and the calibration read together.
+#: Most corpus paragraphs that the fit reads.
 SAMPLE = 6_000
 FEATURES = 1 << 12
 UNKNOWN = "unknown"
-#: Share of unknown paragraphs that may reach the threshold, and its lowest value.
-MISTAKEN, LEAST = 0.001, 0.6
+#: Share of all paragraphs that may reach the threshold without a template's words, its lowest value, and its steps up to 1.
+MISTAKEN, LEAST, STEPS = 0.001, 0.6, 400
 CONFIRM = 0.6
 SHINGLE = 3
 SHORTEST = 4
@@ -33,52 +34,122 @@ SHORTEST = 4
 # Wording of licence notices, by family.
 TEMPLATES = {
     "apache-2.0": (
+        "Apache License, Version 2.0",
+        "Apache License Version 2.0, January 2004",
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "mit": (
+        "MIT License",
+        "The MIT License (MIT)",
         "Released under the MIT License.",
         "This project is licensed under the MIT License. See the LICENSE file for details.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
     ),
+    "isc": (
+        "ISC License",
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        "SPDX-License-Identifier: ISC",
+    ),
     "bsd": (
+        "BSD 2-Clause License",
+        "BSD 3-Clause License",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
         "Licensed under the BSD 3-Clause License.",
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "gpl": (
+        "GNU General Public License",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
         "Licensed under the GPL, version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "lgpl": (
+        "GNU Lesser General Public License",
+        "Licensed under the LGPL, version 2.1.",
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "agpl": (
+        "GNU Affero General Public License",
+        "Licensed under the AGPL, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "mpl-2.0": (
+        "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
+    "epl": (
+        "Eclipse Public License - v 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-1.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "This work is licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "cc-by-nc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
         "This work is licensed under CC BY-NC-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
     ),
     "public-domain": (
+        "The Unlicense",
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
+        "SPDX-License-Identifier: Unlicense",
+        "SPDX-License-Identifier: CC0-1.0",
     ),
     "reserved": (
         "All rights reserved.",
@@ -159,46 +230,71 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.filter(F.size("words") > 0)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LogisticRegressionModel, float]:
-    """The classifier and the probability that a family needs.
+def template_shingles() -> Column:
+    return F.array(*map(F.lit, sorted({s for found in family_shingles().values() for s in found})))
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> LogisticRegressionModel:
+    """The classifier.
 
     Unknown examples are paragraphs of hash-chosen documents that share no shingle
-    with a template; a third of them is kept for the calibration.
+    with a template.
     """
     spark = docs.sparkSession
     total = docs.select("doc_id").count()
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, sample / max(total, 1)) * (1 << 20))
-    known = sorted({s for found in family_shingles().values() for s in found})
-    plain = paragraphs(chosen).filter(F.size(F.array_intersect(shingles(F.col("words")), F.array(*map(F.lit, known)))) == 0)
-    plain = plain.withColumn("draw", F.xxhash64("text_hash", "at"))
-    plain = staged(plain.orderBy("draw", "doc_id").limit(sample).select("words", "draw"), "unknown")
-    held = F.pmod("draw", F.lit(3)) == 0
+    plain = paragraphs(chosen).filter(~F.arrays_overlap(shingles(F.col("words")), template_shingles()))
+    plain = plain.withColumn("draw", F.xxhash64("text_hash", "at")).orderBy("draw", "doc_id").limit(sample)
     taught = spark.createDataFrame(examples(), "words array<string>, label int")
-    rows = plain.filter(~held).select("words", F.lit(0).alias("label")).union(taught)
+    rows = plain.select("words", F.lit(0).alias("label")).union(taught)
     rows = staged(features(rows).select("features", F.col("label").cast("double").alias("label")).coalesce(4), "licence-examples")
     model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=25).fit(rows)
-    best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES) - 1))
-    seen = model.transform(features(plain.filter(held))).agg(F.percentile(best, 1 - MISTAKEN).alias("p")).first()["p"]
-    discard(plain, rows)
-    return model, max(LEAST, seen or 0.0)
+    discard(rows)
+    return model
 
 
-def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float) -> DataFrame:
+def threshold_of(scored: DataFrame, paragraphs_: int) -> float:
+    """The lowest probability from ``LEAST`` on that at most ``MISTAKEN`` of all paragraphs reach without a template's words.
+
+    ``scored`` holds (probability, strange) of the paragraphs that reach ``LEAST``; they are
+    counted in ``STEPS`` steps, so a row for each step comes back.
+    """
+    step = F.floor((F.col("probability") - LEAST) / (1 - LEAST) * STEPS).cast("int").alias("step")
+    counts = {r["step"]: r["n"] for r in scored.filter("strange").groupBy(step).agg(F.count("*").alias("n")).collect()}
+    above, found = 0, STEPS + 1
+    for k in range(STEPS, -1, -1):
+        above += counts.get(k, 0)
+        if above > MISTAKEN * paragraphs_:
+            break
+        found = k
+    return LEAST + (1 - LEAST) * found / STEPS
+
+
+def scan(docs: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_paragraphs, n_named, n_confirmed,
     families (sorted, confirmed), best_probability.
 
-    A null or empty text has no paragraphs. Repeated rows give equal rows, a null
-    doc_id stays null, other columns are ignored, and an empty table gives no rows.
+    A null or empty text has no paragraphs; a very long paragraph is one paragraph.
+    Repeated rows give equal rows, a null doc_id stays null, other columns are ignored,
+    and an empty table gives no rows.
     """
     chance = vector_to_array("probability")
     families = F.array(*map(F.lit, FAMILIES))
     scored = model.transform(features(paragraphs(docs)))
     scored = scored.select("doc_id", "text_hash", "at", "words", F.slice(chance, 2, len(FAMILIES) - 1).alias("chances"))
-    scored = scored.withColumn("probability", F.array_max("chances")).filter(F.col("probability") >= threshold)
+    scored = scored.withColumn("probability", F.array_max("chances")).filter(F.col("probability") >= LEAST)
     scored = scored.withColumn("class", F.array_position("chances", F.col("probability")).cast("int"))
     alike = F.get(resemblance(F.col("words"), family_shingles()), F.col("class"))
+    strange = ~F.arrays_overlap(shingles(F.col("words")), template_shingles())
+    scored = scored.select("doc_id", "text_hash", "at", "probability", "class", alike.alias("alike"), strange.alias("strange"))
+    scored = staged(scored, "licence-scores")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, " \t\x0b\x0c\r", "") != "")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.size(lines).alias("n_paragraphs"))
+    rows = staged(rows, "paragraph-counts")
+    threshold = threshold_of(scored, rows.agg(F.sum("n_paragraphs")).first()[0] or 0)
     named = (
-        scored.withColumn("alike", alike)
+        scored.filter(F.col("probability") >= threshold)
         .select("doc_id", "text_hash", "at", "probability", F.get(families, F.col("class")).alias("family"), (F.col("alike") >= CONFIRM).alias("sure"))
         .distinct()
         .groupBy("doc_id", "text_hash")
@@ -210,9 +306,6 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float) -> D
         )
         .withColumnsRenamed({"doc_id": "n_doc", "text_hash": "n_text"})
     )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, " \t\x0b\x0c\r", "") != "")
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.size(lines).alias("n_paragraphs"))
     same = rows["doc_id"].eqNullSafe(named["n_doc"]) & (rows["text_hash"] == named["n_text"])
     return rows.join(named, same, "left").select(
         "doc_id",
@@ -225,6 +318,6 @@ def scan(docs: DataFrame, model: LogisticRegressionModel, threshold: float) -> D
 
 
 def op3_licence_scan(spark, sf_dir: str) -> DataFrame:
+    """Licence families of every document of the whole table ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    model, threshold = train(docs)
-    return scan(docs, model, threshold).withColumn("families", F.array_join("families", ","))
+    return scan(docs, train(docs)).withColumn("families", F.array_join("families", ","))

@@ -121,9 +121,9 @@ def test_every_template_is_found_by_itself(spark):
     notices = [(family, n) for family, found in licences.TEMPLATES.items() for n in found]
     rows = [(i, "\n".join(prose(draw, EN, k) for k in (9, 2, 1, 9))) for i in range(150)]
     taught = spark.createDataFrame(rows, "doc_id long, text string")
-    model, threshold = licences.train(taught)
+    model = licences.train(taught)
     rows += [(1000 + k, n) for k, (_, n) in enumerate(notices)]
-    told = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model, threshold).collect()}
+    told = {r["doc_id"]: r["families"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert [(n, told[1000 + k]) for k, (_, n) in enumerate(notices)] == [(n, [family]) for family, n in notices]
     assert all(told[i] == [] for i in range(150))
 
@@ -141,8 +141,8 @@ def test_licence_families(spark):
     rows += [(300, "\n".join(notices.values()), "z")] * 2
     rows += [(301, None, "z"), (302, "", "z"), (None, notices["mit"], "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words string")
-    model, threshold = licences.train(docs)
-    got = licences.scan(docs, model, threshold).collect()
+    model = licences.train(docs)
+    got = licences.scan(docs, model).collect()
     assert len(got) == len(rows)
     told = {r["doc_id"]: r for r in got}
     for k, family in enumerate(notices):
@@ -151,7 +151,56 @@ def test_licence_families(spark):
     assert told[None]["families"] == ["mit"]
     assert all(told[d]["families"] == [] for d in range(150))
     assert (told[301]["n_paragraphs"], told[302]["n_named"]) == (0, 0)
-    assert licences.scan(docs.limit(0), model, threshold).count() == 0
+    assert licences.scan(docs.limit(0), model).count() == 0
+
+
+def test_notices_that_were_not_taught(spark):
+    """Held-out wordings, and prose about licences that names none."""
+    draw = random.Random(19)
+    notices = [
+        ("mit", "Released under the MIT License in 2020."),
+        ("mit", "MIT License"),
+        ("public-domain", "The Unlicense"),
+        ("bsd", "// SPDX-License-Identifier: BSD-2-Clause"),
+        ("isc", "/* SPDX-License-Identifier: ISC */"),
+        ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3"),
+        ("lgpl", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+        ("gpl", "# it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"),
+        ("epl", "made available under the terms of the Eclipse Public License 2.0"),
+        ("cc-by-nd", "This article is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+        ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY'),
+    ]
+    # The first is named but shares too few words with a template to be confirmed.
+    plain = ["Distributed under the terms of the MIT License.", "The license fee is due in January.", "He lost his driving license on the general public road.", "software for any river", "A permission slip was granted by the school."]
+    rows = [(i, "\n".join(prose(draw, EN, k) for k in (9, 2, 1, 9))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = [(1000 + k, n) for k, (_, n) in enumerate(notices)] + [(2000 + k, n) for k, n in enumerate(plain)]
+    every = docs.union(spark.createDataFrame(more + [(3000, "word " * 200_000 + "MIT License")], "doc_id long, text string"))
+    told = {r["doc_id"]: r["families"] for r in licences.scan(every, licences.train(docs)).collect()}
+    assert [(n, told[1000 + k]) for k, (_, n) in enumerate(notices)] == [(n, [family]) for family, n in notices]
+    assert all(told[2000 + k] == [] for k in range(len(plain))) and told[3000] == []
+
+
+def test_threshold_counts_every_paragraph(spark):
+    rows = [(0.6 + 0.4 * k / 1000, k % 2 == 0) for k in range(1000)]
+    scored = spark.createDataFrame(rows, "probability double, strange boolean")
+    for total in (1_000, 20_000, 400_000, 10**6):
+        cut = licences.threshold_of(scored, total)
+        reached = sum(s and p >= cut for p, s in rows)
+        assert reached <= licences.MISTAKEN * total
+        assert cut == licences.LEAST or sum(s and p >= cut - 0.4 / licences.STEPS - 1e-12 for p, s in rows) > licences.MISTAKEN * total
+
+
+def test_template_comparison_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    known = licences.family_shingles()
+    texts = ["Licensed under the Apache License, Version 2.0 and more words", "MIT License", "a b", "of the Software without restriction . this software"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", licences.paragraph_words(F.col("t")))
+    for row in rows.select("t", licences.resemblance(F.col("w"), known).alias("r")).collect():
+        words = licences.split_words(row["t"])
+        own = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        assert row["r"] == [0.0, *(len(own & set(known[f])) / len(own) for f in licences.FAMILIES[1:])]
 
 
 def test_template_words_are_split_alike(spark):
