@@ -280,5 +280,6 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language of every text of the whole table ``documents``, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return label(docs, train(docs)).drop("spans")

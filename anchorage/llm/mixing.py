@@ -167,11 +167,16 @@ def schedule(
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` in the order of the mix, in ranges of slots."""
+    """The rows of ``docs`` in the order of the mix, in ranges of slots.
+
+    All columns come back whatever their names, repeated rows as often as they came; rows
+    without a source are a source of their own; an empty table gives no rows.
+    """
     rows = schedule(docs, weights, block)
     return rows.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """Place in the mix of every row of the whole table ``documents``, by its source."""
     rows = schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return rows.select("row.doc_id", "row.source", "block", "phase", "release", "deadline", "slot", "place")

@@ -246,8 +246,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Texts without words, null ones included, are linked with nothing. Rows that repeat a
     doc_id are one document, linked by each of its texts. Rows without an id are linked like
-    the others; their component is the smallest id among them all, if there is one, and they
-    are kept only where there is none. Other columns are ignored; an empty table gives no rows.
+    the others; their component is the smallest id among them all, if there is one. Where
+    there is none, the rows of one of the texts are kept. Other columns are ignored; an empty
+    table gives no rows.
     """
     rows = staged(signatures(docs), "signatures")
     ids = rows.select("doc_id", "text_hash", "k1", "k2", "n_shingles")
@@ -276,15 +277,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     linked = labels.withColumnRenamed("node", "rep").join(classes.select("rep", "doc"), "rep")
     smallest = linked.groupBy("label").agg(F.min("doc").alias("least"))
-    named = linked.join(smallest, "label").select("rep", "least", F.lit(True).alias("linked"))
-    groups = classes.join(named, "rep", "left").select("k1", "k2", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+    named = linked.join(smallest, "label").select("rep", "least", "label")
+    groups = classes.join(named, "rep", "left").select(
+        "k1",
+        "k2",
+        F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("doc")).alias("component_id"),
+        (F.coalesce("label", "rep") == F.col("rep")).alias("first"),
+    )
     told = ids.join(groups, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    kept = F.col("doc_id").eqNullSafe(component)
+    # Where no row has an id, the rows of one text stay.
+    kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNotNull() | F.coalesce("first", F.lit(True)))
     return told.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Near-dedup of the whole table ``documents``: component, kept or not, and set size of every row."""
     return near_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 

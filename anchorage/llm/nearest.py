@@ -263,5 +263,6 @@ def search(rows: DataFrame, queries: DataFrame, top: int = TOP, success: float =
 
 
 def op5_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The five nearest rows of the whole table ``embeddings`` for every row whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings")
     return search(rows, rows.filter(F.col("vec_id") % EVERY == 0))

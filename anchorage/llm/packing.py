@@ -143,7 +143,11 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents with their sequence and place; an empty table gives no rows."""
+    """Pieces of all documents with their sequence and place.
+
+    A null text is empty and gives its end alone; a null doc_id stays null, repeated rows
+    are packed each, other columns are ignored, and an empty table gives no rows.
+    """
     cuts = staged(pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = segments(plan(counts, capacity))
@@ -165,4 +169,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """Packing of the whole table ``documents`` into sequences of at most 1,024 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_path())

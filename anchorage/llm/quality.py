@@ -199,6 +199,7 @@ def kept_documents(
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict for every row of the whole table ``documents``."""
     return judge(table(spark, sf_dir, "documents")).drop("text_hash")
 
 

@@ -406,4 +406,5 @@ def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What is left of every text of the whole table ``documents`` without its repeated strings."""
     return without_repeats(table(spark, sf_dir, "documents")).drop("spans")

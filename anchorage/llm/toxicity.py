@@ -156,5 +156,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of the whole table ``documents``, learned from ``labels`` outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
