@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 # Acronyms kept in upper case in feature labels.
 ACRONYMS = ("Pac", "Pbs", "Ips", "Eps", "Ltv", "Ibnr", "Rsf", "Shap", "Id", "Bin")
 
+# Month names in calendar order, whole and short, English and Spanish.
+MONTH_NAMES = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
+    "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
+    "ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic",
+)
+
 # Count bands and their order.
 COUNT_BANDS = ("0", "1", "2 a 5", "6+")
 
@@ -28,12 +36,27 @@ def century(year: Column) -> Column:
     return F.when(year.cast("int") >= 69, "19").otherwise("20")
 
 
+def month_number(name: Column) -> Column:
+    """Number of an English or Spanish month name in lower case, whole or of three letters; else null."""
+    place = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), name)
+    return F.when(place > 0, (place - 1) % 12 + 1).cast("int")
+
+
+def named_months(text: Column) -> tuple[Column, Column]:
+    """The parts of a date with a month name, joined by ``-`` with the name as a number, and whether there is one."""
+    joined = F.regexp_replace(F.lower(F.trim(text)), r"\s+de\s+|[/., -]+", "-")
+    part = lambda i: F.regexp_extract(joined, r"^(\d+)-([a-z]+)-(\d+)$", i)
+    return F.concat_ws("-", part(1), month_number(part(2)).cast("string"), part(3)), month_number(part(2)).isNotNull()
+
+
 def parse_date_any(text: Column) -> Column:
     """Day-month-year first, then year-month-day, with / - . or space between the parts.
 
-    Years of two digits are 1969 to 2068.
+    Years of two digits are 1969 to 2068. The month may be a number or an English or
+    Spanish name, with ``de`` around it or not.
     """
-    joined = F.regexp_replace(F.trim(text), "[/. ]", "-")
+    named, has_name = named_months(text)
+    joined = F.when(has_name, named).otherwise(F.regexp_replace(F.trim(text), "[/. ]", "-"))
     day_first = F.when(joined.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), joined)
     year_first = F.when(joined.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), joined)
     digits = F.when(joined.rlike(r"^\d{8}$"), joined)

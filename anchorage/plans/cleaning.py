@@ -11,24 +11,28 @@ from anchorage.plans.oracle import months_frac, whole_months
 from anchorage.plans.tables import AGE_STAGES, INTERACTIONS, Tables
 
 DATE_TEXT_SQL = """
-dates AS (SELECT o_orderkey, CASE o_orderkey % 8
+dates AS (SELECT o_orderkey, CASE o_orderkey % 10
     WHEN 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y')
     WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%d.%m.%Y')
     WHEN 4 THEN 'sin fecha' WHEN 5 THEN strftime(o_orderdate, '%Y/%m/%d')
-    WHEN 6 THEN strftime(o_orderdate, '%d/%m/%y') ELSE strftime(o_orderdate, '%y.%m.%d') END AS txt FROM orders),
-norm AS (SELECT o_orderkey, txt, regexp_replace(trim(txt), '[/. ]', '-', 'g') AS d FROM dates)"""
+    WHEN 6 THEN strftime(o_orderdate, '%d/%m/%y') WHEN 7 THEN strftime(o_orderdate, '%y.%m.%d')
+    WHEN 8 THEN strftime(o_orderdate, '%-d %B %Y')
+    ELSE strftime(o_orderdate, '%d') || ' de ' || ['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sep', 'oct', 'nov', 'dic'][month(o_orderdate)]
+      || ' de ' || strftime(o_orderdate, '%Y') END AS txt, CASE WHEN o_orderkey % 10 >= 8 THEN o_orderdate::date END AS named FROM orders),
+norm AS (SELECT o_orderkey, txt, named, regexp_replace(trim(txt), '[/. ]', '-', 'g') AS d FROM dates)"""
 
 
 @query(
     "parse_date_any",
     f"""WITH {DATE_TEXT_SQL}
-    SELECT o_orderkey, txt, CASE WHEN regexp_matches(d, '^\\d{{2}}-\\d{{2}}-\\d{{2}}$')
+    SELECT o_orderkey, txt, CASE WHEN named IS NOT NULL THEN named WHEN regexp_matches(d, '^\\d{{2}}-\\d{{2}}-\\d{{2}}$')
       THEN coalesce(try_strptime(d, '%d-%m-%y'), try_strptime(d, '%y-%m-%d'))::date
       ELSE coalesce(try_strptime(d, '%d-%m-%Y')::date,
         CASE WHEN regexp_matches(d, '^\\d{{4}}-') THEN try_strptime(d, '%Y-%m-%d')::date END) END AS fecha FROM norm""",
 )
 def parse_date_any(t: Tables):
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 10
+    spanish = F.get(F.array(*map(F.lit, c.MONTH_NAMES[36:])), F.month(d) - 1)
     text = (
         F.when(k == 0, F.date_format(d, "dd/MM/yyyy"))
         .when(k == 1, F.date_format(d, "dd-MM-yyyy"))
@@ -37,7 +41,9 @@ def parse_date_any(t: Tables):
         .when(k == 4, "sin fecha")
         .when(k == 5, F.date_format(d, "yyyy/MM/dd"))
         .when(k == 6, F.date_format(d, "dd/MM/yy"))
-        .otherwise(F.date_format(d, "yy.MM.dd"))
+        .when(k == 7, F.date_format(d, "yy.MM.dd"))
+        .when(k == 8, F.date_format(d, "d MMMM yyyy"))
+        .otherwise(F.concat_ws(" de ", F.date_format(d, "dd"), spanish, F.date_format(d, "yyyy")))
     )
     return t.raw("orders").select("o_orderkey", text.alias("txt")).withColumn("fecha", c.parse_date_any(F.col("txt")))
 

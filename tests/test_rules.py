@@ -215,3 +215,18 @@ def test_risk_joins_either_spelling_of_the_id(spark):
     got = integrate.with_risk(spark.createDataFrame([(7,), (8,)], "Afiliado_id_eps long"), perm)
     assert "AFILIADO_ID_EPS" in got.columns
     assert {r.AFILIADO_ID_EPS: (r.risk_12m, r.grupo_operativo) for r in got.collect()} == {"7": (0.25, "ALTO"), "8": (None, None)}
+
+
+def test_dates_with_month_names(spark):
+    texts = ["12 January 2020", "3 de enero de 2019", "03-ENE-2019", "2021 March 7", "7/sept/2021", "31 febrero 2020", "may", "1, Dec, 99", "12 foo 2020"]
+    assert values(spark, c.parse_date_any, texts) == [
+        dt.date(2020, 1, 12),
+        dt.date(2019, 1, 3),
+        dt.date(2019, 1, 3),
+        dt.date(2021, 3, 7),
+        None,
+        None,
+        None,
+        dt.date(1999, 12, 1),
+        None,
+    ]
