@@ -231,11 +231,13 @@ def chosen_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["text_hash"] == wanted["_text"]), "left_semi")
 
 
-def same_document(ids: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of rows that repeat a doc_id with other words."""
+def same_document(ids: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of rows that repeat a doc_id with other words, if there are such rows."""
     held = ids.filter("n_shingles > 0 and doc_id is not null")
     key = F.struct("k1", "k2")
     several = held.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low != high").select("doc_id", "low")
+    if several.isEmpty():
+        return None
     pairs = held.join(several, "doc_id").filter(F.col("low") != key).select("low", "k1", "k2").distinct()
     a = classes.select(F.col("rep").alias("a"), F.struct("k1", "k2").alias("low"))
     return pairs.join(a, "low").join(classes.select(F.col("rep").alias("b"), "k1", "k2"), ["k1", "k2"]).select("a", "b")
@@ -268,7 +270,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     full = signatures(chosen_rows(hashed, classes.join(wanted, "rep", "left_semi")), full=True)
     sets = staged(full.join(numbered, ["k1", "k2"]).dropDuplicates(["rep"]).select("rep", "hashes"), "sets")
 
-    first = staged(confirmed(pairs, sets).unionByName(same_document(ids, classes)), "links")
+    found, same = confirmed(pairs, sets), same_document(ids, classes)
+    first = staged(found.unionByName(same) if same else found, "links")
     labels = components(first)
     more = staged(left_over(lists, labels, sets), "more")
     if not more.isEmpty():

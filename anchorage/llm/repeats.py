@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import mapped, staged, table
+from anchorage.llm.common import joined_to_unique, mapped, staged, table
 
 LENGTH = 200
 GRAM = 24
@@ -311,7 +311,10 @@ def cold_runs(segs: DataFrame, length: int) -> DataFrame:
 
 
 def hot_runs(segs: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges of hot keys' segments, from counts of their window hashes."""
+    """Repeated ranges of hot keys' segments, from counts of their window hashes.
+
+    A hash that very many windows share is not brought to one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,8 +327,9 @@ def hot_runs(segs: DataFrame, length: int) -> DataFrame:
 
     hot = segs.filter("hot").select("c1", "c2", "first", "body")
     windows = mapped(hot, run, "w1 long, w2 long, c1 long, c2 long, a long")
-    often = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1")
-    return windows.join(often, ["w1", "w2"], "left_semi").select("c1", "c2", "a", (F.col("a") + length).alias("b"))
+    often = windows.groupBy("w1", "w2").agg(F.count("*").alias("rows")).filter("rows > 1")
+    met = joined_to_unique(windows, staged(often, "window-hashes"), ["w1", "w2"])
+    return met.select("c1", "c2", "a", (F.col("a") + length).alias("b"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
