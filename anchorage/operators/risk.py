@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from anchorage.functions.columns import is_finite, tie_order
+from anchorage.functions.columns import is_finite
+from anchorage.functions.draws import POISSON_CUTS as POISSON_CUTS, weighted_sums
 from anchorage.operators.bins import binned, qcut, quantile_edges, with_bounds
-from anchorage.operators.prefix import as_columns, exact_quantiles
+from anchorage.operators.prefix import exact_quantiles
+from anchorage.session import mapped, spread
 
 RISK = "Riesgo_Calculado"
 RISK_CUT = 0.35
 FEW_LEVELS = 20
 REPLICATES = 1_000
-#: A draw of 32 bits at or above the k-th cut counts a row k times at least.
-POISSON_CUTS = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
 
 # Names of the five age quantiles, youngest first.
 AGE_QUINTILES = ("Joven", "Adulto Joven", "Adulto", "Maduro", "Mayor")
@@ -85,24 +86,52 @@ def risk_curve(df: DataFrame, var: str) -> DataFrame:
     ).orderBy("valor")
 
 
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) from 32 even bits: how many of the cuts the draw reaches."""
-    return reduce(lambda a, b: a + b, [(draw >= cut).cast("int") for cut in POISSON_CUTS])
+def drawn_sums(rows: DataFrame, replicates: int) -> DataFrame:
+    """(valor, _s, _n) from (valor, _key, value): weighted sums and weights of a run of equal values, an entry a replicate.
+
+    A task takes its rows in order of ``valor`` and holds one run's sums at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suffixes = [str(r).encode() for r in range(1, replicates + 1)]
+        last, total, count, kind = None, None, None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([total]), pa.array([count])], names=["valor", "_s", "_n"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            values, keys = batch.column(0).to_pylist(), [k.encode() for k in batch.column(1).to_pylist()]
+            risks = batch.column(2).to_numpy(zero_copy_only=False)
+            starts = [i for i in range(len(values)) if not i or values[i] != values[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(values)]):
+                if total is None or values[a] != last:
+                    if total is not None:
+                        yield told()
+                    last, total, count = values[a], np.zeros(replicates), np.zeros(replicates, np.int64)
+                sums, weights = weighted_sums(keys[a:b], risks[a:b], suffixes)
+                total, count = total + sums, count + weights
+        if total is not None:
+            yield told()
+
+    schema = StructType([rows.schema["valor"]]).add("_s", ArrayType(DoubleType())).add("_n", ArrayType(LongType()))
+    return mapped(rows, run, schema)
 
 
 def bootstrap_band(df: DataFrame, var: str, key: str, replicates: int = REPLICATES, level: float = 0.95) -> DataFrame:
     """(valor, banda_inf, banda_sup): percentile band of the mean risk per value of a variable.
 
     Every row draws its weight in every replicate from a hash of its key and the replicate, so one pass serves
-    all replicates and no row is drawn from a group. Weighted sums are combined before the
-    shuffle; a value keeps one mean for each replicate in which it has a row.
+    all replicates and no row is drawn from a group. The rows are dealt out before they draw. Weighted sums are
+    combined before the shuffle; a value keeps one mean for each replicate in which it has a row.
     """
-    rows = df.where(F.col(var).isNotNull() & F.col(RISK).isNotNull()).select(F.col(var).alias("valor"), F.col(key).alias("_key"), RISK)
-    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = drawn.withColumn("_bits", tie_order(F.concat_ws("|", "_key", "_rep")))
-    drawn = as_columns(drawn, ["valor", "_rep", RISK], _draw="_bits").where(F.col("_draw") >= POISSON_CUTS[0])
-    drawn = drawn.withColumn("_w", poisson_weight(F.col("_draw")))
-    means = drawn.groupBy("valor", "_rep").agg((F.sum(F.col("_w") * F.col(RISK)) / F.sum("_w")).alias("_m"))
+    rows = df.where(F.col(var).isNotNull() & F.col(RISK).isNotNull())
+    # A missing key leaves the replicate alone to be hashed.
+    rows = rows.select(F.col(var).alias("valor"), F.concat_ws("|", F.col(key), F.lit("")).alias("_key"), F.col(RISK).cast("double"))
+    drawn = drawn_sums(spread(rows).sortWithinPartitions("valor"), replicates)
+    each = drawn.select("valor", F.posexplode(F.arrays_zip("_s", "_n")).alias("_rep", "_sums"))
+    sums = each.groupBy("valor", "_rep").agg(F.sum("_sums._s").alias("_s"), F.sum("_sums._n").alias("_n"))
+    means = sums.where(F.col("_n") > 0).select("valor", (F.col("_s") / F.col("_n")).alias("_m"))
     tail = (1 - level) / 2
     return means.groupBy("valor").agg(
         F.percentile("_m", F.lit(round(tail, 6))).alias("banda_inf"), F.percentile("_m", F.lit(round(1 - tail, 6))).alias("banda_sup")

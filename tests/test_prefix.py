@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from anchorage.functions import draws
 from anchorage.operators import bins, checks, impact, integrate, risk, survival
 from anchorage.operators.explain import sample_by_group, scale01
 from anchorage.operators.prefix import at_places, exact_quantiles, piece_bits, pruned, ranked, running_before, top_n
@@ -325,6 +326,30 @@ def test_bootstrap_band_equals_the_same_draws_in_python(spark):
         assert got[g] == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
 
 
+def test_draws_are_those_of_md5():
+    import hashlib
+
+    ends = [str(i).encode() for i in (1, 9, 10, 999, 1000)]
+    for starts in ([b""], [b"7|", b"8|"], [b"x" * 51] * 3, ["ñ".encode() * 26], [b"y" * 80, b"z" * 80]):
+        want = [[int(hashlib.md5(a + b).hexdigest()[:8], 16) for b in ends] for a in starts]
+        assert draws.md5_bits(starts, ends).tolist() == want
+    bits = sorted({0, 2**32 - 1, *[cut + d for cut in risk.POISSON_CUTS for d in (-1, 0, 1) if cut + d < 2**32]})
+    weights = draws.poisson_weights(np.array(bits, np.uint32))
+    assert weights.tolist() == [sum(b >= cut for cut in risk.POISSON_CUTS) for b in bits]
+
+
+def test_bootstrap_band_draws_in_many_tasks_from_rows_that_lie_in_one(spark):
+    rows = [(i, "a", 0.5) for i in range(40)] + [(None, "b", 0.25), (None, "b", 0.25)]
+    rows += [(i, "c", 0.5 if i else float("inf")) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, g string, Riesgo_Calculado double").coalesce(1)
+    band = risk.bootstrap_band(df, "g", "id", 30)
+    plan = band._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan[plan.index("MapInArrow") :]
+    got = {r.valor: (r.banda_inf, r.banda_sup) for r in band.collect()}
+    # The infinite risk counts only in the replicates that draw its row.
+    assert got["a"] == (0.5, 0.5) and got["b"] == (0.25, 0.25) and got["c"] == (0.5, float("inf"))
+
+
 def test_window_counts_keep_every_spell(spark):
     spells = [("a", 1, "2024-01-05", "2024-01-10"), ("a", 1, "2024-01-05", "2024-01-10"), ("a", 2, "2024-01-10", None), (None, 3, "2024-01-01", "2024-02-01")]
     spells += [("b", 4, None, "2024-01-10"), ("c", 5, "2024-01-10", "2024-01-01")]
