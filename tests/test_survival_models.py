@@ -47,6 +47,16 @@ def test_curve_needs_all_months(spark):
         survival.curve_long(df)
 
 
+def test_monthly_curves_are_worked_out_in_many_tasks(spark, folder):
+    import __spark_entry__
+    from anchorage.plans.tables import Tables
+
+    long = __spark_entry__.queries()["curve_long"](spark, folder)
+    one = Tables(spark, folder).raw("customer")
+    assert one.rdd.getNumPartitions() == 1 and long.rdd.getNumPartitions() >= 8
+    assert long.count() == 120 * one.count()
+
+
 def test_assign_group(spark):
     def row(r12):
         return (str(r12), *[(1 - r12) ** (m / 12) for m in range(1, 121)])
