@@ -174,11 +174,28 @@ def linked_blocks(few: list[np.ndarray], many: list[np.ndarray], apart: np.ndarr
     return np.argwhere(apart & (100 * same >= PERCENT * union))
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same numbers as the links (a, b), one for each number but the smallest of those joined."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        least, before = np.minimum(label[u], label[v]), label.copy()
+        np.minimum.at(label, before[u], least)
+        np.minimum.at(label, before[v], least)
+        label = label[label]
+        if (label == before).all():
+            break
+    joined = label != np.arange(len(names))
+    return names[label[joined]], names[joined]
+
+
 def left_over(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between parts of long lists that their hubs did not join.
+    """Links that join the parts of long lists that their hubs did not join.
 
     Lists with one hub are compared together. Members of the largest part are only
-    compared with members of the others, in blocks of bounded size.
+    compared with members of the others, in blocks of bounded size. A block finds all its
+    links and returns as many as join its parts alike, fewer than it has members.
     """
     held = (
         lists.filter(F.col("members") > SHORT_LIST)
@@ -209,8 +226,8 @@ def left_over(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
         apart = a["part"].to_numpy()[:, None] != b["part"].to_numpy()[None, :]
         found = linked_blocks(list(a["hashes"]), list(b["hashes"]), apart)
-        ends = {"a": a["part"].to_numpy()[found[:, 0]], "b": b["part"].to_numpy()[found[:, 1]]}
-        return pd.DataFrame(ends).drop_duplicates()
+        links = spanning(a["part"].to_numpy()[found[:, 0]], b["part"].to_numpy()[found[:, 1]])
+        return pd.DataFrame(dict(zip("ab", links))).astype("int64")
 
     ship(lists.sparkSession)
     return left.union(right).join(sets, "rep").groupBy("hub", "f", "m").applyInPandas(compare, "a long, b long")

@@ -91,6 +91,38 @@ def test_blocks_equal_sets():
     assert got == want
 
 
+def test_left_over_returns_fewer_links_than_members(spark):
+    draw = random.Random(8)
+    base = [draw.randint(0, 10**12) for _ in range(60)]
+    sets = [sorted({*base, draw.randint(10**13, 10**14)}) for _ in range(300)] + [sorted(draw.sample(range(10**6), 60)) for _ in range(20)]
+    lists = spark.createDataFrame([(1, k, len(sets), -1) for k in range(len(sets))], "value long, rep long, members long, hub long")
+    labels = spark.createDataFrame([], "node long, label long")
+    hashes = spark.createDataFrame(list(enumerate(sets)), "rep long, hashes array<long>")
+    links = near_dedup.left_over(lists, labels, hashes)
+    got = links.collect()
+    assert 299 <= len(got) <= 2 * len(sets)
+    assert {r.node: r.label for r in components(links).collect()} == dict.fromkeys(range(300), 0)
+
+
+def test_spanning_links_join_what_all_links_join():
+    draw = random.Random(9)
+    for n, m in ((1, 0), (30, 12), (30, 40), (200, 150)):
+        pairs = np.array([[draw.randrange(n), draw.randrange(n)] for _ in range(m)], np.int64).reshape(-1, 2) * 7 + 3
+        want = {int(x): {int(x)} for x in pairs.ravel()}
+        for x, y in pairs.tolist():
+            both = want[x] | want[y]
+            for z in both:
+                want[z] = both
+        a, b = near_dedup.spanning(pairs[:, 0], pairs[:, 1])
+        got = {x: {x} for x in want}
+        for x, y in zip(a.tolist(), b.tolist()):
+            assert x == min(want[y]) and x != y
+            both = got[x] | got[y]
+            for z in both:
+                got[z] = both
+        assert got == want and len(set(b.tolist())) == len(b)
+
+
 def test_odd_rows(spark):
     rows = [(None, "same words here", 1), (5, "same words here", 1), (5, "same words here", 1), (None, "alone", 1), (7, None, 1)]
     got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string, rep long")).collect()
