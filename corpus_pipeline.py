@@ -50,11 +50,13 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of every document; null texts count as empty.
+    """Best-fit packing of every document within windows of the mix; null texts count as empty.
 
-    Repeated rows are packed each, other columns are left out, and an empty table gives no rows.
+    The documents are taken in the order in which the mix was written, so that sequences
+    hold and follow it. Repeated rows are packed each, other columns are left out, and an
+    empty table gives no rows.
     """
-    return packing.pack(docs, public_path())
+    return packing.pack_in_order(docs, public_path())
 
 
 STAGES = [

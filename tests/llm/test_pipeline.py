@@ -101,6 +101,32 @@ def test_very_long_text_and_rows_that_repeat(spark):
     assert packed.groupby("doc_id")["length"].sum().to_dict() == {d: len(own.ids(t)) // 4 + 1 for d, t in {(r[0], r[1]) for r in rows}}
 
 
+def test_packing_follows_the_mix(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i, " ".join(f"w{draw.randint(0, 999)}" for _ in range(draw.randint(20, 900))), "en", "a" if i < 45 else "b", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    monkeypatch.setattr(corpus_pipeline.packing, "WINDOW", 12)
+    mixed = corpus_pipeline.staged(corpus_pipeline.STAGES[3][1](spark, docs, ""), "test-mixed")
+    slots = corpus_pipeline.mixing.schedule(docs).orderBy("slot", "place").select("row.doc_id").collect()
+    place = {r.doc_id: k for k, r in enumerate(slots)}
+    assert [place[r.doc_id] for r in corpus_pipeline.packing.in_written_order(mixed).orderBy("place").collect()] == list(range(60))
+
+    packed = corpus_pipeline.STAGES[4][1](spark, mixed, "").toPandas()
+    packed["window"] = packed["doc_id"].map(place) // 12
+    assert (packed.groupby("sequence_id")["window"].nunique() == 1).all()
+    assert packed.sort_values("sequence_id")["window"].is_monotonic_increasing and packed["window"].nunique() == 5
+    for _, bin_ in packed.sort_values("offset").groupby("sequence_id"):
+        assert bin_["length"].sum() <= 1024 and bin_["offset"].tolist() == [0, *bin_["length"].cumsum()[:-1]]
+    for (_, length), same in packed[packed["piece"] == 0].groupby(["window", "length"]):
+        along = same.assign(at=same["doc_id"].map(place)).sort_values("at")
+        assert along["sequence_id"].is_monotonic_increasing
+
+    own = corpus_pipeline.staged(docs.orderBy("doc_id"), "test-unmixed")
+    other = corpus_pipeline.STAGES[4][1](spark, own, "").toPandas()
+    together = lambda t: set(t.groupby("sequence_id")["doc_id"].apply(frozenset))
+    assert together(other) != together(packed) and len(other) == len(packed)
+
+
 def test_registered_queries():
     names = list(__spark_entry__.queries())
     for n in range(1, 14):
