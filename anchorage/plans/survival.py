@@ -71,7 +71,7 @@ def horizon_table(t: Tables):
     FROM perm_one, (SELECT unnest(range(1, {MONTHS + 1})) AS m) g""",
 )
 def curve_long(t: Tables):
-    one = t.permanencia.where(F.col("dup") == 0)
+    one = t.permanencia_dealt.where(F.col("dup") == 0)
     return rounded(survival.curve_long(one), "S_t", "risk_t")
 
 
@@ -114,7 +114,7 @@ def hazard_by_window(t: Tables):
     """SELECT AFILIADO_ID_EPS, upper(trim(grupo_operativo)) AS grupo, tiempo_gatillo_m AS mes_gatillo FROM perm_one""",
 )
 def operational_group_rule(t: Tables):
-    return survival.assign_group(t.permanencia.where(F.col("dup") == 0))
+    return survival.assign_group(t.permanencia_dealt.where(F.col("dup") == 0))
 
 
 @query(
