@@ -223,7 +223,8 @@ def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     kinds = "window long, length long, rank long, sequence_id long, offset long"
     slots = counts.groupBy("window").applyInPandas(lambda found: slots_of(found, capacity), kinds)
     order = Window.partitionBy("window", "length").orderBy("place", "piece")
-    placed = cuts.withColumn("rank", F.row_number().over(order) - 1).join(slots, ["window", "length", "rank"])
+    # The slots have a row a piece but shuffle to very little, which Spark would take for a size to broadcast.
+    placed = cuts.withColumn("rank", F.row_number().over(order) - 1).join(slots.hint("merge"), ["window", "length", "rank"])
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
