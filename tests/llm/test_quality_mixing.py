@@ -1,8 +1,10 @@
+import hashlib
 import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from anchorage.llm import mixing, quality
 
@@ -46,6 +48,28 @@ def test_counts_equal_brute_force(spark, crawl):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
 
 
+def test_counts_and_keys_of_odd_texts(spark):
+    draw = random.Random(9)
+    texts = ["", "a", "a b", "a b c", "a a a a", "\n\n", " \t\x0b", "1 one\n1 one\n2 \u00c9A B\x0bc\r\n0 x", "\u00a0 \U0001f600#%\u0130 A\u2003b | <&>", "x\u0085y \x1cz " * 9]
+    texts += [" ".join(draw.choice("ab\u00c9Z") for _ in range(draw.randint(0, 90))) for _ in range(60)]
+    texts += ["".join(draw.choice("aB \t\n\x0b\x0c\r#$01\u00c9\U0001f600") for _ in range(draw.randint(0, 300))) for _ in range(60)]
+    texts.append(" ".join(f"w{i % 4999}" for i in range(30_000)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("h"))
+    low = str.maketrans(quality.UPPER, quality.UPPER.lower())
+    for r in quality.features(rows).collect():
+        text = texts[r["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts(text), text
+        tidy = [(" ".join(WORDS.findall(x)).translate(low), at) for at, x in enumerate(text.split("\n"))]
+        want = [(int(hashlib.md5(x.encode()).hexdigest()[:15], 16), len(x.split(" ")), at) for x, at in tidy if x]
+        assert [(x["line"], x["words"], x["at"]) for x in r["lines"]] == want, text
+
+
+def test_features_make_no_object_for_every_character(spark):
+    docs = spark.createDataFrame([(0, "A b\n1 c", "h")], "doc_id long, text string, source string")
+    plan = quality.features(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(text" not in plan and plan.count("translate(") <= 1
+
+
 def test_boilerplate_is_rejected_and_copies_are_kept(spark, crawl):
     docs = spark.createDataFrame(crawl, "doc_id long, text string, source string")
     kept = {(r["doc_id"]): r["kept"] for r in quality.judge(docs).collect()}
