@@ -66,6 +66,79 @@ def test_split_groups_find_the_same(spark, monkeypatch):
     assert {tuple(r) for r in nearest.search(table, ask).collect()} == want
 
 
+def all_sums(logs):
+    """Log chance of every combination of one move a direction."""
+    total = np.zeros(1)
+    for row in logs:
+        total = (total[:, None] + row).ravel()
+    return total
+
+
+def test_last_bucket_by_falling_chance():
+    draw = np.random.default_rng(5)
+    for directions in (1, 2, 7, 8):
+        chance = draw.dirichlet((1, 3, 1), size=directions) * 0.99
+        total = -np.sort(-all_sums(np.log(chance)))
+        for success in (0.05, 0.6, 0.85):
+            reached = int(np.searchsorted(np.cumsum(np.exp(total)), success)) + 1
+            bound = nearest.least(np.log(chance), success)
+            assert (total >= bound).sum() == min(reached, len(total))
+    assert (all_sums(np.log(chance)) >= nearest.least(np.log(chance), 0.9999)).all()
+
+
+def test_rounded_sums_visit_at_least_as_much(monkeypatch):
+    draw = np.random.default_rng(6)
+    logs = np.log(draw.dirichlet((1, 3, 1), size=12))
+    exact = nearest.least(logs, 0.6)
+    monkeypatch.setattr(nearest, "MOST_SUMS", 100)
+    assert exact - 0.02 < nearest.least(logs, 0.6) <= exact + 1e-6
+
+
+def test_visited_rows_are_those_of_the_likely_buckets(monkeypatch):
+    draw = np.random.default_rng(8)
+    monkeypatch.setattr(nearest, "TILE", 13)
+    for directions in (1, 2, 3, 7):
+        slots, slot = draw.integers(-2, 3, (300, directions)), draw.integers(-2, 3, (20, directions))
+        logs = np.log(draw.dirichlet((1, 3, 1), size=(20, directions)))
+        bound = np.array([nearest.least(of, 0.6) for of in logs])
+        missed = np.ones((300, 20), bool)
+        nearest.visit(missed, *nearest.tree(slots), slot, logs, bound)
+        move = slots[:, None, :] - slot + 1
+        chance = np.take_along_axis(logs[None], np.clip(move, 0, 2)[..., None], axis=3)[..., 0].sum(axis=2)
+        want = ((move >= 0) & (move <= 2)).all(axis=2) & (chance >= bound)
+        assert want.any() and (missed == ~want).all()
+
+
+def test_shortlist_holds_the_highest():
+    near = np.random.default_rng(9).normal(size=(1003, 7)) / 10
+    near[:, 3] = -np.inf
+    near[5:8, 4], near[:5, 4], near[8:, 4] = 0.5, -np.inf, -np.inf
+    found = set(zip(*(x.tolist() for x in nearest.shortlist(near, 5))))
+    for column in range(7):
+        want = {(int(k), column) for k in np.argsort(-near[:, column])[:6] if np.isfinite(near[k, column])}
+        assert want <= found and sum(c == column for _, c in found) <= 3 * len(want)
+
+
+def test_vectors_of_one_direction_leave_a_call_as_few_rows():
+    query, score, ids = np.array([1, 0, 1, 1, 0]), np.array([0.5, 1.0, 0.5, 0.7, 1.0]), np.array([9, 4, 8, 3, 2])
+    assert nearest.highest(query, score, ids, 2).tolist() == [4, 1, 3, 2]
+    draw = np.random.default_rng(10)
+    x = np.outer(draw.uniform(1, 2, 5000), draw.normal(size=3))
+    k, i = nearest.shortlist(x @ x[:2].T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x[:2], axis=1)), 5)
+    assert len(k) == 10_000 and np.allclose(nearest.scores(x[:2], x, i, k), 1)
+
+
+def test_queries_that_visit_millions_of_buckets(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=16).astype(np.float32).tolist()) for i in range(400)]
+    table = spark.createDataFrame([(i, v, 0.0) for i, v in rows], ROWS)
+    monkeypatch.setattr(nearest, "PER_BUCKET", 1e-9)
+    found = {}
+    for r in nearest.search(table, table.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sum(len(set(best(rows, q)) & set(found[q])) for q in range(0, 400, 100)) >= 18
+
+
 def test_edits_equal_full_recount():
     draw = random.Random(3)
     own = encoder(public_path())
